@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -37,6 +38,8 @@ def materialise(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    # The job's shuffle files are of no further use; Spark drops them once the driver's heap lets go of the plan.
+    spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -53,6 +56,18 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of at most ``rows`` rows for the jobs that run inside; whole texts make large rows."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def slices(batch: pa.RecordBatch, text: int, limit: int = 8_000_000) -> Iterator[pa.RecordBatch]:
     """Consecutive parts of a batch with at most ``limit`` bytes in the string column number ``text``, or one row."""
     sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)

@@ -37,7 +37,7 @@ MOST_COMMON = 0.2
 SUBSETS = 32
 FEW = 8
 LEXICON_LIMIT = 500_000
-HELD = 400_000
+HELD = 150_000
 TERM = re.compile(r"[^\W_]+")
 
 
@@ -51,7 +51,7 @@ def lexicon(docs: DataFrame, rarest: float = RAREST, most_common: float = MOST_C
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
         for whole in batches:
-            for b in slices(whole, 0):
+            for b in slices(whole, 0, 2_000_000):
                 for t in b.column(0):
                     seen.update(terms(t.as_py() or ""))
                 if len(seen) > HELD:

@@ -31,6 +31,9 @@ from flowquarry.llm.common import materialise
 
 THRESHOLD = 0.8
 SKETCH_BITS = 20
+FILTER_BITS = 22
+#: Words of at most two to this power occurrences are joined without length groups.
+RARE_LEVEL = 5
 SPACE = r"\s+"
 
 
@@ -90,9 +93,12 @@ def candidate_pairs(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(a, b): numbers of distinct word sets that may be similar.  ``sets``: (set, n, parity, prefix)."""
     base = 1 / threshold
     group = F.floor(F.log(base, F.col("n")) + 1e-9).cast("int")
-    index = sets.select("set", "n", "parity", group.alias("g"), F.posexplode("prefix").alias("at", "w")).filter(F.shiftrightunsigned("w", 59) > 0)
-    # A partner's length is within a factor of 1/threshold, so its group is the same or the next.
-    a = index.withColumn("to", F.explode(F.array("g", F.col("g") + 1))).alias("a")
+    index = sets.select("set", "n", "parity", group.alias("g"), F.posexplode("prefix").alias("at", "w"))
+    level = F.shiftrightunsigned("w", 59)
+    # A partner's length is within a factor of 1/threshold, so its group is the same or the next.  Rare words need no groups.
+    rare = level <= RARE_LEVEL
+    index = index.filter(level > 0).withColumn("g", F.when(rare, -1).otherwise(F.col("g")))
+    a = index.withColumn("to", F.explode(F.when(rare, F.array("g")).otherwise(F.array("g", F.col("g") + 1)))).drop("g").alias("a")
     b = index.alias("b")
     na, nb = F.col("a.n"), F.col("b.n")
     share = F.ceil((na + nb) * (threshold / (1 + threshold)) - 1e-9)
@@ -105,6 +111,17 @@ def candidate_pairs(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return a.join(b, (F.col("a.w") == F.col("b.w")) & (F.col("a.to") == F.col("b.g")) & keep).select(F.col("a.set").alias("a"), F.col("b.set").alias("b")).distinct()
 
 
+def _maybe_in(places: DataFrame) -> Column:
+    """Whether (doc_id, line_no) may be one of ``places``: a bitmap of fixed size, which passes more the fuller it is."""
+    h = F.xxhash64("doc_id", "line_no").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+    bits = places.select(h.alias("h")).select(F.shiftright("h", 6).cast("int").alias("slot"), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(F.lit(63)).cast("int")).alias("v"))
+    words = [0] * (1 << (FILTER_BITS - 6))
+    for r in bits.groupBy("slot").agg(F.bit_or("v").alias("v")).collect():  # at most 2**FILTER_BITS / 64 rows
+        words[r["slot"]] = r["v"]
+    word = F.get(_literal(words), F.shiftright(h, 6).cast("int"))
+    return F.call_function("shiftrightunsigned", word, h.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+
 def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, line_no) of every line that an earlier line resembles."""
     table = materialise(line_sets(docs, threshold))
@@ -113,12 +130,11 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     firsts = materialise(firsts.withColumn("set", F.monotonically_increasing_id()))
     pairs = materialise(candidate_pairs(firsts.select("set", "n", "parity", "prefix"), threshold))
 
-    # The words of the candidates come from their texts; only documents with candidate lines are read into the join.
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct().join(firsts.select("set", "first"), "set").select("set", "first.*")
-    by_doc = wanted.groupBy(F.col("doc_id").alias("id_")).agg(F.collect_list(F.struct("line_no", "set")).alias("at_"))
-    texts = docs.select("doc_id", F.split("text", "\n").alias("ls")).join(by_doc, F.col("doc_id").eqNullSafe(F.col("id_")))
-    found = texts.select("ls", F.inline("at_")).select("set", F.array_distinct(_words(F.get("ls", F.col("line_no")))).alias("ws"))
-    found = materialise(found.dropDuplicates(["set"]).join(firsts.select("set", "first"), "set"))
+    # The words of the candidates come from their texts; lines that are surely no candidates stay out of the join.
+    wanted = materialise(pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct().join(firsts.select("set", "first"), "set").select("set", "first", F.col("first.doc_id").alias("id_"), F.col("first.line_no").alias("no_")))
+    lines = _lines(docs.select("doc_id", "text")).filter(_maybe_in(wanted.select(F.col("id_").alias("doc_id"), F.col("no_").alias("line_no"))))
+    found = lines.join(wanted, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("line_no") == F.col("no_"))).select("set", "first", F.array_distinct(_words(F.col("line"))).alias("ws"))
+    found = materialise(found.dropDuplicates(["set"]))
     x = pairs.join(found.select(F.col("set").alias("a"), F.col("ws").alias("wa"), F.col("first").alias("fa")), "a").join(found.select(F.col("set").alias("b"), F.col("ws").alias("wb"), F.col("first").alias("fb")), "b")
     both = F.size(F.array_intersect("wa", "wb"))
     similar = x.filter(both >= threshold * (F.size("wa") + F.size("wb") - both) - 1e-9).select("a", "b", "fa", "fb")

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowquarry.llm.common import materialise
+from flowquarry.llm.common import batches_of, materialise
 from flowquarry.llm.components import connected_components
 
 SEED = 42
@@ -123,7 +123,8 @@ def pigeonring_links(classes: DataFrame, max_bits: int = MAX_BITS, segments: int
 
 def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, segments: int = SEGMENTS, hot_key: int = HOT_KEY) -> DataFrame:
     """(doc_id, fp, component_id) for every row of ``docs``."""
-    fps = materialise(fingerprints(docs))
+    with batches_of(docs.sparkSession, 500):
+        fps = materialise(fingerprints(docs))
     named = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("doc_id")).withColumn("rep", F.monotonically_increasing_id()))
     links = materialise(pigeonring_links(named.select("rep", "fp"), max_bits, segments, hot_key))
     groups = connected_components(links)

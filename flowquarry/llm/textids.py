@@ -9,9 +9,7 @@ from __future__ import annotations
 
 import os
 import re
-import sys
 import unicodedata
-from functools import cache
 from itertools import chain
 
 import numpy as np
@@ -20,22 +18,20 @@ import numpy as np
 MEMORY = 700_000
 
 
-@cache
-def _odd() -> re.Pattern:
-    """Characters whose class in ``re`` may differ from the library's."""
-    odd = [c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ("No", "Nl", "Cn", "Cs", "Co") or c in "\x1c\x1d\x1e\x1f\x85"]
-    runs, start = [], None
-    codes = [ord(c) for c in odd]
-    for a, b in zip(codes, codes[1:] + [-1], strict=True):
-        start = a if start is None else start
-        if b != a + 1:
-            runs.append(f"{re.escape(chr(start))}-{re.escape(chr(a))}")
-            start = None
-    return re.compile(f"[{''.join(runs)}]")
+#: Characters seen so far whose class is the same in ``re`` as in the library.
+_agreed: set[str] = set()
+
+
+def _differs(c: str) -> bool:
+    return unicodedata.category(c) in ("No", "Nl", "Cn", "Cs", "Co") or c in "\x1c\x1d\x1e\x1f\x85"
 
 
 def is_plain(text: str) -> bool:
-    return (text.isascii() and not re.search("[\x1c-\x1f]", text)) or not _odd().search(text)
+    """Whether ``re`` classes all characters of a text as the library does."""
+    new = set(text) - _agreed
+    odd = {c for c in new if _differs(c)}
+    _agreed.update(new - odd)
+    return not odd
 
 
 def load(path: str):

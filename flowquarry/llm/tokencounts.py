@@ -29,7 +29,7 @@ from flowquarry.llm.textids import ByteLevelCutter
 HOT_SHARE = 5_000
 HOT_LIMIT = 300_000
 #: Distinct pre-tokens that a task holds before it hands on what it has counted.
-HELD = 400_000
+HELD = 150_000
 
 
 def document_frequencies(docs: DataFrame, path: str) -> DataFrame:
@@ -38,7 +38,7 @@ def document_frequencies(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter, seen = ByteLevelCutter(path), Counter()
         for whole in batches:
-            for b in slices(whole, 0):
+            for b in slices(whole, 0, 2_000_000):
                 for t in b.column(0):
                     seen.update(set(cutter.cut(t.as_py() or "")[0]))
                 if len(seen) > HELD:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowquarry.functions.order import checkpointed
 from flowquarry.functions.tables import constant
 from flowquarry.operators import behavior as B
 from flowquarry.operators import classify, console, correlate, detect, flow, rollups
@@ -18,8 +19,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
+#: Relations that later queries of the same application read again, by application, tables and name.
+_KEPT: dict[tuple[str, str, str], DataFrame] = {}
+
+
 class Capture:
-    """The relations of one capture, each made when first asked for."""
+    """The relations of one capture, each made when first asked for.
+
+    Scored flows and findings are what a capture leaves behind; they are written once to the shared
+    folder and read by every query after that.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir, self._made = spark, sf_dir, {}
@@ -29,6 +38,12 @@ class Capture:
             self._made[name] = make()
         return self._made[name]
 
+    def _keep(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if key not in _KEPT:
+            _KEPT[key] = checkpointed(make())
+        return _KEPT[key]
+
     @property
     def packets(self) -> DataFrame:
         return self._get("packets", lambda: fixtures.packets(self.spark, self.sf_dir))
@@ -39,7 +54,7 @@ class Capture:
 
     @property
     def flows(self) -> DataFrame:
-        return self._get("flows", lambda: classify.scored(classify.enriched(classify.with_scanners(classify.classified(self.raw)), fixtures.feed(self.spark))))
+        return self._keep("flows", lambda: classify.scored(classify.enriched(classify.with_scanners(classify.classified(self.raw)), fixtures.feed(self.spark))))
 
     @property
     def table(self) -> DataFrame:
@@ -57,7 +72,7 @@ class Capture:
 
     @property
     def findings(self) -> DataFrame:
-        return self._get("findings", lambda: detect.all_findings(self.packets, self.flows, self.contacts))
+        return self._keep("findings", lambda: detect.all_findings(self.packets, self.flows, self.contacts))
 
 
 def query(name: str, tail: str | None = None):
