@@ -9,10 +9,13 @@ word set with Jaccard similarity of at least ``threshold``.  The join goes in th
    line must meet; words whose counter is one occur nowhere else and are left out of the index;
 3. lines of equal word sets become one set with its earliest position, and sets of more than one line
    need no join among themselves;
-4. join the prefixes on word and length group under the length filter, the positional filter and a
+4. sets that share a common word are compared with the first set of a bucket; those found similar to
+   it are done, so that a large group of similar lines is not joined pairwise;
+5. join the prefixes on word and length group under the length filter, the positional filter and a
    parity filter: the number of bits in which two 64-bit parities of word hashes differ never exceeds
-   the number of words that are in one set only;
-5. verify the remaining pairs on the words themselves and remove the later lines.
+   the number of words that are in one set only; pairs whose later set is done are left out;
+6. verify the remaining pairs on the words themselves, for every set its likeliest earlier partner
+   first and the others only where that one is not similar, and remove the later lines.
 
 Any fixed order of words gives the same result; rarity only decides the cost.  Words are the parts of
 the lower-cased line between white space.  Defined cases: null text stays null; lines without words
@@ -27,13 +30,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowquarry.llm.common import materialise
+from flowquarry.llm.common import discard, materialise, shuffle_partitions
 
 THRESHOLD = 0.8
 SKETCH_BITS = 20
 FILTER_BITS = 22
 #: Words of at most two to this power occurrences are joined without length groups.
-RARE_LEVEL = 5
+RARE_LEVEL = 8
+#: Times that the sets of a common word are dealt to buckets.
+STARS = 3
 SPACE = r"\s+"
 
 
@@ -72,7 +77,7 @@ def _needed(n: Column, threshold: float) -> Column:
 
 
 def line_sets(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, line_no, k1, k2, n, parity, prefix): the word set of each line, named by two hashes, and its prefix."""
+    """(doc_id, line_no, line_hash, k1, k2, n, parity, prefix): the word set of each line, named by two hashes, and its prefix."""
     classes = _literal(rarity_classes(docs))
     docs = docs.select("doc_id", "text")
 
@@ -83,32 +88,62 @@ def line_sets(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         return F.shiftleft(level, 59).bitwiseOR(F.shiftrightunsigned(h, 5))
 
     lines = _lines(docs).withColumn("classes", classes)
-    ordered = lines.select("doc_id", "line_no", F.sort_array(F.array_distinct(F.transform(_words(F.col("line")), ranked))).alias("ws"))
+    ordered = lines.select("doc_id", "line_no", F.xxhash64("line").alias("line_hash"), F.sort_array(F.array_distinct(F.transform(_words(F.col("line")), ranked))).alias("ws"))
     parity = F.aggregate("ws", F.lit(0).cast("long"), lambda acc, w: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), w.bitwiseAND(F.lit(63)).cast("int"))))
     n = F.size("ws")
-    return ordered.select("doc_id", "line_no", F.xxhash64("ws").alias("k1"), F.hash("ws").alias("k2"), n.alias("n"), parity.alias("parity"), F.slice("ws", 1, n - _needed(n, threshold) + 1).alias("prefix"))
+    return ordered.select("doc_id", "line_no", "line_hash", F.xxhash64("ws").alias("k1"), F.hash("ws").alias("k2"), n.alias("n"), parity.alias("parity"), F.slice("ws", 1, n - _needed(n, threshold) + 1).alias("prefix"))
+
+
+def _index(sets: DataFrame, threshold: float) -> DataFrame:
+    """(set, n, parity, done, at, w, level, g): a row for each prefix word; words whose counter is one are left out."""
+    group = F.floor(F.log(1 / threshold, F.col("n")) + 1e-9).cast("int")
+    index = sets.select("set", "n", "parity", "done", group.alias("g"), F.posexplode("prefix").alias("at", "w"))
+    return index.withColumn("level", F.shiftrightunsigned("w", 59).cast("int")).filter("level > 0")
+
+
+def _within(na: Column, nb: Column, diff: Column, threshold: float) -> tuple[Column, Column]:
+    """Words that similar sets of na and nb words share at least, and whether lengths and parities allow it."""
+    share = F.ceil((na + nb) * (threshold / (1 + threshold)) - 1e-9)
+    return share, (F.least(na, nb) >= F.greatest(na, nb) * threshold - 1e-9) & (diff <= na + nb - 2 * share)
+
+
+def star_pairs(sets: DataFrame, threshold: float = THRESHOLD, stars: int = STARS) -> DataFrame:
+    """(late, early, diff): sets that share a common prefix word, each with the earliest set of its bucket.
+
+    Common words are dealt to buckets of about ``2**RARE_LEVEL`` sets, ``stars`` times anew, so the rows are linear.
+    """
+    index = _index(sets, threshold).filter(F.col("level") > RARE_LEVEL)
+    bucket = F.pmod(F.xxhash64("set", "turn"), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("level") - RARE_LEVEL))
+    index = index.withColumn("turn", F.explode(F.array(*map(F.lit, range(stars))))).withColumn("bucket", bucket)
+    keys = ["w", "g", "turn", "bucket"]
+    heads = index.groupBy(*keys).agg(F.min(F.struct("set", "n", "parity")).alias("head"))
+    x = index.join(heads, keys).filter(F.col("set") > F.col("head.set"))
+    diff = F.bit_count(F.col("parity").bitwiseXOR(F.col("head.parity")))
+    _, fits = _within(F.col("n"), F.col("head.n"), diff, threshold)
+    return x.filter(fits).select(F.col("set").alias("late"), F.col("head.set").alias("early"), diff.alias("diff")).distinct()
 
 
 def candidate_pairs(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(a, b): numbers of distinct word sets that may be similar.  ``sets``: (set, n, parity, prefix)."""
-    base = 1 / threshold
-    group = F.floor(F.log(base, F.col("n")) + 1e-9).cast("int")
-    index = sets.select("set", "n", "parity", group.alias("g"), F.posexplode("prefix").alias("at", "w"))
-    level = F.shiftrightunsigned("w", 59)
+    """(late, early, diff): all sets that may be similar, where the later one is not ``done``.
+
+    ``sets``: (set, n, parity, prefix, done), numbered in the order of their places; diff: bits in which parities differ.
+    """
     # A partner's length is within a factor of 1/threshold, so its group is the same or the next.  Rare words need no groups.
-    rare = level <= RARE_LEVEL
-    index = index.filter(level > 0).withColumn("g", F.when(rare, -1).otherwise(F.col("g")))
-    a = index.withColumn("to", F.explode(F.when(rare, F.array("g")).otherwise(F.array("g", F.col("g") + 1)))).drop("g").alias("a")
-    b = index.alias("b")
+    rare = F.col("level") <= RARE_LEVEL
+    index = _index(sets, threshold).withColumn("g", F.when(rare, -1).otherwise(F.col("g")))
+    a = index.withColumn("to", F.explode(F.when(rare, F.array("g")).otherwise(F.array("g", F.col("g") + 1)))).drop("g", "level").alias("a")
+    b = index.drop("level").alias("b")
     na, nb = F.col("a.n"), F.col("b.n")
-    share = F.ceil((na + nb) * (threshold / (1 + threshold)) - 1e-9)
+    diff = F.bit_count(F.col("a.parity").bitwiseXOR(F.col("b.parity")))
+    share, fits = _within(na, nb, diff, threshold)
+    later = F.col("a.set") > F.col("b.set")
     keep = (
-        ((na < nb) | ((na == nb) & (F.col("a.set") < F.col("b.set"))))
-        & (na >= nb * threshold - 1e-9)
-        & (F.bit_count(F.col("a.parity").bitwiseXOR(F.col("b.parity"))) <= na + nb - 2 * share)
+        ((na < nb) | ((na == nb) & ~later & (F.col("a.set") != F.col("b.set"))))
+        & ((later & ~F.col("a.done")) | (~later & ~F.col("b.done")))
+        & fits
         & (1 + F.least(na - F.col("a.at") - 1, nb - F.col("b.at") - 1) + F.least("a.at", "b.at") >= share)
     )
-    return a.join(b, (F.col("a.w") == F.col("b.w")) & (F.col("a.to") == F.col("b.g")) & keep).select(F.col("a.set").alias("a"), F.col("b.set").alias("b")).distinct()
+    return a.join(b, (F.col("a.w") == F.col("b.w")) & (F.col("a.to") == F.col("b.g")) & keep).select(F.greatest("a.set", "b.set").alias("late"), F.least("a.set", "b.set").alias("early"), diff.alias("diff")).distinct()
 
 
 def _maybe_in(places: DataFrame) -> Column:
@@ -122,26 +157,61 @@ def _maybe_in(places: DataFrame) -> Column:
     return F.call_function("shiftrightunsigned", word, h.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
 
 
+def _verified(pairs: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
+    """``late`` of the pairs (late, early) whose word sets are similar.  ``lines``: (set, first, line, n, hs)."""
+    first, second = (lines.select(F.col("set").alias(k), F.col("first").alias(f"first{x}"), F.col("n").alias(f"n{x}"), F.col("hs").alias(f"hs{x}")) for k, x in (("late", "_l"), ("early", "_e")))
+    x = pairs.select("late", "early").join(first, "late").join(second, "early")
+    share, _ = _within(F.col("n_l"), F.col("n_e"), F.lit(0), threshold)
+    # Words of one hash count once among the hashes, so their number is added back.  Sets that start at one place decide nothing.
+    may = F.size(F.array_intersect("hs_l", "hs_e")) + F.col("n_l") - F.size("hs_l") >= share
+    x = x.filter((F.col("first_e") < F.col("first_l")) & may).select("late", "early")
+    x = x.join(lines.select(F.col("set").alias("late"), F.col("line").alias("line_")), "late").join(lines.select(F.col("set").alias("early"), "line"), "early")
+    # The lambdas bind the word sets, which are then made once a pair.
+    sets = F.array(F.struct(F.array_distinct(_words(F.col("line_"))).alias("a"), F.array_distinct(_words(F.col("line"))).alias("b")))
+    sizes = F.transform(sets, lambda s: F.struct((F.size(s["a"]) + F.size(s["b"])).alias("all"), F.size(F.array_intersect(s["a"], s["b"])).alias("both")))
+    return x.filter(F.exists(sizes, lambda s: s["both"] >= threshold * (s["all"] - s["both"]) - 1e-9)).select("late").distinct()
+
+
+def _decided(pairs: DataFrame, firsts: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+    """``late`` of all pairs (late, early, diff) that are similar; the words come from the texts."""
+    pairs = materialise(pairs)
+    wanted = pairs.select(F.explode(F.array("late", "early")).alias("set")).distinct().join(firsts, "set")
+    wanted = materialise(wanted.select("set", "first", "n", F.col("line_hash").alias("hash_")))
+    places = wanted.select(F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no"))
+    # Lines that are surely not wanted stay out of the join.
+    lines = _lines(docs.select("doc_id", "text")).filter(_maybe_in(places))
+    same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("line_no") == F.col("first.line_no")) & (F.xxhash64("line") == F.col("hash_"))
+    found = (lines.join(wanted, same).select("set", "first", "line", "n").dropDuplicates(["set"]))
+    found = materialise(found.withColumn("hs", F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.hash(w)))))
+
+    # First the likeliest partner of every set, then the other partners of the sets that it did not decide.
+    likeliest = materialise(pairs.groupBy("late").agg(F.min(F.struct("diff", "early")).alias("best")).select("late", F.col("best.early").alias("early")))
+    gone = materialise(_verified(likeliest, found, threshold))
+    rest = pairs.join(gone, "late", "left_anti").join(likeliest, ["late", "early"], "left_anti")
+    more = materialise(_verified(rest, found, threshold))
+    for used in (pairs, wanted, found, likeliest):
+        discard(used)
+    return gone.unionByName(more)
+
+
 def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, line_no) of every line that an earlier line resembles."""
     table = materialise(line_sets(docs, threshold))
-    here = F.struct("doc_id", "line_no")
-    firsts = table.groupBy("k1", "k2", "n").agg(F.min(here).alias("first"), F.first("parity").alias("parity"), F.first("prefix").alias("prefix"))
-    firsts = materialise(firsts.withColumn("set", F.monotonically_increasing_id()))
-    pairs = materialise(candidate_pairs(firsts.select("set", "n", "parity", "prefix"), threshold))
-
-    # The words of the candidates come from their texts; lines that are surely no candidates stay out of the join.
-    wanted = materialise(pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct().join(firsts.select("set", "first"), "set").select("set", "first", F.col("first.doc_id").alias("id_"), F.col("first.line_no").alias("no_")))
-    lines = _lines(docs.select("doc_id", "text")).filter(_maybe_in(wanted.select(F.col("id_").alias("doc_id"), F.col("no_").alias("line_no"))))
-    found = lines.join(wanted, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("line_no") == F.col("no_"))).select("set", "first", F.array_distinct(_words(F.col("line"))).alias("ws"))
-    found = materialise(found.dropDuplicates(["set"]))
-    x = pairs.join(found.select(F.col("set").alias("a"), F.col("ws").alias("wa"), F.col("first").alias("fa")), "a").join(found.select(F.col("set").alias("b"), F.col("ws").alias("wb"), F.col("first").alias("fb")), "b")
-    both = F.size(F.array_intersect("wa", "wb"))
-    similar = x.filter(both >= threshold * (F.size("wa") + F.size("wb") - both) - 1e-9).select("a", "b", "fa", "fb")
-    # A set's lines go if they are not its first line, or if a similar set starts earlier.
-    earlier = similar.select(F.col("a").alias("set"), F.col("fb").alias("other")).union(similar.select("b", "fa")).groupBy("set").agg(F.min("other").alias("other"))
-    firsts = firsts.select("k1", "k2", "n", "set", "first").join(earlier, "set", "left").withColumn("limit", F.coalesce(F.least("first", "other"), "first"))
-    return table.select("doc_id", "line_no", "k1", "k2", "n").join(firsts.select("k1", "k2", "n", "limit"), ["k1", "k2", "n"]).filter(here > F.col("limit")).select("doc_id", "line_no")
+    firsts = table.groupBy("k1", "k2", "n").agg(F.min(F.struct("doc_id", "line_no", "line_hash")).alias("f"), F.first("parity").alias("parity"), F.first("prefix").alias("prefix"))
+    # Sets are numbered in the order of their places.
+    ordered = firsts.repartitionByRange(shuffle_partitions(docs.sparkSession), "f").sortWithinPartitions("f")
+    firsts = materialise(ordered.select("k1", "k2", "n", "parity", "prefix", F.struct("f.doc_id", "f.line_no").alias("first"), F.col("f.line_hash").alias("line_hash")).withColumn("set", F.monotonically_increasing_id()))
+
+    # In large groups of similar sets nearly all are decided against the first of a bucket, so the join of all pairs has little left there.
+    sets = firsts.select("set", "n", "parity", "prefix")
+    done = _decided(star_pairs(sets.withColumn("done", F.lit(False)), threshold), firsts, docs, threshold)
+    marked = sets.join(done.select(F.col("late").alias("set"), F.lit(True).alias("done_")), "set", "left").withColumn("done", F.coalesce("done_", F.lit(False)))
+    gone = done.unionByName(_decided(candidate_pairs(marked, threshold), firsts, docs, threshold))
+
+    # All lines of such a set go, and of the other sets all but the first.
+    firsts = firsts.select("k1", "k2", "n", "set", "first").join(gone.select(F.col("late").alias("set"), F.lit(True).alias("all_")), "set", "left")
+    out = table.select("doc_id", "line_no", "k1", "k2", "n").join(firsts.select("k1", "k2", "n", "first", "all_"), ["k1", "k2", "n"])
+    return out.filter(F.coalesce("all_", F.lit(False)) | (F.struct("doc_id", "line_no") > F.col("first"))).select("doc_id", "line_no")
 
 
 def without_repeated_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
