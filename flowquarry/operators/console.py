@@ -41,7 +41,7 @@ def _pieces(sql: str) -> list[tuple[str, str]]:
     return out
 
 
-def guard(sql: str, limit: int = ROW_LIMIT) -> Verdict:
+def guard(sql: str, limit: int | None = ROW_LIMIT) -> Verdict:
     """Admit one SELECT or WITH statement; add a limit where the outermost query has none."""
     try:
         tokens = _pieces(sql)
@@ -66,12 +66,12 @@ def guard(sql: str, limit: int = ROW_LIMIT) -> Verdict:
     body = sql.rstrip()
     while body.endswith(";"):
         body = body[:-1].rstrip()
-    return Verdict(True, body if limited else f"{body}\nLIMIT {limit}")
+    return Verdict(True, body if limited or limit is None else f"{body}\nLIMIT {limit}")
 
 
-def run(spark: SparkSession, sql: str, **views: DataFrame) -> DataFrame:
-    """Run a guarded statement over views; Spark's parser has the last word on what is a query."""
-    v = guard(sql)
+def run(spark: SparkSession, sql: str, limit: int | None = ROW_LIMIT, **views: DataFrame) -> DataFrame:
+    """Run a guarded statement over views; Spark's parser has the last word on what is a query.  ``limit``: most rows shown, None for all."""
+    v = guard(sql, limit)
     if not v.ok:
         raise ValueError(v.reason)
     for name, df in views.items():

@@ -83,7 +83,7 @@ SELECT e AS idx,
   CASE WHEN c = 14 AND j % 11 = 1 THEN {cat("'write '", '5 + j % 2')} END AS ot_control
 FROM (SELECT event_id AS e, event_id % 16 AS c, {div('event_id', 16)} AS j, {us} AS us,
     {cat("'10.0.'", f'{J} % 7', "'.'", f'{J} % 50 + 1')} AS client,
-    CASE {J} % 10 WHEN 4 THEN '8.8.8.8' WHEN 5 THEN {cat("'10.0.9.'", f'{J} % 5 + 1')} WHEN 6 THEN {cat("'203.0.113.'", f'{J} % 9')} WHEN 7 THEN {cat("'10.0.9.'", f'{J} % 5 + 1')} WHEN 8 THEN '52.1.2.3' WHEN 9 THEN '10.0.20.1' ELSE {cat("'93.184.216.'", f'{J} % 20')} END AS server,
+    CASE {J} % 10 WHEN 4 THEN '8.8.8.8' WHEN 5 THEN {cat("'10.0.9.'", f'{J} % 5 + 1')} WHEN 6 THEN {cat("'203.0.113.'", f'{J} % 9')} WHEN 7 THEN CASE WHEN {J} % 20 = 17 THEN '93.184.217.9' ELSE {cat("'10.0.9.'", f'{J} % 5 + 1')} END WHEN 8 THEN '52.1.2.3' WHEN 9 THEN '10.0.20.1' ELSE {cat("'93.184.216.'", f'{J} % 20')} END AS server,
     CASE {J} % 10 WHEN 4 THEN 53 WHEN 5 THEN 80 WHEN 6 THEN 4444 WHEN 7 THEN 3389 WHEN 8 THEN 8443 WHEN 9 THEN 10000 + {J} % 2000 ELSE 443 END AS sport
   FROM {events}) AS scene
 """

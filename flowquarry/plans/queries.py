@@ -296,7 +296,7 @@ _Q = console.QUERIES
 
 def _console(name: str, c: Capture) -> DataFrame:
     views = {"flow": (numbered(c) if name == "q09" else c.table.withColumn("flow_id", F.lit(0))).select(*FLOW_COLUMNS)}
-    return console.run(c.spark, _Q[name], **views)
+    return console.run(c.spark, _Q[name], None, **views)
 
 
 for _name in ("q01", "q03", "q04", "q05", "q06", "q07", "q09"):
@@ -325,3 +325,5 @@ query("sql_admin_stats", "SELECT (SELECT COUNT(*) FROM customer) AS customers, (
 )
 query("sql_top_paths", "SELECT event_type AS path, COUNT(*) AS views, COUNT(DISTINCT user_id) AS sessions FROM events GROUP BY 1 ORDER BY views DESC, path LIMIT 20")(lambda c: console.top_paths(_EV(c)))
 query("sql_rate_limit", "SELECT user_id, to_timestamp(epoch_us(ts) // 3600000000 * 3600)::TIMESTAMP AS window_start, COUNT(*) AS n, COUNT(*) > 2 AS blocked FROM events GROUP BY 1, 2")(lambda c: console.rate_limit(_EV(c), "user_id", 3600, 2))
+
+from flowquarry.plans import more_queries  # noqa: E402,F401  registers the rest
