@@ -50,14 +50,13 @@ def _merged(c: Capture) -> DataFrame:
 
 query("bl_merge_stat", f", {_DAILY} SELECT src_ip, COUNT(*) AS n, ROUND(AVG(bytes), 3) AS mean, ROUND(STDDEV_POP(bytes), 2) AS deviation FROM daily GROUP BY src_ip")(_merged)
 query("bl_phase", "SELECT idx, ((ts_ns // 3600000000000) % 168 + 168) % 168 AS phase FROM packet WHERE ts_known")(lambda c: c.packets.filter("ts_known").select("idx", series.phase(F.floor(F.col("ts_ns") / 1_000_000_000), 3600, 168).alias("phase")))
-_POINTS = "15 * (idx % 4) AS a, 10 * (idx % 3) AS b"
 query("scr_dims", "SELECT idx, LEAST(45, 15 * (idx % 4) + 10 * (idx % 3)) AS points FROM packet")(lambda c: c.packets.select("idx", series.clamped_points(F.array((F.col("idx") % 4 * 15).cast("int"), (F.col("idx") % 3 * 10).cast("int"))).alias("points")))
 
 query("rep_map_abuseipdb", "SELECT idx, CASE WHEN idx % 101 >= 75 THEN 'malicious' WHEN idx % 101 >= 25 THEN 'unknown' WHEN idx % 3 = 0 THEN 'clean' ELSE 'unknown' END AS verdict FROM packet")(
     lambda c: c.packets.select("idx", reputation.by_confidence(F.col("idx") % 101, F.col("idx") % 3).alias("verdict"))
 )
 _LABEL = "CASE idx % 3 WHEN 0 THEN 'malicious' WHEN 1 THEN 'benign' ELSE 'unknown' END"
-query("rep_map_greynoise", f"SELECT idx, CASE WHEN idx % 7 = 0 THEN 'notfound' WHEN idx % 3 = 0 THEN 'malicious' WHEN idx % 3 = 1 OR idx % 5 = 0 THEN 'clean' ELSE 'unknown' END AS verdict FROM packet")(
+query("rep_map_greynoise", "SELECT idx, CASE WHEN idx % 7 = 0 THEN 'notfound' WHEN idx % 3 = 0 THEN 'malicious' WHEN idx % 3 = 1 OR idx % 5 = 0 THEN 'clean' ELSE 'unknown' END AS verdict FROM packet")(
     lambda c: c.packets.select("idx", reputation.by_label(F.when(F.col("idx") % 7 == 0, 404).otherwise(200), F.expr(_LABEL), F.col("idx") % 5 == 0).alias("verdict"))
 )
 
@@ -82,3 +81,12 @@ query(
     t AS (SELECT *, SUM(changed) OVER (PARTITION BY li, lo, hi, ho, transport ORDER BY ts_ns, idx) AS turn FROM g)
     SELECT li AS lo_ip, hi AS hi_ip, CAST(lo AS BIGINT) AS lo_port, CAST(ho AS BIGINT) AS hi_port, CAST(turn AS BIGINT) AS turn, fwd, COUNT(*) AS pkts, CAST(SUM(payload_len) AS BIGINT) AS payload FROM t GROUP BY li, lo, hi, ho, transport, turn, fwd""",
 )(lambda c: stream.turns(c.packets).select("lo_ip", "hi_ip", F.col("lo_port").cast("long"), F.col("hi_port").cast("long"), "turn", "fwd", "pkts", "payload"))
+
+
+def _page_hosts(c: Capture) -> DataFrame:
+    from flowquarry.sources.indicators import indicators
+
+    return indicators(c.spark.read.parquet(f"{c.sf_dir}/pages.parquet"), "url")
+
+
+query("src_ioc_text", "SELECT DISTINCT 'domain' AS kind, lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)) AS value FROM pages")(_page_hosts)
