@@ -52,6 +52,20 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def numbered(docs: DataFrame, nulls_last: bool = False) -> tuple[DataFrame, str]:
+    """``docs`` as a written table with a row number in the order (doc_id, text), and the new column's name.
+
+    Rows of equal doc_id, null included, and equal rows have numbers of their own.
+    """
+    name = "row_"
+    while name in docs.columns:
+        name += "_"
+    key = F.asc_nulls_last("doc_id") if nulls_last else F.asc_nulls_first("doc_id")
+    # Starts of texts bound the ranges, so rows of one doc_id are dealt as well and no long texts go to the driver.
+    dealt = docs.repartitionByRange(shuffle_partitions(docs.sparkSession), key, F.asc_nulls_first(F.substring(F.col("text").cast("string"), 1, 64)))
+    return materialise(dealt.sortWithinPartitions(key, F.asc_nulls_first("text")).withColumn(name, F.monotonically_increasing_id())), name
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
