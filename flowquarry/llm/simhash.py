@@ -133,21 +133,3 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, segments: int = S
     names = member.filter(F.col("component") != F.col("rep")).select("component").distinct().join(member, "component").groupBy("component").agg(F.min("doc_id").alias("name"))
     labelled = member.join(names, "component", "left").select("fp", F.coalesce("name", "doc_id").alias("component_id"))
     return fps.join(labelled, "fp").select("doc_id", "fp", "component_id")
-
-
-def first_of_each_group(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` without the documents that are near copies of one with a smaller doc_id.
-
-    Rows that repeat a doc_id count as one document, of which the row with the smallest text stays.
-    Rows with null doc_id stay only if no document of their group has one.
-    """
-    found = near_duplicates(docs, **options)
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("copies_"))
-    kept = materialise(kept)
-    out = docs.join(kept.withColumnRenamed("doc_id", "kept_id_"), F.col("doc_id").eqNullSafe(F.col("kept_id_"))).drop("kept_id_")
-    if kept.filter("copies_ > 1").limit(1).count():
-        from pyspark.sql import Window
-
-        again = out.filter("copies_ > 1").withColumn("row_", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).filter("row_ = 1").drop("row_")
-        out = out.filter("copies_ = 1").unionByName(again)
-    return out.select(*docs.columns)
