@@ -1,7 +1,9 @@
 """Line dedup by an exact set-similarity join over the words of lines, DataFrame functions only.
 
-A line is removed if an earlier line of the corpus (smaller doc_id, then smaller line number) has a
-word set with Jaccard similarity of at least ``threshold``.  The join goes in these steps:
+Rows are numbered once in a written table, in the order of doc_id and text, and a line is named by row number and
+line number.  It is removed if an earlier line of the corpus (smaller row number, then smaller line number) has a
+word set with Jaccard similarity of at least ``threshold``, and is then cut from its own row alone.  The join goes in
+these steps:
 
 1. count words over the whole corpus in a sketch of ``2**SKETCH_BITS`` counters, kept as 4-bit rarity
    classes (a fixed-size literal of 512 KB), so that each word gets its rarity without a shuffle;
@@ -19,10 +21,9 @@ word set with Jaccard similarity of at least ``threshold``.  The join goes in th
 
 Any fixed order of words gives the same result; rarity only decides the cost.  Words are the parts of
 the lower-cased line between white space.  Defined cases: null text stays null; lines without words
-always stay; lines of one document are compared as all others; rows that repeat a doc_id are compared
-by line number, and lines at the same doc_id and line number do not remove each other; lines of null
-doc_id come before all others; an empty table gives an empty result; all columns of the input are
-kept, whatever their names.
+always stay; lines of one document are compared as all others; rows that repeat a doc_id are rows of
+their own, in the order of their texts, and so are rows of null doc_id, which come before all others;
+an empty table gives an empty result; all columns of the input are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowquarry.llm.common import discard, materialise, shuffle_partitions
+from flowquarry.llm.common import discard, materialise, numbered, shuffle_partitions
 
 THRESHOLD = 0.8
 SKETCH_BITS = 20
@@ -47,8 +48,8 @@ def _words(line: Column) -> Column:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, line) for every line that has a word."""
-    return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).filter(F.col("line").rlike(r"\S"))
+    """(row_, line_no, line) for every line that has a word."""
+    return docs.select("row_", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).filter(F.col("line").rlike(r"\S"))
 
 
 def _bucket(h: Column) -> Column:
@@ -77,9 +78,9 @@ def _needed(n: Column, threshold: float) -> Column:
 
 
 def line_sets(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, line_no, line_hash, k1, k2, n, parity, prefix): the word set of each line, named by two hashes, and its prefix."""
+    """(row_, line_no, line_hash, k1, k2, n, parity, prefix): the word set of each line, named by two hashes, and its prefix."""
     classes = _literal(rarity_classes(docs))
-    docs = docs.select("doc_id", "text")
+    docs = docs.select("row_", "text")
 
     def ranked(w: Column) -> Column:
         h = F.xxhash64(w)
@@ -88,10 +89,10 @@ def line_sets(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         return F.shiftleft(level, 59).bitwiseOR(F.shiftrightunsigned(h, 5))
 
     lines = _lines(docs).withColumn("classes", classes)
-    ordered = lines.select("doc_id", "line_no", F.xxhash64("line").alias("line_hash"), F.sort_array(F.array_distinct(F.transform(_words(F.col("line")), ranked))).alias("ws"))
+    ordered = lines.select("row_", "line_no", F.xxhash64("line").alias("line_hash"), F.sort_array(F.array_distinct(F.transform(_words(F.col("line")), ranked))).alias("ws"))
     parity = F.aggregate("ws", F.lit(0).cast("long"), lambda acc, w: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), w.bitwiseAND(F.lit(63)).cast("int"))))
     n = F.size("ws")
-    return ordered.select("doc_id", "line_no", "line_hash", F.xxhash64("ws").alias("k1"), F.hash("ws").alias("k2"), n.alias("n"), parity.alias("parity"), F.slice("ws", 1, n - _needed(n, threshold) + 1).alias("prefix"))
+    return ordered.select("row_", "line_no", "line_hash", F.xxhash64("ws").alias("k1"), F.hash("ws").alias("k2"), n.alias("n"), parity.alias("parity"), F.slice("ws", 1, n - _needed(n, threshold) + 1).alias("prefix"))
 
 
 def _index(sets: DataFrame, threshold: float) -> DataFrame:
@@ -147,8 +148,8 @@ def candidate_pairs(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def _maybe_in(places: DataFrame) -> Column:
-    """Whether (doc_id, line_no) may be one of ``places``: a bitmap of fixed size, which passes more the fuller it is."""
-    h = F.xxhash64("doc_id", "line_no").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+    """Whether (row_, line_no) may be one of ``places``: a bitmap of fixed size, which passes more the fuller it is."""
+    h = F.xxhash64("row_", "line_no").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
     bits = places.select(h.alias("h")).select(F.shiftright("h", 6).cast("int").alias("slot"), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(F.lit(63)).cast("int")).alias("v"))
     words = [0] * (1 << (FILTER_BITS - 6))
     for r in bits.groupBy("slot").agg(F.bit_or("v").alias("v")).collect():  # at most 2**FILTER_BITS / 64 rows
@@ -177,10 +178,10 @@ def _decided(pairs: DataFrame, firsts: DataFrame, docs: DataFrame, threshold: fl
     pairs = materialise(pairs)
     wanted = pairs.select(F.explode(F.array("late", "early")).alias("set")).distinct().join(firsts, "set")
     wanted = materialise(wanted.select("set", "first", "n", F.col("line_hash").alias("hash_")))
-    places = wanted.select(F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no"))
+    places = wanted.select(F.col("first.row_").alias("row_"), F.col("first.line_no").alias("line_no"))
     # Lines that are surely not wanted stay out of the join.
-    lines = _lines(docs.select("doc_id", "text")).filter(_maybe_in(places))
-    same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("line_no") == F.col("first.line_no")) & (F.xxhash64("line") == F.col("hash_"))
+    lines = _lines(docs.select("row_", "text")).filter(_maybe_in(places))
+    same = (F.col("row_") == F.col("first.row_")) & (F.col("line_no") == F.col("first.line_no")) & (F.xxhash64("line") == F.col("hash_"))
     found = (lines.join(wanted, same).select("set", "first", "line", "n").dropDuplicates(["set"]))
     found = materialise(found.withColumn("hs", F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.hash(w)))))
 
@@ -195,12 +196,12 @@ def _decided(pairs: DataFrame, firsts: DataFrame, docs: DataFrame, threshold: fl
 
 
 def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, line_no) of every line that an earlier line resembles."""
+    """(row_, line_no) of every line that an earlier line resembles.  ``docs``: (row_, text), row_ distinct."""
     table = materialise(line_sets(docs, threshold))
-    firsts = table.groupBy("k1", "k2", "n").agg(F.min(F.struct("doc_id", "line_no", "line_hash")).alias("f"), F.first("parity").alias("parity"), F.first("prefix").alias("prefix"))
+    firsts = table.groupBy("k1", "k2", "n").agg(F.min(F.struct("row_", "line_no", "line_hash")).alias("f"), F.first("parity").alias("parity"), F.first("prefix").alias("prefix"))
     # Sets are numbered in the order of their places.
     ordered = firsts.repartitionByRange(shuffle_partitions(docs.sparkSession), "f").sortWithinPartitions("f")
-    firsts = materialise(ordered.select("k1", "k2", "n", "parity", "prefix", F.struct("f.doc_id", "f.line_no").alias("first"), F.col("f.line_hash").alias("line_hash")).withColumn("set", F.monotonically_increasing_id()))
+    firsts = materialise(ordered.select("k1", "k2", "n", "parity", "prefix", F.struct("f.row_", "f.line_no").alias("first"), F.col("f.line_hash").alias("line_hash")).withColumn("set", F.monotonically_increasing_id()))
 
     # In large groups of similar sets nearly all are decided against the first of a bucket, so the join of all pairs has little left there.
     sets = firsts.select("set", "n", "parity", "prefix")
@@ -210,14 +211,16 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     # All lines of such a set go, and of the other sets all but the first.
     firsts = firsts.select("k1", "k2", "n", "set", "first").join(gone.select(F.col("late").alias("set"), F.lit(True).alias("all_")), "set", "left")
-    out = table.select("doc_id", "line_no", "k1", "k2", "n").join(firsts.select("k1", "k2", "n", "first", "all_"), ["k1", "k2", "n"])
-    return out.filter(F.coalesce("all_", F.lit(False)) | (F.struct("doc_id", "line_no") > F.col("first"))).select("doc_id", "line_no")
+    out = table.select("row_", "line_no", "k1", "k2", "n").join(firsts.select("k1", "k2", "n", "first", "all_"), ["k1", "k2", "n"])
+    return out.filter(F.coalesce("all_", F.lit(False)) | (F.struct("row_", "line_no") > F.col("first"))).select("row_", "line_no")
 
 
 def without_repeated_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with the removed lines cut from ``text``, and ``removed_lines_``, the number cut."""
-    gone = removed_lines(docs, threshold).distinct().groupBy(F.col("doc_id").alias("gone_id_")).agg(F.collect_list("line_no").alias("gone_"))
-    out = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id_")), "left")
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("gone_", i)), "\n")
-    text = F.when(F.col("gone_").isNull(), F.col("text")).otherwise(kept)
-    return out.select(*[text.alias(c) if c == "text" else F.col(c) for c in docs.columns], F.coalesce(F.size("gone_"), F.lit(0)).alias("removed_lines_"))
+    rows, row = numbered(docs)
+    gone = removed_lines(rows.select(F.col(row).alias("row_"), "text"), threshold).distinct().groupBy(F.col("row_").alias(row)).agg(F.collect_list("line_no").alias("gone_"))
+    out = rows.select(F.struct(*docs.columns).alias("doc_"), F.col(row)).join(gone, row, "left")
+    text = F.col("doc_.text")
+    kept = F.array_join(F.filter(F.split(text, "\n"), lambda line, i: ~F.array_contains("gone_", i)), "\n")
+    text = F.when(F.col("gone_").isNull(), text).otherwise(kept)
+    return out.select(*[text.alias(c) if c == "text" else F.col("doc_").getField(c).alias(c) for c in docs.columns], F.coalesce(F.size("gone_"), F.lit(0)).alias("removed_lines_"))

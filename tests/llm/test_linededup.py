@@ -65,3 +65,19 @@ def test_nulls_ties_and_clashing_names(spark):
 def test_different_texts_under_one_id(spark):
     rows = [(1, "a b c d e f", 0), (1, "k l m n o p", 0), (2, "k l m n o p q", 0), (3, "a b c d e f g", 0), (4, "r s t", 0)]
     assert run(spark, rows) == brute(rows)
+
+
+def brute_rows(rows):
+    """As ``brute``, but a line belongs to its row."""
+    rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
+    return sorted(((rows[n][0], t) for n, t in brute([(n, t, 0) for n, (_, t, _) in enumerate(rows)])), key=str)
+
+
+def test_rows_that_share_an_id(spark):
+    rows = [(None, "a b c d e\nfirst clean line", 0), (None, "a b c d e\nsecond other words here", 0), (5, "unique words stay here\nf g h i j", 0), (5, "f g h i j\nkept too for sure", 0), (6, "x y z", 0), (6, "x y z", 0)]
+    got = run(spark, rows)
+    assert got == brute_rows(rows)
+    assert (None, "second other words here") in got and (5, "f g h i j\nkept too for sure") in got and (6, "") in got
+    rng = random.Random(9)
+    rows = [(rng.choice((None, 3, d)), t, n) for d, t, n in corpus(2)]
+    assert run(spark, rows) == brute_rows(rows)
