@@ -12,10 +12,10 @@ shingle strings.
 
 Words are the maximal runs of letters and digits of the lower-cased text.  Defined cases: null or wordless
 documents match nothing; null or wordless items match nothing; an item of fewer than ``width`` words
-is one shingle of all its words; repeated items (same item_id and text) count once, different texts
-under one item_id are searched as one set of shingles; repeated documents give one row a doc_id;
-rows with null doc_id or item_id are searched and reported with the null; empty tables give an empty
-result; other columns are ignored.
+is one shingle of all its words; repeated items (same item_id and text) count once, and different texts
+under one item_id, null included, are items of their own; every document row is searched by itself,
+whatever its doc_id; the result has one row for each document row and item text that it holds;
+empty tables give an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -49,14 +49,14 @@ def _hashes(ws: Column, width: int) -> Column:
 
 
 def item_shingles(items: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(item, item_id, n_words, shingle, hash): the distinct shingles of every item; item numbers the item_ids."""
-    ws = items.select("item_id", words(F.col("text")).alias("ws")).filter(F.size("ws") > 0)
+    """(item_, w, shingle, hash): the distinct shingles of every item.  ``items``: (item_, text), item_ distinct."""
+    ws = items.select("item_", words(F.col("text")).alias("ws")).filter(F.size("ws") > 0)
     sized = ws.withColumn("w", F.least(F.size("ws"), F.lit(width)))
     parts = []
     for k in range(1, width + 1):
         of_k = sized.filter(F.col("w") == k)
-        hashed = of_k.select("item_id", "ws", F.explode(F.sequence(F.lit(0), F.size("ws") - k)).alias("i"))
-        parts.append(hashed.select("item_id", F.lit(k).alias("w"), F.array_join(F.slice("ws", F.col("i") + 1, k), " ").alias("shingle"), _hash(F.transform("ws", lambda x: F.xxhash64(x)), F.col("i"), k).alias("hash")))
+        hashed = of_k.select("item_", "ws", F.explode(F.sequence(F.lit(0), F.size("ws") - k)).alias("i"))
+        parts.append(hashed.select("item_", F.lit(k).alias("w"), F.array_join(F.slice("ws", F.col("i") + 1, k), " ").alias("shingle"), _hash(F.transform("ws", lambda x: F.xxhash64(x)), F.col("i"), k).alias("hash")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -64,33 +64,33 @@ def item_shingles(items: DataFrame, width: int = WIDTH) -> DataFrame:
 
 
 def sketches(shingles: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(item_id, w, hash, need, part): bottom-k hashes of each item; need: fewest shingles of a document that can hold it."""
-    per = shingles.groupBy("item_id").agg(F.sort_array(F.collect_set(F.struct("hash", "w"))).alias("hs"))
+    """(item_, w, hash, need, part): bottom-k hashes of each item; need: fewest shingles of a document that can hold it."""
+    per = shingles.groupBy("item_").agg(F.sort_array(F.collect_set(F.struct("hash", "w"))).alias("hs"))
     per = per.withColumn("n", F.size("hs")).withColumn("part", F.ceil(F.log2("n")).cast("int"))
     k = F.least(F.col("n"), (F.floor(F.lit(1 - threshold + 1e-9) * F.call_function("shiftleft", F.lit(1), F.col("part"))) + 1).cast("int"))
-    return per.select("item_id", "part", F.ceil(F.col("n") * threshold - 1e-9).alias("need"), F.inline(F.slice("hs", 1, k)))
+    return per.select("item_", "part", F.ceil(F.col("n") * threshold - 1e-9).alias("need"), F.inline(F.slice("hs", 1, k)))
 
 
 def _probe(docs: DataFrame, widths: list[int]) -> DataFrame:
-    """(doc_id, size, w, hash): shingle hashes of each document for the shingle widths that items have."""
-    ws = docs.select("doc_id", F.transform(words(F.col("text")), lambda x: F.xxhash64(x)).alias("ws"))
+    """(doc_, size, w, hash): shingle hashes of each document for the shingle widths that items have."""
+    ws = docs.select("doc_", F.transform(words(F.col("text")), lambda x: F.xxhash64(x)).alias("ws"))
     parts = []
     for k in widths:
         fit = ws.filter(F.size("ws") >= k)
         hashes = _hashes(F.col("ws"), k)
-        parts.append(fit.select("doc_id", (F.size("ws") - k + 1).alias("size"), F.lit(k).alias("w"), F.explode(hashes).alias("hash")))
+        parts.append(fit.select("doc_", (F.size("ws") - k + 1).alias("size"), F.lit(k).alias("w"), F.explode(hashes).alias("hash")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
-def contained_items(docs: DataFrame, items: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, item_id, n_shingles, n_shared, containment) for every item that a document contains."""
+def _hits(docs: DataFrame, items: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_, item_, n_shingles, n_shared, containment) by row and item numbers.  ``docs``: (doc_, text), ``items``: (item_, text)."""
     shingles = materialise(item_shingles(items, width))
     sketch = materialise(sketches(shingles, threshold))
     widths = [r["w"] for r in sketch.select("w").distinct().orderBy("w").collect()]  # at most ``width`` rows
-    counts = shingles.groupBy("item_id").agg(F.count_distinct("shingle").alias("n_shingles"))
+    counts = shingles.groupBy("item_").agg(F.count_distinct("shingle").alias("n_shingles"))
     small = sketch.count() <= BROADCAST_ROWS
     if not widths:
         widths = [width]
@@ -101,24 +101,42 @@ def contained_items(docs: DataFrame, items: DataFrame, width: int = WIDTH, thres
         if tops:
             probe = probe.filter(F.col("hash") <= max(tops.values()))
     hits = probe.alias("d").join(side.alias("s"), (F.col("d.w") == F.col("s.w")) & (F.col("d.hash") == F.col("s.hash")) & (F.col("d.size") >= F.col("s.need")))
-    candidates = materialise(hits.select(F.col("d.doc_id"), F.col("s.item_id"), F.col("s.w")).distinct())
+    candidates = materialise(hits.select(F.col("d.doc_"), F.col("s.item_"), F.col("s.w")).distinct())
 
     # Exact check: only documents with candidates, only shingles of their candidate items.
-    of_doc = candidates.groupBy("doc_id").agg(F.collect_set("w").alias("ws_"))
-    texts = docs.select("doc_id", "text").join(of_doc.withColumnRenamed("doc_id", "id_"), F.col("doc_id").eqNullSafe(F.col("id_")))
-    ws = texts.select("doc_id", words(F.col("text")).alias("ws"), F.explode("ws_").alias("w")).filter(F.size("ws") >= F.col("w"))
+    of_doc = candidates.groupBy("doc_").agg(F.collect_set("w").alias("ws_"))
+    texts = docs.select("doc_", "text").join(of_doc, "doc_")
+    ws = texts.select("doc_", words(F.col("text")).alias("ws"), F.explode("ws_").alias("w")).filter(F.size("ws") >= F.col("w"))
     grams = F.transform(F.sequence(F.lit(0), F.size("ws") - F.col("w")), lambda i: F.array_join(F.slice("ws", i + 1, F.col("w")), " "))
-    there = ws.select("doc_id", "w", F.explode(F.array_distinct(grams)).alias("shingle"))
-    known = shingles.select("item_id", "w", "shingle").distinct()
+    there = ws.select("doc_", "w", F.explode(F.array_distinct(grams)).alias("shingle"))
+    known = shingles.select("item_", "w", "shingle").distinct()
     known = F.broadcast(known) if small else known
-    shared = there.join(known, ["w", "shingle"]).groupBy("doc_id", "item_id").agg(F.count_distinct("shingle").alias("n_shared"))
-    total = counts.withColumnRenamed("item_id", "id_")
-    total = F.broadcast(total) if small else total
-    out = shared.join(total, F.col("item_id").eqNullSafe(F.col("id_"))).drop("id_")
-    return out.withColumn("containment", F.col("n_shared") / F.col("n_shingles")).filter(F.col("containment") >= threshold - 1e-9).select("doc_id", "item_id", "n_shingles", "n_shared", "containment")
+    shared = there.join(known, ["w", "shingle"]).groupBy("doc_", "item_").agg(F.count_distinct("shingle").alias("n_shared"))
+    total = F.broadcast(counts) if small else counts
+    out = shared.join(total, "item_")
+    return out.withColumn("containment", F.col("n_shared") / F.col("n_shingles")).filter(F.col("containment") >= threshold - 1e-9).select("doc_", "item_", "n_shingles", "n_shared", "containment")
+
+
+def _numbered(docs: DataFrame, column: str, *names: str) -> DataFrame:
+    """``docs`` with the number ``column`` for every row, as a written table."""
+    return materialise(docs.select(*[F.col(n) for n in names]).withColumn(column, F.monotonically_increasing_id()))
+
+
+def contained_items(docs: DataFrame, items: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, item_id, n_shingles, n_shared, containment) for every item that a document contains."""
+    rows = _numbered(docs, "doc_", "doc_id", "text")
+    known = _numbered(items.select("item_id", "text").distinct(), "item_", "item_id", "text")
+    hits = _hits(rows.select("doc_", "text"), known.select("item_", "text"), width, threshold)
+    out = hits.join(rows.select("doc_", "doc_id"), "doc_").join(known.select("item_", "item_id"), "item_")
+    return out.select("doc_id", "item_id", "n_shingles", "n_shared", "containment")
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """``docs`` without the documents that contain a benchmark item."""
-    bad = contained_items(docs, items, **options).select(F.col("doc_id").alias("bad_id_")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("bad_id_")), "left_anti")
+    """``docs`` without the rows that contain a benchmark item."""
+    name = "doc_"
+    while name in docs.columns:
+        name += "_"
+    rows = _numbered(docs, name, *docs.columns)
+    known = _numbered(items.select("text").distinct(), "item_", "text")
+    bad = _hits(rows.select(F.col(name).alias("doc_"), "text"), known, **options).select(F.col("doc_").alias(name)).distinct()
+    return rows.join(bad, name, "left_anti").select(*docs.columns)
