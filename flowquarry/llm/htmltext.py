@@ -33,34 +33,67 @@ SIDE = frozenset("nav footer aside form menu dialog button select fieldset audio
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img input".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CONTAINERS = frozenset(("article", "main"))
-#: Whole words of class, id or role that name a part other than the article.
+#: Names in class, id or role of a part other than the article: all parts of such a name are among these or ``BESIDE``.
 SIDE_WORDS = re.compile(
-    r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|breadcrumbs?|ads?|adverts?|advertisements?|advertising|sponsor(?:ed)?|promo(?:tion)?s?|banner|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|sidebar|side|aside|widget|footer|masthead|comments?|commentlist|respond|disqus|replies|related|recommend(?:ed|ations)?|share|sharing|social|newsletter|subscribe|subscription|signup|login|search|pagination|pager|toolbar|contentinfo|complementary|topbar|copyright)(?:$|[\s_-])",
-    re.IGNORECASE,
+    r"nav|navbar|navigation|menu|breadcrumbs?|ads?|adverts?|advertisements?|advertising|sponsor(?:ed)?|promo(?:tion)?s?|banner|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|sidebar|side|aside|widgets?|footer|masthead|comments?|commentlist|respond|disqus|replies|related|recommend(?:ed|ations)?|share|sharing|social|newsletter|subscribe|subscription|signup|login|search|pagination|pager|toolbar|contentinfo|complementary|topbar|copyright"
 )
-HEADER_WORDS = re.compile(r"(?:^|[\s_-])(?:header|site-header|page-header)(?:$|[\s_-])", re.IGNORECASE)
-NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
-HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?until)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.IGNORECASE)
+BESIDE = re.compile(r"site|page|global|main|primary|secondary|top|bottom|left|right|post|posts|article|articles|story|stories|blog|list|box|bar|block|area|section|wrapper|wrap|container|inner|outer|panel|group|row|item|items|link|links|button|buttons|icons?|form|slot|unit|media|thread|policy|body|content|header|title|fixed|sticky|mobile|desktop|[0-9]+")
+#: Names that only begin like a side part: the layout has it, or lacks it.
+LAYOUT = re.compile(r"(?:no|has|with|without|is|not|content|main)[-_]", re.IGNORECASE)
+HEADERS = frozenset("header site-header page-header site_header page_header main-header top-header".split())
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+#: Elements that are spared only for an article in them, however much text they hold.
+STRICT = SIDE - {"form", "fieldset", "dialog"}
 TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|$)""", re.DOTALL)
 RAW_END = {t: re.compile(rf"</{t}\b[^>]*>", re.IGNORECASE) for t in RAW}
 
 
+def _names_side(name: str) -> bool:
+    """Whether a name as a whole means a part other than the article."""
+    if LAYOUT.match(name):
+        return False
+    parts = [p for p in re.split(r"[-_]+", name.lower()) if p]
+    return any(SIDE_WORDS.fullmatch(p) for p in parts) and all(SIDE_WORDS.fullmatch(p) or BESIDE.fullmatch(p) for p in parts)
+
+
 def _is_side(tag: str, attributes: str, inside: bool) -> bool:
     if tag in SIDE or tag == "header" and not inside:
         return True
     if not attributes or tag in ("html", "body"):
         return False
-    if tag not in ("article", "main"):
-        names = " ".join(a or b or c for a, b, c in NAMED.findall(attributes))
-        if names and (SIDE_WORDS.search(names) or HEADER_WORDS.search(names) and not inside):
+    values = {}
+    for name, *value in ATTRIBUTE.findall(attributes):
+        values.setdefault(name.lower(), "".join(value))
+    names = [n for key in ("class", "id", "role") for n in values.get(key, "").split()]
+    if tag in CONTAINERS:
+        if any("comment" in n.lower() and _names_side(n) for n in names):
             return True
-    elif re.search(r"comment", attributes, re.IGNORECASE):
+    elif any(_names_side(n) or n.lower() in HEADERS and not inside for n in names):
         return True
-    return bool(HIDDEN.search(attributes))
+    hidden = "hidden" in values and values["hidden"].lower() != "until-found"
+    return hidden or "hidden" in values.get("class", "").split() or values.get("aria-hidden", "").lower() == "true" or bool(re.search(r"display\s*:\s*none", values.get("style", ""), re.IGNORECASE))
 
 
 def page_lines(page: str) -> list[tuple[str, int, int]]:
-    """Lines of a page: text, its length without link text, and the number of its article container (0: none)."""
+    """Lines of a page: text, its length without link text, and the number of its article container (0: none).
+
+    A side part is read after all if it holds the page's article or, where no article is marked, most of its text.
+    """
+    spared: set[int] = set()
+    while True:
+        lines, parts, total = _parsed(page, spared)
+        marked = any(c for t, _, c in lines if t)
+        more = {at for at, (strict, main, article, size) in parts.items() if main or not marked and (article or not strict and 2 * size > total)}
+        if not more:
+            return lines
+        spared |= more
+
+
+def _parsed(page: str, spared: set[int]) -> tuple[list[tuple[str, int, int]], dict[int, list], int]:
+    """Lines; for each outermost side part, by its place, whether its element is strict, holds a main, an article, and its size; size of all text."""
+    parts: dict[int, list] = {}
+    part: list = []  # the side part that is open
+    total = 0
     lines: list[tuple[str, int, int]] = []
     text: list[str] = []
     stack: list[tuple[str, bool, bool]] = []  # open elements: tag, whether it begins a side part, whether a container
@@ -76,8 +109,12 @@ def page_lines(page: str) -> list[tuple[str, int, int]]:
         linked = 0
 
     def put(raw: str) -> None:
-        nonlocal linked
-        if raw and not side:
+        nonlocal linked, total
+        size = len("".join(raw.split()))
+        total += size
+        if side:
+            part[3] += size
+        elif raw:
             piece = entities.unescape(raw)
             text.append(piece)
             if links:
@@ -123,8 +160,10 @@ def page_lines(page: str) -> list[tuple[str, int, int]]:
         if tag in INLINE:
             if tag == "a":
                 links += 1
-            if tag in VOID or not (tag == "span" and _is_side(tag, m[3], bool(container))):
+            if tag in VOID or not (tag == "span" and m.start() not in spared and _is_side(tag, m[3], bool(container))):
                 continue
+            if not side:
+                part = parts[m.start()] = [False, False, False, 0]
             stack.append((tag, True, False))
             side += 1
             continue
@@ -137,7 +176,11 @@ def page_lines(page: str) -> list[tuple[str, int, int]]:
                 side -= stack.pop()[1]
             if not _is_side(tag, m[3], bool(container)):
                 continue
-        began = _is_side(tag, m[3], bool(container))
+        began = m.start() not in spared and _is_side(tag, m[3], bool(container))
+        if began and not side:
+            part = parts[m.start()] = [tag in STRICT, False, False, 0]
+        if side and tag in CONTAINERS and not _is_side(tag, m[3], True):
+            part[1 if tag == "main" else 2] = True
         held = tag in CONTAINERS and not side and not began and not container
         if held:
             made += 1
@@ -146,7 +189,7 @@ def page_lines(page: str) -> list[tuple[str, int, int]]:
         stack.append((tag, began, held))
         links = 0
     flush()
-    return lines
+    return lines, parts, total
 
 
 def main_lines(lines: list[tuple[str, int, int]]) -> list[str]:
