@@ -5,8 +5,9 @@ inline elements do not.  Elements that never hold article text (scripts, styles,
 asides and the like, and containers whose class, id or role names such a part) give empty lines.  The
 text lengths of lines, link text left out, are summed over windows of ``WINDOW`` lines.  The text starts at the
 surge, where the sums rise from nothing to at least ``SURGE`` characters, and ends at the dive, where they
-fall back to nothing; all lines between a surge and its dive are kept.  If a page marks its article,
-the distribution is taken inside that container alone, and any text there is a surge.
+fall back to nothing; all lines between a surge and its dive are kept, and removed parts are no distance
+between the first surge and the last dive.  If a page marks its articles, all lines inside those containers
+are kept, and text beside them where it surges by itself.
 
 Defined cases: null or empty html gives empty text; markup that is cut off or not closed ends with the
 page or with its parent; a page without a surge gives all of its remaining lines; long pages are read
@@ -192,38 +193,39 @@ def _parsed(page: str, spared: set[int]) -> tuple[list[tuple[str, int, int]], di
     return lines, parts, total
 
 
-def main_lines(lines: list[tuple[str, int, int]]) -> list[str]:
-    """Lines between the surge and dive points of the distribution."""
-    weight: dict[int, int] = {}
-    for t, _, c in lines:
-        if c:
-            weight[c] = weight.get(c, 0) + len(t)
-    if weight and max(weight.values()):
-        best = max(weight, key=lambda c: (weight[c], -c))
-        lines, surge = [x for x in lines if x[2] == best], 1
-        lengths = [len(t) for t, _, _ in lines]
-    else:
-        surge = SURGE
-        lengths = [n for _, n, _ in lines]
-    n = len(lines)
+def _runs(lengths: list[int], surge: int) -> list[tuple[int, int]]:
+    """(surge, dive) of the runs of lines whose window sums rise to ``surge`` characters."""
+    n = len(lengths)
     # sums[i]: text of the window of lines that begins at line i
     run = [0]
     for x in lengths:
         run.append(run[-1] + x)
     sums = [run[min(n, i + WINDOW)] - run[i] for i in range(n)]
-    kept: list[str] = []
+    found = []
     i = 0
     while i < n:
-        if not sums[i]:
-            i += 1
-            continue
         dive = i
         while dive < n and sums[dive]:
             dive += 1
-        if max(sums[i:dive]) >= surge:
-            kept.extend(t for t, _, _ in lines[i:dive] if t)
-        i = dive
-    return kept or [t for t, _, _ in lines if t]
+        if dive > i and max(sums[i:dive]) >= surge:
+            found.append((i, dive))
+        i = max(dive, i + 1)
+    return found
+
+
+def main_lines(lines: list[tuple[str, int, int]]) -> list[str]:
+    """Lines of all article containers, and between the surge and dive points of the distribution."""
+    inside = [i for i, (t, _, c) in enumerate(lines) if t and c]
+    if inside:
+        # Text beside the containers counts if it surges by itself.
+        kept = {i for a, b in _runs([0 if c else n for _, n, c in lines], SURGE) for i in range(a, b) if lines[i][0]} | set(inside)
+        return [lines[i][0] for i in sorted(kept)]
+    found = _runs([n for _, n, _ in lines], SURGE)
+    if not found:
+        return [t for t, _, _ in lines if t]
+    # Removed side parts are no distance between the first surge and the last dive.
+    body = [x for x in lines[found[0][0] : found[-1][1]] if x[0]]
+    return [t for a, b in _runs([n for _, n, _ in body], SURGE) for t, _, _ in body[a:b]]
 
 
 def main_text(page: str | None) -> str:

@@ -25,3 +25,10 @@ def test_articles_stay(begin):
 def test_side_parts_go(name):
     assert main_text(f"<article><p>Text.</p><div {name}><p>other</p></div></article>") == "Text."
     assert main_text("<article><p>Text.</p><article class='comment'><p>nice</p></article></article>") == "Text."
+
+
+def test_all_containers_and_short_blocks():
+    assert main_text("<article>One.</article><aside>ad</aside><article>Two, longer.</article><div class=comments><article>nice</article></div>") == "One. Two, longer."
+    assert main_text(f"<article>One.</article><p>{LONG}</p><footer>(c)</footer>") == f"One. {LONG}"
+    advert = "<div class=advert>buy</div>"
+    assert main_text(f"<p>{LONG}</p>{advert}<h2>Short heading</h2>{advert}<p>A short line.</p>{advert}<p>{LONG}</p>{advert}<p>far</p>") == f"{LONG} Short heading A short line. {LONG}"
