@@ -267,7 +267,7 @@ query("cor_parent")(lambda c: correlate.parents(correlate.pivot_edges(c.findings
 query("cor_chain")(lambda c: correlate.chains(c.findings))
 query("cor_chain_score")(lambda c: correlate.chains(c.findings).select("chain_id", "score", "confidence", "severity"))
 query("cor_campaign")(lambda c: correlate.campaigns(c.findings, correlate.chains(c.findings)))
-query("cor_local_hosts", "SELECT COALESCE(a.mac, d.mac) AS mac, ip, hostname, vendor FROM (SELECT arp_ip AS ip, ARG_MIN(arp_mac, idx) AS mac FROM packet WHERE arp_ip IS NOT NULL GROUP BY 1) a FULL JOIN (SELECT dhcp_mac AS mac, ARG_MIN(dhcp_hostname, idx) FILTER (WHERE dhcp_hostname IS NOT NULL) AS hostname, ARG_MIN(dhcp_vendor, idx) AS vendor FROM packet WHERE dhcp_mac IS NOT NULL GROUP BY 1) d ON a.mac = d.mac")(lambda c: correlate.local_hosts(rollups.arp_hosts(c.packets), rollups.dhcp_hosts(c.packets)))
+query("cor_local_hosts", "SELECT COALESCE(a.mac, d.mac) AS mac, ip, hostname, vendor FROM (SELECT arp_ip AS ip, ARG_MIN(arp_mac, idx) AS mac FROM packet WHERE arp_ip IS NOT NULL GROUP BY 1) a FULL JOIN (SELECT dhcp_mac AS mac, ARG_MIN(dhcp_hostname, idx) FILTER (WHERE dhcp_hostname IS NOT NULL) AS hostname, ARG_MIN(dhcp_vendor, idx) AS vendor FROM packet WHERE dhcp_mac IS NOT NULL GROUP BY 1) d ON a.mac = d.mac")(lambda c: correlate.local_hosts(rollups.arp_hosts(c.packets, None), rollups.dhcp_hosts(c.packets, None)))
 _INDEX = "(SELECT kind, value, BOOL_OR(ioc) AS flagged FROM (SELECT 'ip' AS kind, lo_ip AS value, ioc FROM flows UNION ALL SELECT 'ip', hi_ip, ioc FROM flows UNION ALL SELECT 'domain', sni, ioc FROM flows UNION ALL SELECT 'ja3', ja3, ioc FROM flows UNION ALL SELECT 'ja4', ja4, ioc FROM flows) WHERE value IS NOT NULL GROUP BY 1, 2)"
 query("cor_index", f"SELECT * FROM {_INDEX}")(lambda c: correlate.capture_index(c.flows))
 query("cor_rescan", f"SELECT kind, value, CASE WHEN flagged THEN 'still' ELSE 'newly' END AS state FROM {_INDEX} WHERE (kind = 'ip' AND (value = '45.77.1.9' OR value LIKE '10.0.9.%')) OR (kind = 'domain' AND value LIKE '%.example.org') OR (kind = 'ja3' AND value = 'ja3-2')")(
@@ -311,8 +311,8 @@ def _incident_view(c: Capture) -> DataFrame:
     return correlate.incidents(c.findings).select("host", "severity", F.timestamp_micros(F.expr("last_ns div 1000")).alias("created_at"))
 
 
-query("q02")(lambda c: console.run(c.spark, _Q["q02"], finding=_finding_view(c)))
-query("q08")(lambda c: console.run(c.spark, _Q["q08"], incident=_incident_view(c)))
+query("q02")(lambda c: console.run(c.spark, _Q["q02"], None, finding=_finding_view(c)))
+query("q08")(lambda c: console.run(c.spark, _Q["q08"], None, incident=_incident_view(c)))
 query("sql_flow_filter", "SELECT src_ip, dst_ip, dst_port, category FROM flow WHERE category = 'web' AND sni LIKE '%host3%'")(lambda c: console.flow_filter(c.table, "HOST3", category="web").select("src_ip", "dst_ip", "dst_port", "category"))
 query("sql_flow_xfilter", "SELECT src_ip, dst_ip, dst_port FROM flow WHERE flow_id % 3 = 0")(lambda c: (lambda t: console.restrict(t, t.filter("flow_id % 3 = 0").select("flow_id")).select("src_ip", "dst_ip", "dst_port"))(numbered(c)))
 query("sql_finding_filter")(lambda c: console.finding_filter(c.findings, "10.0.2", severity="high").select(*_SHOW))
