@@ -14,8 +14,8 @@ from itertools import chain
 
 import numpy as np
 
-#: Distinct pre-tokens that a Python worker remembers before it starts anew.
-MEMORY = 700_000
+#: Distinct words of a generation that a Python worker remembers; it keeps two generations.
+MEMORY = 400_000
 
 
 #: Characters seen so far whose class is the same in ``re`` as in the library.
@@ -84,6 +84,7 @@ class WordEncoder:
         special = sorted((t.content for t in self.tok.get_added_tokens_decoder().values()), key=len, reverse=True)
         self.special = re.compile("|".join(map(re.escape, special)))
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _words(self, text: str) -> list[str]:
         text = text if text.isascii() else unicodedata.normalize("NFC", text)
@@ -93,11 +94,13 @@ class WordEncoder:
         """Ids of each text, as the library gives them without special tokens of its own."""
         plain = [not self.special.search(t) and is_plain(t) for t in texts]
         cut = [self._words(t) if ok else [] for t, ok in zip(texts, plain, strict=True)]
-        new = set(chain.from_iterable(cut)).difference(self.known)
+        wanted = set(chain.from_iterable(cut))
+        new = wanted.difference(self.known)
         if len(self.known) + len(new) > MEMORY:
-            self.known = {}
-            new = set(chain.from_iterable(cut))
-        self._learn(list(new))
+            self.older, self.known, new = self.known, {}, wanted
+        kept = [w for w in new if w in self.older]
+        self.known.update((w, self.older[w]) for w in kept)
+        self._learn(list(new.difference(kept)))
         get = self.known.__getitem__
         out = [np.frombuffer(b"".join(map(get, ws)), dtype="<u4") for ws in cut]
         for i, ok in enumerate(plain):
@@ -115,3 +118,14 @@ class WordEncoder:
                 self.known.update((w, raw[a:b]) for w, a, b in zip(part, edges, edges[1:], strict=False))
             else:
                 self.known.update((w, np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False), strict=True))
+
+
+#: Encoders and cutters of this Python worker, which its tasks share.
+_made: dict[tuple[type, str], object] = {}
+
+
+def of_worker(kind: type, path: str):
+    """The worker's ``kind(path)``, made once."""
+    if (kind, path) not in _made:
+        _made[kind, path] = kind(path)
+    return _made[kind, path]

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowquarry.llm.common import materialise, slices
-from flowquarry.llm.textids import ByteLevelCutter
+from flowquarry.llm.textids import ByteLevelCutter, of_worker
 
 HOT_SHARE = 5_000
 HOT_LIMIT = 300_000
@@ -36,7 +36,7 @@ def document_frequencies(docs: DataFrame, path: str) -> DataFrame:
     """(pretoken, df): number of documents that have each pre-token."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter, seen = ByteLevelCutter(path), Counter()
+        cutter, seen = of_worker(ByteLevelCutter, path), Counter()
         for whole in batches:
             for b in slices(whole, 0, 2_000_000):
                 for t in b.column(0):
@@ -58,7 +58,7 @@ def piece_counts(frequencies: DataFrame, path: str) -> DataFrame:
     """(pretoken, df, pieces) for distinct pre-tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter = ByteLevelCutter(path)
+        cutter = of_worker(ByteLevelCutter, path)
         for whole in batches:
             for at in range(0, whole.num_rows, 2000):
                 b = whole.slice(at, 2000)
@@ -77,7 +77,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024, hot_share: int =
     schema = T.StructType([docs.schema["doc_id"], *(T.StructField(n, t) for n, t in (("n_bytes", T.LongType()), ("part", T.LongType()), ("rare", T.ArrayType(T.StringType())), ("times", T.ArrayType(T.IntegerType()))))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter, known = ByteLevelCutter(path), sent.value
+        cutter, known = of_worker(ByteLevelCutter, path), sent.value
         for whole in batches:
             for b in slices(whole, 1, 4_000_000):
                 size, part, rare, times = [], [], [], []

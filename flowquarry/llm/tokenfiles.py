@@ -3,12 +3,15 @@
 Documents go in ascending doc_id order to shards, a table partition each.  A shard's stream of ids is
 cut into blocks of whole documents; a block is one binary value: every id takes ``bits`` bits (the
 fewest that hold the vocabulary's largest id), least significant bit first.  Beside it stand the
-block's first id position in the shard, the doc_ids and the start of each document in the block, so
-that any document is found by its shard, block and start, and is unpacked without its neighbours.
+block's first id position in the shard, its least and largest doc_id, the doc_ids and the start of each
+document in the block: a document is found by the two bounds, which Parquet's statistics prune by, and
+unpacked without its neighbours.
+
+Ranges of (doc_id, hash of the text, row) bound the shards, so a hot doc_id is dealt as well.
 
 Defined cases: null text is empty and has the end id only; rows with null doc_id come first; rows that
-repeat a doc_id follow one another in the order of their texts; long texts fill a block of their own;
-an empty table gives an empty result; other columns are ignored.
+repeat a doc_id follow one another in the order of the hashes of their texts; long texts fill a block of
+their own; doc_id may have any type that sorts; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,12 +22,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowquarry.llm.common import ordered_shards, scratch_dir, slices
-from flowquarry.llm.textids import WordEncoder
+from flowquarry.llm.common import scratch_dir, shuffle_partitions, slices
+from flowquarry.llm.textids import WordEncoder, of_worker
 
 #: A block is closed once it has this many ids.
 BLOCK_IDS = 1 << 16
@@ -54,38 +58,43 @@ def unpack(data: bytes, bits: int, start: int, n: int) -> np.ndarray:
 
 def write_ids(docs: DataFrame, tokenizer: str, end_id: int, path: str, block_ids: int = BLOCK_IDS) -> None:
     """Write the ids of all rows, each followed by ``end_id``, as packed blocks under ``path``."""
-    schema = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("block", T.IntegerType()), T.StructField("first", T.LongType()), T.StructField("bits", T.IntegerType()), T.StructField("doc_ids", T.ArrayType(docs.schema["doc_id"].dataType)), T.StructField("starts", T.ArrayType(T.IntegerType())), T.StructField("n_ids", T.IntegerType()), T.StructField("data", T.BinaryType())])
-    id_type = pa.int64() if isinstance(docs.schema["doc_id"].dataType, T.LongType) else pa.int32()
+    id_ = docs.schema["doc_id"].dataType
+    fields = [("shard", T.IntegerType()), ("block", T.IntegerType()), ("first", T.LongType()), ("bits", T.IntegerType()), ("least", id_), ("most", id_)]
+    fields += [("doc_ids", T.ArrayType(id_)), ("starts", T.ArrayType(T.IntegerType())), ("n_ids", T.IntegerType()), ("data", T.BinaryType())]
+    schema = T.StructType([T.StructField(n, t) for n, t in fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = WordEncoder(tokenizer)
-        bits = width_of(max(coder.size, end_id + 1))
-        at, block, first, shard, ids, names = 0, 0, 0, None, [], []
+        coder = of_worker(WordEncoder, tokenizer)
+        bits, shard = width_of(max(coder.size, end_id + 1)), TaskContext.get().partitionId()
+        at, block, first, ids, names = 0, 0, 0, [], []
 
-        def close() -> pa.RecordBatch:
+        def close(id_type: pa.DataType) -> pa.RecordBatch:
             starts = np.concatenate(([0], np.cumsum([len(x) for x in ids])))
-            values = [[shard], [block], [first], [bits], [names], [starts[:-1].tolist()], [int(starts[-1])], [pack(np.concatenate(ids), bits)]]
-            types = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.list_(id_type), pa.list_(pa.int32()), pa.int32(), pa.binary()]
+            known = [n for n in names if n is not None]
+            values = [[shard], [block], [first], [bits], [min(known, default=None)], [max(known, default=None)], [names], [starts[:-1].tolist()], [int(starts[-1])], [pack(np.concatenate(ids), bits)]]
+            types = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), id_type, id_type, pa.list_(id_type), pa.list_(pa.int32()), pa.int32(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, types, strict=True)], names=schema.names)
 
+        kind = pa.null()
         for whole in batches:
-            for b in slices(whole, 2):
-                got = coder.encode([t.as_py() or "" for t in b.column(2)])
-                for k, doc, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), got, strict=True):
-                    if ids and (k != shard or at - first >= block_ids):
-                        yield close()
-                        block, first, ids, names = (block + 1, at, [], []) if k == shard else (0, 0, [], [])
-                        at = at if k == shard else 0
-                    shard = k
+            kind = whole.schema.field(0).type
+            for b in slices(whole, 1):
+                for doc, x in zip(b.column(0).to_pylist(), coder.encode([t.as_py() or "" for t in b.column(1)]), strict=True):
+                    if ids and at - first >= block_ids:
+                        yield close(kind)
+                        block, first, ids, names = block + 1, at, [], []
                     ids.append(np.append(x, np.uint32(end_id)))
                     names.append(doc)
                     at += len(ids[-1])
         if ids:
-            yield close()
+            yield close(kind)
 
-    rows, n = ordered_shards(docs.select("doc_id", F.col("text").cast("string")), "doc_id")
-    dealt = rows.filter(~F.col("lookahead")).repartition(n, "shard").sortWithinPartitions("shard", "doc_id", "text")
-    dealt.select("shard", "doc_id", "text").mapInArrow(run, schema).write.parquet(path)
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    rows = rows.withColumn("hash_", F.xxhash64("text")).withColumn("row_", F.monotonically_increasing_id())
+    order = [F.asc_nulls_first("doc_id"), "hash_", "row_"]
+    # A partition's number is its shard, as ranges ascend with it.
+    dealt = rows.repartitionByRange(shuffle_partitions(docs.sparkSession), *order).sortWithinPartitions(*order)
+    dealt.select("doc_id", "text").mapInArrow(run, schema).write.parquet(path)
 
 
 def read_ids(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
@@ -111,9 +120,10 @@ def read_ids(spark: SparkSession, path: str, with_ids: bool = False) -> DataFram
     return files.select("shard", "first", "bits", "doc_ids", "starts", "n_ids", "data").mapInArrow(run, T.StructType(fields))
 
 
-def document_ids(spark: SparkSession, path: str, doc_id: int) -> list[np.ndarray]:
-    """Random access: ids of the rows of one document, from the blocks that hold it alone."""
-    found = spark.read.parquet(path).filter(F.array_contains("doc_ids", doc_id)).select("doc_ids", "starts", "n_ids", "bits", "data").collect()
+def document_ids(spark: SparkSession, path: str, doc_id: int | str) -> list[np.ndarray]:
+    """Random access: ids of the rows of one document, from the blocks whose bounds allow it alone."""
+    near = spark.read.parquet(path).filter((F.col("least") <= F.lit(doc_id)) & (F.col("most") >= F.lit(doc_id)))
+    found = near.filter(F.array_contains("doc_ids", F.lit(doc_id))).select("shard", "block", "doc_ids", "starts", "n_ids", "bits", "data").orderBy("shard", "block").collect()
     return [unpack(bytes(r["data"]), r["bits"], s, e - s) for r in found for d, s, e in zip(r["doc_ids"], r["starts"], [*r["starts"][1:], r["n_ids"]], strict=True) if d == doc_id]
 
 
