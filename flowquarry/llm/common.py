@@ -24,10 +24,12 @@ def tokenizer_path(name: str) -> str:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """Shared folder for intermediate tables: ``spark.checkpoint.dir``; a temporary folder only where that is unset."""
+    """Shared folder for intermediate tables: ``spark.checkpoint.dir``; a temporary folder only in local mode where that is unset."""
     sc = spark.sparkContext
     found = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", "")
     if not found:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all nodes share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="flowquarry-"))
         found = sc.getCheckpointDir()
     return found
@@ -37,9 +39,9 @@ def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` once as a table in the shared folder and read it back; this cuts its lineage."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    # The job's shuffle files are of no further use; Spark drops them once the driver's heap lets go of the plan.
-    spark._jvm.System.gc()
+    # The job's shuffle files are of no further use once the table is there.
+    with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -57,9 +59,7 @@ def numbered(docs: DataFrame, nulls_last: bool = False) -> tuple[DataFrame, str]
 
     Rows of equal doc_id, null included, and equal rows have numbers of their own.
     """
-    name = "row_"
-    while name in docs.columns:
-        name += "_"
+    name = free_name("row_", docs.columns)
     key = F.asc_nulls_last("doc_id") if nulls_last else F.asc_nulls_first("doc_id")
     # Starts of texts bound the ranges, so rows of one doc_id are dealt as well and no long texts go to the driver.
     dealt = docs.repartitionByRange(shuffle_partitions(docs.sparkSession), key, F.asc_nulls_first(F.substring(F.col("text").cast("string"), 1, 64)))
@@ -70,16 +70,28 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """``name``, or with as many ``_`` behind it as make it none of ``taken``; names differ by more than case."""
+    lower = {t.lower() for t in taken}
+    while name.lower() in lower:
+        name += "_"
+    return name
+
+
 @contextmanager
-def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Arrow batches of at most ``rows`` rows for the jobs that run inside; whole texts make large rows."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A configuration value for the jobs that run inside."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def batches_of(spark: SparkSession, rows: int):
+    """Arrow batches of at most ``rows`` rows for the jobs that run inside; whole texts make large rows."""
+    return setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
 def slices(batch: pa.RecordBatch, text: int, limit: int = 8_000_000) -> Iterator[pa.RecordBatch]:

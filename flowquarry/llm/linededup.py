@@ -1,70 +1,101 @@
 """Line dedup by an exact set-similarity join over the words of lines, DataFrame functions only.
 
-Rows are numbered once in a written table, in the order of doc_id and text, and a line is named by row number and
-line number.  It is removed if an earlier line of the corpus (smaller row number, then smaller line number) has a
-word set with Jaccard similarity of at least ``threshold``, and is then cut from its own row alone.  The join goes in
-these steps:
+A line is removed if an earlier line of the corpus has a word set with Jaccard similarity of at least
+``threshold``, and is cut from its own row alone.  Lines stand in the order of doc_id (null first), hash of the
+row's text, row, line number.  A row is named by its file and its place in it; a frame that is no table of
+files is written once first.  The join goes in these steps:
 
-1. count words over the whole corpus in a sketch of ``2**SKETCH_BITS`` counters, kept as 4-bit rarity
-   classes (a fixed-size literal of 512 KB), so that each word gets its rarity without a shuffle;
+1. count words over the whole corpus in counters whose number follows the number of distinct words (at most
+   ``2**MOST_BITS``), kept as 4-bit rarity classes that span the corpus's largest count;
 2. per line, order its distinct words by rarity and keep its prefix, the shortest start that a similar
    line must meet; words whose counter is one occur nowhere else and are left out of the index;
-3. lines of equal word sets become one set with its earliest position, and sets of more than one line
-   need no join among themselves;
-4. sets that share a common word are compared with the first set of a bucket; those found similar to
-   it are done, so that a large group of similar lines is not joined pairwise;
-5. join the prefixes on word and length group under the length filter, the positional filter and a
-   parity filter: the number of bits in which two 64-bit parities of word hashes differ never exceeds
-   the number of words that are in one set only; pairs whose later set is done are left out;
-6. verify the remaining pairs on the words themselves, for every set its likeliest earlier partner
-   first and the others only where that one is not similar, and remove the later lines.
-
-Any fixed order of words gives the same result; rarity only decides the cost.  Words are the parts of
-the lower-cased line between white space.  Defined cases: null text stays null; lines without words
-always stay; lines of one document are compared as all others; rows that repeat a doc_id are rows of
-their own, in the order of their texts, and so are rows of null doc_id, which come before all others;
-an empty table gives an empty result; all columns of the input are kept, whatever their names.
+3. lines of equal word sets become one set with its earliest place;
+4. sets that share a word of more than ``RARE`` occurrences are compared with the first set of a bucket; those
+   found similar to it are done, so that a large group of similar lines is not joined pairwise;
+5. join the prefixes on words under the length filter, the positional filter and a parity filter: the number
+   of bits in which two 64-bit parities of word hashes differ never exceeds the number of words that are in one
+   set only; frequent words are joined within length groups, and without pairs whose later set is done;
+6. verify on the whole word sets: for every set its likeliest earlier partner first and the others only where that
+   one is not similar; then remove the later lines.
+
+Any fixed order of words gives the same result; rarity only decides the cost.  Words are the parts of the
+lower-cased line between white space (blank, tab, line feed and the three beside it); they are compared by
+64-bit hashes.  Defined cases: null text stays null; lines without words always stay; lines of one document are
+compared as all others; rows that repeat a doc_id, null included, and equal rows are rows of their own; very
+long lines are compared whole; an empty table gives an empty result; all columns of the input are kept, whatever
+their names.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowquarry.llm.common import discard, materialise, numbered, shuffle_partitions
+from flowquarry.llm.common import discard, free_name, materialise, shuffle_partitions
 
 THRESHOLD = 0.8
-SKETCH_BITS = 20
-FILTER_BITS = 22
-#: Words of at most two to this power occurrences are joined without length groups.
-RARE_LEVEL = 8
-#: Times that the sets of a common word are dealt to buckets.
+#: Bounds of the number of counters: a task carries half a byte for each.
+LEAST_BITS, MOST_BITS = 20, 26
+#: Words of more occurrences than this are joined by buckets first and then within length groups.
+RARE = 1024
+#: Times that the sets of a frequent word are dealt to buckets.
 STARS = 3
-SPACE = r"\s+"
+#: Sets a bucket.
+BUCKET = 256
+PLACE = ["file_", "at_", "line_no"]
+BLANKS = "\t\x0b\f\r"
 
 
-def _words(line: Column) -> Column:
-    return F.split(F.lower(F.btrim(line, F.lit(" \t\x0b\f\r"))), SPACE)
+def _rows(docs: DataFrame) -> DataFrame:
+    """(doc_, file_, at_): every row of ``docs`` whole, and its name, which is the same at every reading."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc_")
+    if docs.inputFiles() and "_metadata" not in docs.columns:
+        try:
+            return docs.select(whole, F.xxhash64("_metadata.file_path").alias("file_"), F.col("_metadata.row_index").alias("at_"))
+        except AnalysisException:
+            pass  # rows of a join or an aggregate have no place in a file
+    return materialise(docs.select(whole, F.lit(0).cast("long").alias("file_"), F.monotonically_increasing_id().alias("at_")))
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """(row_, line_no, line) for every line that has a word."""
-    return docs.select("row_", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).filter(F.col("line").rlike(r"\S"))
+def _words(text: Column) -> Column:
+    """Words, and empty strings between blanks that follow one another; a plain separator is the fast way to split."""
+    return F.split(F.lower(reduce(lambda x, c: F.replace(x, F.lit(c), F.lit(" ")), BLANKS, text)), " ")
 
 
-def _bucket(h: Column) -> Column:
-    return h.bitwiseAND(F.lit((1 << SKETCH_BITS) - 1))
+def _hashes(text: Column) -> Column:
+    """Distinct hashes of the words of a line."""
+    return F.array_remove(F.array_distinct(F.transform(_words(text), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
 
 
-def rarity_classes(docs: DataFrame) -> list[int]:
-    """4-bit rarity classes of all word counters, 16 to a number: class 0 counts at most one word."""
-    counts = docs.select(F.explode(F.split(F.lower("text"), SPACE)).alias("w")).select(_bucket(F.xxhash64("w")).alias("b")).groupBy("b").count()
-    packed = counts.select(F.shiftright("b", 4).alias("slot"), F.expr("cast(least(15, ceil(log2(count))) as bigint) << cast(4 * (b & 15) as int)").alias("v"))
-    rows = packed.groupBy("slot").agg(F.bit_or("v").alias("v")).collect()  # at most 2**SKETCH_BITS / 16 rows
-    out = [0] * ((1 << SKETCH_BITS) // 16)
-    for r in rows:
-        out[r["slot"]] = r["v"]
-    return out
+def _shift(h: Column) -> Column:
+    """Place of a word's 4 bits in its number of 16 counters."""
+    return F.shiftrightunsigned(h, 58).cast("int").bitwiseAND(F.lit(60))
+
+
+def rarity_classes(texts: DataFrame) -> tuple[list[int], int]:
+    """4-bit classes of all word counters, 16 to a number, and the least class of words beyond ``RARE``.
+
+    Class 0 counts at most one word; the others span the logarithm of the largest count evenly.
+    """
+    words = texts.select(F.explode(_words(F.replace("text", F.lit("\n"), F.lit(" ")))).alias("w")).filter("w <> ''")
+    mask = F.lit((1 << (MOST_BITS - 4)) - 1).cast("long")
+    h = F.xxhash64("w")
+    counts = materialise(words.select(h.bitwiseAND(mask).alias("slot"), _shift(h).alias("shift")).groupBy("slot", "shift").count())
+    used, most = counts.agg(F.count(F.lit(1)), F.max("count")).first()
+    bits = min(MOST_BITS, max(LEAST_BITS, used.bit_length()))
+    slots = 1 << (bits - 4)
+    scale = 14 / max(1.0, (most or 1).bit_length())
+    folded = counts.groupBy(F.col("slot").bitwiseAND(F.lit(slots - 1).cast("long")).alias("slot"), "shift").agg(F.sum("count").alias("n"))
+    level = F.when(F.col("n") <= 1, 0).otherwise(F.least(F.lit(15), 1 + F.floor(F.log2("n") * scale))).cast("long")
+    packed = folded.groupBy("slot").agg(F.bit_or(F.call_function("shiftleft", level, F.col("shift"))).alias("v"))
+    out = [0] * slots
+    for slot, v in packed.collect():  # at most 2**MOST_BITS / 16 rows
+        out[slot] = v
+    discard(counts)
+    return out, 1 + int((RARE.bit_length() - 1) * scale)
 
 
 def _literal(values: list[int]) -> Column:
@@ -77,29 +108,43 @@ def _needed(n: Column, threshold: float) -> Column:
     return F.ceil(n * threshold - 1e-9).cast("int")
 
 
-def line_sets(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(row_, line_no, line_hash, k1, k2, n, parity, prefix): the word set of each line, named by two hashes, and its prefix."""
-    classes = _literal(rarity_classes(docs))
-    docs = docs.select("row_", "text")
+def _lines(rows: DataFrame) -> DataFrame:
+    """A row for every line that has a word."""
+    text = F.col("doc_.text").cast("string")
+    cut = rows.select(F.col("doc_.doc_id").alias("doc_id"), F.xxhash64(text).alias("hash_"), "file_", "at_", F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
+    return cut.filter(F.col("line").rlike(r"[^ \t\x0b\f\r]"))
+
+
+def line_sets(rows: DataFrame, classes: list[int], threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, hash_, file_, at_, line_no, k1, k2, n, parity, skip, prefix): the word set of each line, named by two hashes, and its prefix.
+
+    ``skip``: words at the start that occur nowhere else; the prefix is without them.
+    """
+    mask = F.lit(len(classes) - 1).cast("long")
 
-    def ranked(w: Column) -> Column:
-        h = F.xxhash64(w)
-        slot = F.shiftright(_bucket(h), 4).cast("int")
-        level = F.call_function("shiftrightunsigned", F.get(F.col("classes"), slot), F.shiftleft(h.bitwiseAND(F.lit(15)), 2).cast("int")).bitwiseAND(F.lit(15))
+    def ranked(h: Column) -> Column:
+        level = F.call_function("shiftrightunsigned", F.get(F.col("classes"), h.bitwiseAND(mask).cast("int")), _shift(h)).bitwiseAND(F.lit(15).cast("long"))
         return F.shiftleft(level, 59).bitwiseOR(F.shiftrightunsigned(h, 5))
 
-    lines = _lines(docs).withColumn("classes", classes)
-    ordered = lines.select("row_", "line_no", F.xxhash64("line").alias("line_hash"), F.sort_array(F.array_distinct(F.transform(_words(F.col("line")), ranked))).alias("ws"))
-    parity = F.aggregate("ws", F.lit(0).cast("long"), lambda acc, w: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), w.bitwiseAND(F.lit(63)).cast("int"))))
+    lines = _lines(rows).withColumn("classes", _literal(classes))
+    ws = F.sort_array(F.transform(_hashes(F.col("line")), ranked))
+    ordered = lines.select("doc_id", "hash_", *PLACE, ws.alias("ws"))
+    one = F.lit(1).cast("long")
+    parity = F.aggregate("ws", F.lit(0).cast("long"), lambda acc, w: acc.bitwiseXOR(F.call_function("shiftleft", one, w.bitwiseAND(F.lit(63).cast("long")).cast("int"))))
     n = F.size("ws")
-    return ordered.select("row_", "line_no", "line_hash", F.xxhash64("ws").alias("k1"), F.hash("ws").alias("k2"), n.alias("n"), parity.alias("parity"), F.slice("ws", 1, n - _needed(n, threshold) + 1).alias("prefix"))
+    start = F.filter(F.slice("ws", 1, n - _needed(n, threshold) + 1), lambda w: w >= F.lit(1 << 59))
+    named = ordered.select("doc_id", "hash_", *PLACE, F.xxhash64("ws").alias("k1"), F.hash("ws").alias("k2"), n.alias("n"), parity.alias("parity"), start.alias("prefix"))
+    return named.withColumn("skip", F.col("n") - _needed(F.col("n"), threshold) + 1 - F.size("prefix"))
 
 
-def _index(sets: DataFrame, threshold: float) -> DataFrame:
-    """(set, n, parity, done, at, w, level, g): a row for each prefix word; words whose counter is one are left out."""
-    group = F.floor(F.log(1 / threshold, F.col("n")) + 1e-9).cast("int")
-    index = sets.select("set", "n", "parity", "done", group.alias("g"), F.posexplode("prefix").alias("at", "w"))
-    return index.withColumn("level", F.shiftrightunsigned("w", 59).cast("int")).filter("level > 0")
+def _index(sets: DataFrame) -> DataFrame:
+    """(w, set, n, at, parity): a row for each prefix word."""
+    return sets.select("set", "n", "parity", "skip", F.posexplode("prefix").alias("i", "w")).select("w", "set", "n", (F.col("skip") + F.col("i")).alias("at"), "parity")
+
+
+def _group(n: Column, threshold: float) -> Column:
+    """Length group: a partner's length is within a factor of 1/threshold, so its group is the same or the next."""
+    return F.floor(F.log(1 / threshold, n) + 1e-9).cast("int")
 
 
 def _within(na: Column, nb: Column, diff: Column, threshold: float) -> tuple[Column, Column]:
@@ -108,119 +153,114 @@ def _within(na: Column, nb: Column, diff: Column, threshold: float) -> tuple[Col
     return share, (F.least(na, nb) >= F.greatest(na, nb) * threshold - 1e-9) & (diff <= na + nb - 2 * share)
 
 
-def star_pairs(sets: DataFrame, threshold: float = THRESHOLD, stars: int = STARS) -> DataFrame:
-    """(late, early, diff): sets that share a common prefix word, each with the earliest set of its bucket.
+def star_pairs(frequent: DataFrame, threshold: float = THRESHOLD, stars: int = STARS) -> DataFrame:
+    """(late, early, diff): sets that share a frequent prefix word, each with the earliest set of its bucket.
 
-    Common words are dealt to buckets of about ``2**RARE_LEVEL`` sets, ``stars`` times anew, so the rows are linear.
+    The sets of a word are dealt to buckets of about ``BUCKET`` sets, ``stars`` times anew, so the rows are linear.
     """
-    index = _index(sets, threshold).filter(F.col("level") > RARE_LEVEL)
-    bucket = F.pmod(F.xxhash64("set", "turn"), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("level") - RARE_LEVEL))
-    index = index.withColumn("turn", F.explode(F.array(*map(F.lit, range(stars))))).withColumn("bucket", bucket)
+    sizes = frequent.groupBy("w").agg(F.ceil(F.count(F.lit(1)) / BUCKET).alias("buckets"))
+    index = frequent.join(sizes, "w").withColumn("turn", F.explode(F.array(*map(F.lit, range(stars))))).withColumn("g", _group(F.col("n"), threshold))
+    index = index.withColumn("bucket", F.pmod(F.xxhash64("set", "turn"), F.col("buckets")))
     keys = ["w", "g", "turn", "bucket"]
     heads = index.groupBy(*keys).agg(F.min(F.struct("set", "n", "parity")).alias("head"))
     x = index.join(heads, keys).filter(F.col("set") > F.col("head.set"))
     diff = F.bit_count(F.col("parity").bitwiseXOR(F.col("head.parity")))
     _, fits = _within(F.col("n"), F.col("head.n"), diff, threshold)
-    return x.filter(fits).select(F.col("set").alias("late"), F.col("head.set").alias("early"), diff.alias("diff")).distinct()
+    return x.filter(fits).select(F.col("set").alias("late"), F.col("head.set").alias("early"), diff.alias("diff"))
 
 
-def candidate_pairs(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(late, early, diff): all sets that may be similar, where the later one is not ``done``.
+def candidate_pairs(index: DataFrame, keys: list[str], threshold: float = THRESHOLD) -> DataFrame:
+    """(late, early, diff): all sets that may be similar by a word that both prefixes have; joined on ``keys`` beside the word.
 
-    ``sets``: (set, n, parity, prefix, done), numbered in the order of their places; diff: bits in which parities differ.
+    A pair has a row for every such word.  ``diff``: bits in which the parities differ.
     """
-    # A partner's length is within a factor of 1/threshold, so its group is the same or the next.  Rare words need no groups.
-    rare = F.col("level") <= RARE_LEVEL
-    index = _index(sets, threshold).withColumn("g", F.when(rare, -1).otherwise(F.col("g")))
-    a = index.withColumn("to", F.explode(F.when(rare, F.array("g")).otherwise(F.array("g", F.col("g") + 1)))).drop("g", "level").alias("a")
-    b = index.drop("level").alias("b")
+    a, b = index.alias("a"), index.alias("b")
+    if "g" in keys:
+        a = index.withColumn("g", F.explode(F.array("g", F.col("g") + 1))).alias("a")
     na, nb = F.col("a.n"), F.col("b.n")
-    diff = F.bit_count(F.col("a.parity").bitwiseXOR(F.col("b.parity")))
+    diff, later = F.bit_count(F.col("a.parity").bitwiseXOR(F.col("b.parity"))), F.col("a.set") > F.col("b.set")
     share, fits = _within(na, nb, diff, threshold)
-    later = F.col("a.set") > F.col("b.set")
-    keep = (
-        ((na < nb) | ((na == nb) & ~later & (F.col("a.set") != F.col("b.set"))))
-        & ((later & ~F.col("a.done")) | (~later & ~F.col("b.done")))
-        & fits
-        & (1 + F.least(na - F.col("a.at") - 1, nb - F.col("b.at") - 1) + F.least("a.at", "b.at") >= share)
-    )
-    return a.join(b, (F.col("a.w") == F.col("b.w")) & (F.col("a.to") == F.col("b.g")) & keep).select(F.greatest("a.set", "b.set").alias("late"), F.least("a.set", "b.set").alias("early"), diff.alias("diff")).distinct()
-
-
-def _maybe_in(places: DataFrame) -> Column:
-    """Whether (row_, line_no) may be one of ``places``: a bitmap of fixed size, which passes more the fuller it is."""
-    h = F.xxhash64("row_", "line_no").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
-    bits = places.select(h.alias("h")).select(F.shiftright("h", 6).cast("int").alias("slot"), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(F.lit(63)).cast("int")).alias("v"))
-    words = [0] * (1 << (FILTER_BITS - 6))
-    for r in bits.groupBy("slot").agg(F.bit_or("v").alias("v")).collect():  # at most 2**FILTER_BITS / 64 rows
-        words[r["slot"]] = r["v"]
+    keep = ((na < nb) | ((na == nb) & (F.col("a.set") < F.col("b.set")))) & fits
+    keep &= 1 + F.least(na - F.col("a.at") - 1, nb - F.col("b.at") - 1) + F.least("a.at", "b.at") >= share
+    if "done" in index.columns:
+        keep &= (later & ~F.col("a.done")) | (~later & ~F.col("b.done"))
+    for k in ("w", *keys):
+        keep &= F.col(f"a.{k}") == F.col(f"b.{k}")
+    return a.join(b, keep).select(F.greatest("a.set", "b.set").alias("late"), F.least("a.set", "b.set").alias("early"), diff.alias("diff"))
+
+
+def _maybe_in(places: DataFrame, size: int) -> Column:
+    """Whether a place may be one of ``places``: a bitmap of sixteen bits a place and 2**28 bits at most, which passes more the fuller it is."""
+    bits = min(28, max(16, (16 * size).bit_length()))
+    h = F.xxhash64(*PLACE).bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
+    one = F.lit(1).cast("long")
+    slots = places.select(h.alias("h")).groupBy(F.shiftright("h", 6).cast("int").alias("slot")).agg(F.bit_or(F.call_function("shiftleft", one, F.col("h").bitwiseAND(F.lit(63).cast("long")).cast("int"))).alias("v"))
+    words = [0] * (1 << (bits - 6))
+    for slot, v in slots.collect():  # at most 2**28 / 64 rows
+        words[slot] = v
     word = F.get(_literal(words), F.shiftright(h, 6).cast("int"))
-    return F.call_function("shiftrightunsigned", word, h.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
-
-
-def _verified(pairs: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
-    """``late`` of the pairs (late, early) whose word sets are similar.  ``lines``: (set, first, line, n, hs)."""
-    first, second = (lines.select(F.col("set").alias(k), F.col("first").alias(f"first{x}"), F.col("n").alias(f"n{x}"), F.col("hs").alias(f"hs{x}")) for k, x in (("late", "_l"), ("early", "_e")))
-    x = pairs.select("late", "early").join(first, "late").join(second, "early")
-    share, _ = _within(F.col("n_l"), F.col("n_e"), F.lit(0), threshold)
-    # Words of one hash count once among the hashes, so their number is added back.  Sets that start at one place decide nothing.
-    may = F.size(F.array_intersect("hs_l", "hs_e")) + F.col("n_l") - F.size("hs_l") >= share
-    x = x.filter((F.col("first_e") < F.col("first_l")) & may).select("late", "early")
-    x = x.join(lines.select(F.col("set").alias("late"), F.col("line").alias("line_")), "late").join(lines.select(F.col("set").alias("early"), "line"), "early")
-    # The lambdas bind the word sets, which are then made once a pair.
-    sets = F.array(F.struct(F.array_distinct(_words(F.col("line_"))).alias("a"), F.array_distinct(_words(F.col("line"))).alias("b")))
-    sizes = F.transform(sets, lambda s: F.struct((F.size(s["a"]) + F.size(s["b"])).alias("all"), F.size(F.array_intersect(s["a"], s["b"])).alias("both")))
-    return x.filter(F.exists(sizes, lambda s: s["both"] >= threshold * (s["all"] - s["both"]) - 1e-9)).select("late").distinct()
-
-
-def _decided(pairs: DataFrame, firsts: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
-    """``late`` of all pairs (late, early, diff) that are similar; the words come from the texts."""
+    return F.call_function("shiftrightunsigned", word, h.bitwiseAND(F.lit(63).cast("long")).cast("int")).bitwiseAND(one) == 1
+
+
+def _verified(pairs: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
+    """(set): ``late`` of the pairs (late, early) whose word sets are similar.  ``found``: (set, hs)."""
+    a, b = (found.select(F.col("set").alias(k), F.col("hs").alias(f"hs_{k}")) for k in ("late", "early"))
+    share, _ = _within(F.size("hs_late"), F.size("hs_early"), F.lit(0), threshold)
+    similar = pairs.join(a, "late").join(b, "early").filter(F.size(F.array_intersect("hs_late", "hs_early")) >= share)
+    return materialise(similar.select(F.col("late").alias("set")).distinct())
+
+
+def _decided(pairs: DataFrame, firsts: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
+    """(set): the later sets of all pairs (late, early, diff) that are similar; the words come from the texts."""
     pairs = materialise(pairs)
-    wanted = pairs.select(F.explode(F.array("late", "early")).alias("set")).distinct().join(firsts, "set")
-    wanted = materialise(wanted.select("set", "first", "n", F.col("line_hash").alias("hash_")))
-    places = wanted.select(F.col("first.row_").alias("row_"), F.col("first.line_no").alias("line_no"))
+    wanted = materialise(firsts.join(pairs.select(F.explode(F.array("late", "early")).alias("set")).distinct(), "set").select("set", *[F.col(f"first.{c}").alias(c) for c in PLACE]))
     # Lines that are surely not wanted stay out of the join.
-    lines = _lines(docs.select("row_", "text")).filter(_maybe_in(places))
-    same = (F.col("row_") == F.col("first.row_")) & (F.col("line_no") == F.col("first.line_no")) & (F.xxhash64("line") == F.col("hash_"))
-    found = (lines.join(wanted, same).select("set", "first", "line", "n").dropDuplicates(["set"]))
-    found = materialise(found.withColumn("hs", F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.hash(w)))))
+    lines = _lines(rows).filter(_maybe_in(wanted, wanted.count())).select(*PLACE, _hashes(F.col("line")).alias("hs"))
+    found = materialise(lines.join(wanted, PLACE).select("set", "hs"))
 
-    # First the likeliest partner of every set, then the other partners of the sets that it did not decide.
     likeliest = materialise(pairs.groupBy("late").agg(F.min(F.struct("diff", "early")).alias("best")).select("late", F.col("best.early").alias("early")))
-    gone = materialise(_verified(likeliest, found, threshold))
-    rest = pairs.join(gone, "late", "left_anti").join(likeliest, ["late", "early"], "left_anti")
-    more = materialise(_verified(rest, found, threshold))
+    gone = _verified(likeliest, found, threshold)
+    rest = pairs.select("late", "early").join(gone.select(F.col("set").alias("late")), "late", "left_anti").join(likeliest, ["late", "early"], "left_anti").distinct()
+    out = gone.unionByName(_verified(rest, found, threshold))
     for used in (pairs, wanted, found, likeliest):
         discard(used)
-    return gone.unionByName(more)
+    return out
 
 
-def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(row_, line_no) of every line that an earlier line resembles.  ``docs``: (row_, text), row_ distinct."""
-    table = materialise(line_sets(docs, threshold))
-    firsts = table.groupBy("k1", "k2", "n").agg(F.min(F.struct("row_", "line_no", "line_hash")).alias("f"), F.first("parity").alias("parity"), F.first("prefix").alias("prefix"))
+def removed_lines(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(file_, at_, line_no) of every line that an earlier line resembles.  ``rows``: (doc_, file_, at_)."""
+    classes, least = rarity_classes(rows.select(F.col("doc_.text").cast("string").alias("text")))
+    table = materialise(line_sets(rows, classes, threshold))
+    first = F.min(F.struct("doc_id", "hash_", *PLACE)).alias("first")
+    firsts = table.groupBy("k1", "k2", "n").agg(first, F.count(F.lit(1)).alias("lines"), *[F.first(c).alias(c) for c in ("parity", "skip", "prefix")])
     # Sets are numbered in the order of their places.
-    ordered = firsts.repartitionByRange(shuffle_partitions(docs.sparkSession), "f").sortWithinPartitions("f")
-    firsts = materialise(ordered.select("k1", "k2", "n", "parity", "prefix", F.struct("f.row_", "f.line_no").alias("first"), F.col("f.line_hash").alias("line_hash")).withColumn("set", F.monotonically_increasing_id()))
+    ordered = firsts.repartitionByRange(shuffle_partitions(rows.sparkSession), "first").sortWithinPartitions("first")
+    firsts = materialise(ordered.withColumn("set", F.monotonically_increasing_id()))
 
-    # In large groups of similar sets nearly all are decided against the first of a bucket, so the join of all pairs has little left there.
-    sets = firsts.select("set", "n", "parity", "prefix")
-    done = _decided(star_pairs(sets.withColumn("done", F.lit(False)), threshold), firsts, docs, threshold)
-    marked = sets.join(done.select(F.col("late").alias("set"), F.lit(True).alias("done_")), "set", "left").withColumn("done", F.coalesce("done_", F.lit(False)))
-    gone = done.unionByName(_decided(candidate_pairs(marked, threshold), firsts, docs, threshold))
+    index = _index(firsts)
+    often = F.col("w") >= F.lit(least << 59)
+    frequent = materialise(index.filter(often))
+    done = _decided(star_pairs(frequent, threshold), firsts, rows, threshold)
+    marked = frequent.join(done.withColumn("done", F.lit(True)), "set", "left").withColumn("done", F.coalesce("done", F.lit(False)))
+    pairs = candidate_pairs(index.filter(~often), [], threshold).unionByName(candidate_pairs(marked.withColumn("g", _group(F.col("n"), threshold)), ["g"], threshold))
+    gone = done.unionByName(_decided(pairs, firsts, rows, threshold)).distinct()
 
     # All lines of such a set go, and of the other sets all but the first.
-    firsts = firsts.select("k1", "k2", "n", "set", "first").join(gone.select(F.col("late").alias("set"), F.lit(True).alias("all_")), "set", "left")
-    out = table.select("row_", "line_no", "k1", "k2", "n").join(firsts.select("k1", "k2", "n", "first", "all_"), ["k1", "k2", "n"])
-    return out.filter(F.coalesce("all_", F.lit(False)) | (F.struct("row_", "line_no") > F.col("first"))).select("row_", "line_no")
+    loses = firsts.select("k1", "k2", "n", "set", "first", "lines").join(gone.withColumn("all_", F.lit(True)), "set", "left").filter("all_ or lines > 1")
+    out = table.select("doc_id", "hash_", *PLACE, "k1", "k2", "n").join(loses.select("k1", "k2", "n", "first", "all_"), ["k1", "k2", "n"])
+    out = materialise(out.filter(F.coalesce("all_", F.lit(False)) | (F.struct("doc_id", "hash_", *PLACE) > F.col("first"))).select(*PLACE))
+    for used in (table, firsts, frequent):
+        discard(used)
+    return out
 
 
-def without_repeated_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with the removed lines cut from ``text``, and ``removed_lines_``, the number cut."""
-    rows, row = numbered(docs)
-    gone = removed_lines(rows.select(F.col(row).alias("row_"), "text"), threshold).distinct().groupBy(F.col("row_").alias(row)).agg(F.collect_list("line_no").alias("gone_"))
-    out = rows.select(F.struct(*docs.columns).alias("doc_"), F.col(row)).join(gone, row, "left")
+def without_repeated_lines(docs: DataFrame, threshold: float = THRESHOLD, count: str | None = "removed_lines_") -> DataFrame:
+    """``docs`` with the removed lines cut from ``text``; the number cut in column ``count`` (with more ``_`` where taken), if named."""
+    rows = _rows(docs)
+    gone = removed_lines(rows, threshold).groupBy("file_", "at_").agg(F.collect_list("line_no").alias("gone_"))
+    out = rows.join(gone, ["file_", "at_"], "left")
     text = F.col("doc_.text")
     kept = F.array_join(F.filter(F.split(text, "\n"), lambda line, i: ~F.array_contains("gone_", i)), "\n")
     text = F.when(F.col("gone_").isNull(), text).otherwise(kept)
-    return out.select(*[text.alias(c) if c == "text" else F.col("doc_").getField(c).alias(c) for c in docs.columns], F.coalesce(F.size("gone_"), F.lit(0)).alias("removed_lines_"))
+    columns = [text.alias(c) if c == "text" else F.col("doc_").getField(c).alias(c) for c in docs.columns]
+    return out.select(*columns, *([F.coalesce(F.size("gone_"), F.lit(0)).alias(free_name(count, docs.columns))] if count else []))
