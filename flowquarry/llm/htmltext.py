@@ -3,11 +3,12 @@
 Markup is stripped into lines, one a block of running text: block elements and line breaks end a line,
 inline elements do not.  Elements that never hold article text (scripts, styles, navigation, forms,
 asides and the like, and containers whose class, id or role names such a part) give empty lines.  The
-text lengths of lines, link text left out, are summed over windows of ``WINDOW`` lines.  The text starts at the
-surge, where the sums rise from nothing to at least ``SURGE`` characters, and ends at the dive, where they
-fall back to nothing; all lines between a surge and its dive are kept, and removed parts are no distance
-between the first surge and the last dive.  If a page marks its articles, all lines inside those containers
-are kept, and text beside them where it surges by itself.
+lengths of lines weigh them: link text does not count, and where a page marks its articles, a line beside them has
+``SURGE`` characters less, and at least none, while their own lines count whole.  The weights are summed over windows
+of ``WINDOW`` lines.  The text starts at the surge, where the sums rise from nothing, and ends at the dive, where they fall
+back to nothing; a run between the two is kept if its largest sum reaches the page's threshold: ``SURGE`` characters, or
+``PART`` of the page's largest sum where articles are marked.  Lines without weight stay inside a run, but on pages with
+marked articles those beside them go; removed parts are no distance between the first surge and the last dive.
 
 Defined cases: null or empty html gives empty text; markup that is cut off or not closed ends with the
 page or with its parent; a page without a surge gives all of its remaining lines; long pages are read
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 
 WINDOW = 3
 SURGE = 80
+PART = 0.02
 
 #: Elements whose content is no text of the page.
 RAW = ("script", "style", "noscript", "template", "svg", "math", "iframe", "object", "title", "textarea", "head")
@@ -193,7 +195,7 @@ def _parsed(page: str, spared: set[int]) -> tuple[list[tuple[str, int, int]], di
     return lines, parts, total
 
 
-def _runs(lengths: list[int], surge: int) -> list[tuple[int, int]]:
+def _runs(lengths: list[int], surge: float) -> list[tuple[int, int]]:
     """(surge, dive) of the runs of lines whose window sums rise to ``surge`` characters."""
     n = len(lengths)
     # sums[i]: text of the window of lines that begins at line i
@@ -214,12 +216,11 @@ def _runs(lengths: list[int], surge: int) -> list[tuple[int, int]]:
 
 
 def main_lines(lines: list[tuple[str, int, int]]) -> list[str]:
-    """Lines of all article containers, and between the surge and dive points of the distribution."""
-    inside = [i for i, (t, _, c) in enumerate(lines) if t and c]
-    if inside:
-        # Text beside the containers counts if it surges by itself.
-        kept = {i for a, b in _runs([0 if c else n for _, n, c in lines], SURGE) for i in range(a, b) if lines[i][0]} | set(inside)
-        return [lines[i][0] for i in sorted(kept)]
+    """Lines between the surge and dive points of the distribution."""
+    if any(c for t, _, c in lines if t):
+        weights = [len(t) if c else max(0, n - SURGE) for t, n, c in lines]
+        peak = max(sum(weights[i : i + WINDOW]) for i in range(len(weights)))
+        return [lines[i][0] for a, b in _runs(weights, max(1, PART * peak)) for i in range(a, b) if lines[i][0] and weights[i]]
     found = _runs([n for _, n, _ in lines], SURGE)
     if not found:
         return [t for t, _, _ in lines if t]
