@@ -2,9 +2,10 @@
 
 Features are hashed character 1- to 3-grams of the lower-cased text with digits and punctuation turned
 to blanks, in ``DIM`` slots; their document frequencies are counted over all training rows.  A bounded
-sample of training rows (``per_lang`` a language, the smallest row hashes) goes to the driver as sparse
-counts and trains one weight a slot and language by follow-the-regularised-leader with L1 and L2
-penalties, which keeps the weights sparse.  A second bounded sample, disjoint from the first, fits one
+sample of distinct training texts (``per_lang`` a language, fewer where all languages together would pass
+``most_rows``; those with the smallest hashes) goes to the driver as sparse counts and trains one weight a slot
+and language by follow-the-regularised-leader with L1 and L2 penalties, which keeps the weights sparse.
+Every language of the training rows is learned.  A second bounded sample, disjoint from the first, fits one
 temperature that calibrates the probabilities.  Scoring runs in Arrow batches over whole texts.
 
 Defined cases: text that is null or has no letter gets ``und`` and score 0; rows with null lang or text
@@ -24,14 +25,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from flowquarry.llm.common import free_name
+
 UNKNOWN = "und"
 DIM = 1 << 14
 ORDERS = (1, 2, 3)
 #: Rows of each language that train, and that calibrate.  Bounds the driver's share.
 PER_LANG = 400
 CALIBRATE_PER_LANG = 100
-#: Most languages that a model learns; the most frequent stay.
-MAX_LANGS = 200
+#: Most rows of all languages together that train and calibrate.
+MOST_ROWS = 200_000
 BLOCK = 1 << 20
 
 
@@ -152,7 +155,7 @@ def calibrate(model: LanguageModel, rows: list[tuple[np.ndarray, np.ndarray]], y
     return float(grid[int(np.argmin([loss(t) for t in grid]))])
 
 
-def train(docs: DataFrame, per_lang: int = PER_LANG, calibrate_per_lang: int = CALIBRATE_PER_LANG, max_langs: int = MAX_LANGS) -> LanguageModel:
+def train(docs: DataFrame, per_lang: int = PER_LANG, calibrate_per_lang: int = CALIBRATE_PER_LANG, most_rows: int = MOST_ROWS) -> LanguageModel:
     """Learn from the rows of ``docs`` that have text and lang and are not held out."""
     spark = docs.sparkSession
     usable = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
@@ -176,25 +179,31 @@ def train(docs: DataFrame, per_lang: int = PER_LANG, calibrate_per_lang: int = C
             df[slot] = v
     idf = np.log((1 + total) / (1 + df)) + 0.1
 
-    langs = sorted(r["lang"] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect())
-    # Row hashes choose the sample; texts do not take part in the ranking.
-    ranked = usable.select("lang", "doc_id").withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")))
-    chosen = ranked.filter((F.col("place") <= per_lang + calibrate_per_lang) & F.col("lang").isin(langs)).select(F.col("doc_id").alias("id_"), "place")
+    counts = usable.groupBy("lang").count()
+    n_langs = max(1, counts.count())
+    quota = max(1, min(per_lang + calibrate_per_lang, most_rows // n_langs))
+    learners = max(1, quota * per_lang // (per_lang + calibrate_per_lang))
+    # A threshold on the texts' hashes thins every language to little more than its quota before its texts are ranked.
+    share = F.least(F.lit(1.0), (2 * quota + 100) / F.col("count"))
+    near = usable.withColumn("hash_", F.xxhash64("text")).join(counts.select("lang", share.alias("share_")), "lang")
+    near = near.filter(F.pmod("hash_", F.lit(1 << 40)) < F.col("share_") * (1 << 40)).dropDuplicates(["lang", "hash_"])
+    ranked = near.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("hash_", F.lit(1 << 40)), "hash_")))
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [features(t.as_py()) for t in b.column(0)]
             yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array([s for s, _ in got], pa.list_(pa.int32())), pa.array([c for _, c in got], pa.list_(pa.int32()))], names=["lang", "place", "slots", "counts"])
 
-    sample = usable.join(F.broadcast(chosen), F.col("doc_id") == F.col("id_")).select("text", "lang", "place").mapInArrow(sparse, "lang string, place int, slots array<int>, counts array<int>")
+    sample = ranked.filter(F.col("place") <= quota).select("text", "lang", "place").mapInArrow(sparse, "lang string, place int, slots array<int>, counts array<int>")
     table = sample.toArrow()
     rows = [(np.asarray(s.values, dtype=np.int64), np.asarray(c.values, dtype=np.int64)) for s, c in zip(table["slots"], table["counts"], strict=True)]
+    langs = sorted(set(table["lang"].to_pylist()))
     number = {x: i for i, x in enumerate(langs)}
     ys = np.array([number[x] for x in table["lang"].to_pylist()], dtype=np.int64)
     place = np.array(table["place"].to_pylist())
     order = np.lexsort((ys, place)) if len(ys) else np.zeros(0, dtype=int)
-    learn = [i for i in order if len(rows[i][0]) and place[i] <= per_lang]
-    check = [i for i in order if len(rows[i][0]) and place[i] > per_lang]
+    learn = [i for i in order if len(rows[i][0]) and place[i] <= learners]
+    check = [i for i in order if len(rows[i][0]) and place[i] > learners]
     if not learn:
         return LanguageModel([], idf, np.zeros((DIM, 0)), np.zeros(0))
     model = fit([rows[i] for i in learn], ys[learn], langs, idf)
@@ -212,11 +221,14 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
         return pd.DataFrame([sent.value.predict(t) for t in texts], columns=["lang_pred", "score"])
 
-    plain = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    return docs.withColumn("guess_", run(F.col("text").cast("string"))).select(*plain, F.col("guess_.lang_pred"), F.col("guess_.score"))
+    plain = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
+    guess = free_name("guess_", docs.columns)
+    return docs.withColumn(guess, run(F.col("text").cast("string"))).select(*[F.col(f"`{c}`") for c in plain], F.col(f"{guess}.lang_pred"), F.col(f"{guess}.score"))
 
 
 def identified(docs: DataFrame, least: float = 0.5, **options) -> DataFrame:
     """``docs`` without the rows whose language is unknown or less probable than ``least``."""
-    found = predict(docs, train(docs, **options))
-    return found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*docs.columns)
+    whole = free_name("doc_", ["text", "lang_pred", "score"])
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(whole), F.col("text").alias("text"))
+    found = predict(packed, train(docs, **options))
+    return found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*[F.col(whole).getField(c).alias(c) for c in docs.columns])
