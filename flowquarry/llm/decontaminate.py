@@ -5,10 +5,9 @@ distinct word shingles.  Items are partitioned by size (powers of two of their s
 item keeps a bottom-k MinHash sketch: its k smallest shingle hashes, k = floor((1 - threshold) * u) + 1
 for the upper size u of its partition, or all its shingles if it has fewer.  A document that misses all
 k of them misses more than 1 - threshold of the item, so the search loses nothing; long documents keep
-all their hashes on the probing side, as a document-side minimum would hide a short item.  Of each
-partition only document hashes up to the partition's largest sketch value are probed, and a document
-probes only items that are small enough to fit into it.  Every candidate is then verified by the exact
-shingle strings.
+all their hashes on the probing side, as a document-side minimum would hide a short item.  A document probes
+only hashes up to the largest sketch value of the partitions whose items can fit into it, and of those only
+items that fit.  Every candidate is then verified by the exact shingle strings.
 
 Words are the maximal runs of letters and digits of the lower-cased text.  Defined cases: null or wordless
 documents match nothing; null or wordless items match nothing; an item of fewer than ``width`` words
@@ -23,11 +22,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowquarry.llm.common import materialise
+from flowquarry.llm.common import free_name, materialise
 
 WIDTH = 5
 THRESHOLD = 0.8
-#: Sketches of more rows than this are joined by a shuffle instead of a broadcast.
+#: Item shingles of more rows than this are joined by a shuffle instead of a broadcast; sketches have no more rows.
 BROADCAST_ROWS = 200_000
 
 
@@ -91,15 +90,15 @@ def _hits(docs: DataFrame, items: DataFrame, width: int = WIDTH, threshold: floa
     sketch = materialise(sketches(shingles, threshold))
     widths = [r["w"] for r in sketch.select("w").distinct().orderBy("w").collect()]  # at most ``width`` rows
     counts = shingles.groupBy("item_").agg(F.count_distinct("shingle").alias("n_shingles"))
-    small = sketch.count() <= BROADCAST_ROWS
+    small = shingles.count() <= BROADCAST_ROWS
     if not widths:
         widths = [width]
     side = F.broadcast(sketch) if small else sketch
     probe = _probe(docs, widths)
-    if small:  # one number a size partition: the largest hash that any sketch in it holds
-        tops = {r["part"]: r["top"] for r in sketch.groupBy("part").agg(F.max("hash").alias("top")).collect()}
-        if tops:
-            probe = probe.filter(F.col("hash") <= max(tops.values()))
+    # Two numbers a size partition, of which there are 32 at most.
+    bounds = sketch.groupBy("part").agg(F.min("need").alias("need"), F.max("hash").alias("top")).collect()
+    if bounds:
+        probe = probe.filter(F.col("hash") <= F.greatest(*[F.when(F.col("size") >= r["need"], r["top"]).otherwise(-(1 << 63)) for r in bounds], F.lit(-(1 << 63))))
     hits = probe.alias("d").join(side.alias("s"), (F.col("d.w") == F.col("s.w")) & (F.col("d.hash") == F.col("s.hash")) & (F.col("d.size") >= F.col("s.need")))
     candidates = materialise(hits.select(F.col("d.doc_"), F.col("s.item_"), F.col("s.w")).distinct())
 
@@ -119,7 +118,7 @@ def _hits(docs: DataFrame, items: DataFrame, width: int = WIDTH, threshold: floa
 
 def _numbered(docs: DataFrame, column: str, *names: str) -> DataFrame:
     """``docs`` with the number ``column`` for every row, as a written table."""
-    return materialise(docs.select(*[F.col(n) for n in names]).withColumn(column, F.monotonically_increasing_id()))
+    return materialise(docs.select(*[F.col(f"`{n}`") for n in names]).withColumn(column, F.monotonically_increasing_id()))
 
 
 def contained_items(docs: DataFrame, items: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD) -> DataFrame:
@@ -133,10 +132,8 @@ def contained_items(docs: DataFrame, items: DataFrame, width: int = WIDTH, thres
 
 def without_leaks(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """``docs`` without the rows that contain a benchmark item."""
-    name = "doc_"
-    while name in docs.columns:
-        name += "_"
+    name = free_name("doc_", docs.columns)
     rows = _numbered(docs, name, *docs.columns)
     known = _numbered(items.select("text").distinct(), "item_", "text")
     bad = _hits(rows.select(F.col(name).alias("doc_"), "text"), known, **options).select(F.col("doc_").alias(name)).distinct()
-    return rows.join(bad, name, "left_anti").select(*docs.columns)
+    return rows.join(bad, name, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
