@@ -122,12 +122,12 @@ def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, meas
     none = F.array().cast("array<long>")
     start = F.struct(none.alias("at"), zero.alias("window"), none.alias("open"), before_first.alias("past"))
     grouped = grouped.withColumn("at", F.aggregate(F.transform("turns", lambda t: t["tok"]), start, step)["at"])
-    cut = F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0).cast("long"), F.coalesce(F.element_at("at", -1), F.lit(0)))), lambda w: F.struct(w.alias("w"), F.filter("turns", lambda t, i: F.get("at", i) == w).alias("turns")))
+    cut = F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0).cast("long"), F.coalesce(F.try_element_at("at", F.lit(-1)), F.lit(0)))), lambda w: F.struct(w.alias("w"), F.filter("turns", lambda t, i: F.get("at", i) == w).alias("turns")))
     grouped = grouped.select("conv_id", "stretch", "head", "opens", F.explode(cut).alias("c"))
     grouped = grouped.select("conv_id", (F.col("stretch") * MOST + F.col("c.w")).alias("window"), F.col("c.turns").alias("turns"), (F.col("opens") & (F.col("c.w") == 0)).alias("opens"), "head")
-    grouped = materialise(grouped.withColumn("from", F.element_at(F.col("turns"), 1)["ord"]).withColumn("to", F.element_at(F.col("turns"), -1)["ord"]))
+    grouped = materialise(grouped.withColumn("from", F.try_element_at(F.col("turns"), F.lit(1))["ord"]).withColumn("to", F.try_element_at(F.col("turns"), F.lit(-1))["ord"]))
 
-    last = F.element_at("turns", -1)["upto"]
+    last = F.try_element_at("turns", F.lit(-1))["upto"]
     tail = grouped.filter(F.size("turns") > 0).select(F.col("conv_id").alias("c_"), (F.col("to") + 1).alias("next_"), F.filter("turns", lambda t: last - t["upto"] + t["tok"] <= history).alias("past"))
     both = grouped.join(tail, F.col("conv_id").eqNullSafe(F.col("c_")) & (F.col("from") == F.col("next_")), "left")
 
@@ -140,7 +140,7 @@ def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, meas
     parts = F.concat(F.coalesce(lead, none), F.coalesce(F.transform("past", lambda t: shown(t, no, no)), none), F.transform("turns", lambda t: shown(t, yes, no)))
     out = both.select("conv_id", "window", parts.alias("parts"))
     # Offsets: lengths of the parts before each; a window holds few parts, as the budget bounds it.
-    ends = F.aggregate("parts", F.array(F.lit(0)), lambda acc, p: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(p["out"]))))
+    ends = F.aggregate("parts", F.array(F.lit(0)), lambda acc, p: F.concat(acc, F.array(F.try_element_at(acc, F.lit(-1)) + F.length(p["out"]))))
     out = out.withColumn("ends", ends)
 
     def span(p: Column, i: Column) -> Column:

@@ -238,7 +238,7 @@ def removed_lines(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     firsts = materialise(ordered.withColumn("set", F.monotonically_increasing_id()))
 
     index = _index(firsts)
-    often = F.col("w") >= F.lit(least << 59)
+    often = F.shiftrightunsigned("w", 59) >= least
     frequent = materialise(index.filter(often))
     done = _decided(star_pairs(frequent, threshold), firsts, rows, threshold)
     marked = frequent.join(done.withColumn("done", F.lit(True)), "set", "left").withColumn("done", F.coalesce("done", F.lit(False)))

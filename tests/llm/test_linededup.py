@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import xxhash
 from pyspark.sql import functions as F
 
 from flowquarry.llm import linededup
@@ -60,6 +61,7 @@ def test_nulls_ties_and_clashing_names(spark):
     assert linededup.without_repeated_lines(spark.createDataFrame([], SCHEMA)).count() == 0
     wide = spark.createDataFrame(rows, SCHEMA).withColumn("set", F.lit(1)).withColumn("line", F.lit("x")).withColumn("n", F.lit(2))
     assert linededup.without_repeated_lines(wide).columns == [*wide.columns, "removed_lines_"]
+    assert linededup.without_repeated_lines(wide.withColumn("removed_lines_", F.lit(0))).columns == [*wide.columns, "removed_lines_", "removed_lines__"]
 
 
 def test_different_texts_under_one_id(spark):
@@ -69,7 +71,8 @@ def test_different_texts_under_one_id(spark):
 
 def brute_rows(rows):
     """As ``brute``, but a line belongs to its row."""
-    rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
+    signed = lambda t: (xxhash.xxh64_intdigest(t, 42) + (1 << 63)) % (1 << 64) if t is not None else 42 + (1 << 63)
+    rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, signed(r[1])))
     return sorted(((rows[n][0], t) for n, t in brute([(n, t, 0) for n, (_, t, _) in enumerate(rows)])), key=str)
 
 
