@@ -11,10 +11,13 @@ from flowquarry.functions.tables import constant
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a checkpoint in the folder of ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """Cut the lineage by a checkpoint in the folder of ``spark.checkpoint.dir``; a temporary one only in local mode where that is unset."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="flowquarry-"))
+        folder = sc.getConf().get("spark.checkpoint.dir", "")
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all nodes share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="flowquarry-"))
     return df.checkpoint()
 
 

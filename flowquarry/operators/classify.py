@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowquarry.functions.net import ip_key, is_external, name_suffixes, rank, severity_of, v4_number
+from flowquarry.functions.order import checkpointed
 from flowquarry.functions.tables import constant
 from flowquarry.operators.flow import derived
 from flowquarry.schema import ACK, CATEGORY_ATTACK, CATEGORY_POINTS, PAYLOAD_OT, PAYLOAD_WEB, POINTS_BEHAVIOR, POINTS_EXTERNAL, POINTS_INTERNAL, POINTS_IOC, PROTO, RST, RTP_PORTS, SERVICES, SYN
@@ -41,6 +42,27 @@ def classified(flows: DataFrame) -> DataFrame:
     }).drop("service_category", "service")
 
 
+#: Hit sets of more rows than this meet the flows by a shuffle instead of a broadcast.
+BROADCAST_ROWS = 500_000
+
+
+def flagged(flows: DataFrame, hits: dict[str, DataFrame]) -> DataFrame:
+    """Adds a flag for each entry ``column>flag`` of ``hits``: whether the column's value is among those of its one-column table.
+
+    Small tables, by a count of their written rows, are broadcast; beyond that only flows that have a value are shuffled.
+    """
+    out = flows
+    for name, table in hits.items():
+        column, flag = name.split(">")
+        keyed = table.select(F.col(table.columns[0]).alias(column), F.lit(True).alias(flag))
+        if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+            out = out.join(F.broadcast(keyed), column, "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
+        else:
+            with_value = out.filter(F.col(column).isNotNull()).join(keyed, column, "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
+            out = with_value.unionByName(out.filter(F.col(column).isNull()).withColumn(flag, F.lit(False)))
+    return out
+
+
 def scanners(flows: DataFrame, least: int = SCANNER_PORTS) -> DataFrame:
     """(ip): sources that sent bare SYNs to at least ``least`` distinct ports."""
     bare = flows.filter((F.col("proto") == PROTO["tcp"]))
@@ -50,11 +72,9 @@ def scanners(flows: DataFrame, least: int = SCANNER_PORTS) -> DataFrame:
 
 def with_scanners(flows: DataFrame, least: int = SCANNER_PORTS) -> DataFrame:
     """Unknown flows of a scanner, at either end, become scans."""
-    who = scanners(flows, least)
-    a = who.withColumnRenamed("ip", "lo_ip").withColumn("lo_scans", F.lit(True))
-    b = who.withColumnRenamed("ip", "hi_ip").withColumn("hi_scans", F.lit(True))
-    out = flows.join(a, "lo_ip", "left").join(b, "hi_ip", "left")
-    hit = (F.col("category") == "unknown") & (F.coalesce("lo_scans", F.lit(False)) | F.coalesce("hi_scans", F.lit(False)))
+    who = checkpointed(scanners(flows, least))
+    out = flagged(flows, {"lo_ip>lo_scans": who, "hi_ip>hi_scans": who})
+    hit = (F.col("category") == "unknown") & (F.col("lo_scans") | F.col("hi_scans"))
     return out.withColumn("category", F.when(hit, "scan").otherwise(F.col("category"))).drop("lo_scans", "hi_scans")
 
 
@@ -78,13 +98,10 @@ def enriched(flows: DataFrame, feed: DataFrame) -> DataFrame:
     full = names.join(of("domain").select(F.lower("value").alias("v")), F.lower("sni") == F.col("v"), "left_semi")
     parents = names.withColumn("v", F.explode(name_suffixes(F.col("sni")))).join(of("suffix").select(F.ltrim(F.lower("value"), F.lit(".")).alias("v")), "v", "left_semi").select("sni")
     bad_name = full.union(parents).distinct()
-    lo = bad_ip.withColumnRenamed("ip", "lo_ip").withColumn("lo_bad", F.lit(True))
-    hi = bad_ip.withColumnRenamed("ip", "hi_ip").withColumn("hi_bad", F.lit(True))
-    out = flows.join(lo, "lo_ip", "left").join(hi, "hi_ip", "left").join(bad_name.withColumn("name_bad", F.lit(True)), "sni", "left")
-    for k in ("ja3", "ja4"):
-        out = out.join(of(k).select(F.col("value").alias(k), F.lit(True).alias(f"{k}_bad")).distinct(), k, "left")
-    no = F.lit(False)
-    out = out.withColumns({"ioc_ip": F.coalesce("lo_bad", no) | F.coalesce("hi_bad", no), "ioc_domain": F.coalesce("name_bad", no), "ioc_fp": F.coalesce("ja3_bad", no) | F.coalesce("ja4_bad", no)})
+    bad_ip, bad_name = checkpointed(bad_ip), checkpointed(bad_name)
+    prints = {k: of(k).select("value").distinct() for k in ("ja3", "ja4")}
+    out = flagged(flows, {"lo_ip>lo_bad": bad_ip, "hi_ip>hi_bad": bad_ip, "sni>name_bad": bad_name, **{f"{k}>{k}_bad": t for k, t in prints.items()}})
+    out = out.withColumns({"ioc_ip": F.col("lo_bad") | F.col("hi_bad"), "ioc_domain": F.col("name_bad"), "ioc_fp": F.col("ja3_bad") | F.col("ja4_bad")})
     return out.drop("lo_bad", "hi_bad", "name_bad", "ja3_bad", "ja4_bad")
 
 

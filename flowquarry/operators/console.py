@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 ROW_LIMIT, LOAD_LIMIT, TIMEOUT_SECONDS = 5000, 1_000_000, 20
 
 # Words that no console statement may have outside strings and comments.
-DENIED = "insert update delete drop create alter attach detach copy export import install load pragma set reset call execute prepare deallocate vacuum checkpoint truncate grant revoke begin commit".split()
+DENIED = "alter attach begin call checkpoint commit copy create delete detach drop export force grant import insert install load pragma reset revoke rollback set transaction truncate update use vacuum".split()
 
 _TOKENS = re.compile(r"(?P<line>--[^\n]*)|(?P<open>/\*)|(?P<string>'(?:[^']|'')*'?)|(?P<quoted>\"(?:[^\"]|\"\")*\"?|`(?:[^`]|``)*`?)|(?P<word>[A-Za-z_]\w*)|(?P<number>\d[\w.]*)|(?P<space>\s+)|(?P<sign>.)", re.DOTALL)
 
@@ -79,18 +79,19 @@ def run(spark: SparkSession, sql: str, limit: int | None = ROW_LIMIT, **views: D
     return spark.sql(v.sql)
 
 
-# The shipped analyst queries.  They run unchanged over the views flow, finding and incident.
+# The shipped analyst queries over the views flow, finding and incident, with casts and names for columns that
+# Spark and DuckDB would type or name differently.
 QUERIES = {
     "q01": """WITH ends AS (SELECT src_ip AS ip, bytes_c2s + bytes_s2c AS b, pkts FROM flow UNION ALL SELECT dst_ip, bytes_c2s + bytes_s2c, pkts FROM flow)
         SELECT ip, CAST(SUM(b) AS BIGINT) AS total_bytes, CAST(SUM(pkts) AS BIGINT) AS total_pkts, COUNT(*) AS flows FROM ends GROUP BY ip ORDER BY total_bytes DESC, ip LIMIT 50""",
-    "q02": "SELECT severity, COUNT(*) AS findings, MAX(confidence) AS max_confidence FROM finding GROUP BY severity",
+    "q02": "SELECT severity, COUNT(*) AS findings, MAX(confidence) AS max_confidence FROM finding GROUP BY severity ORDER BY array_position(array('critical', 'high', 'medium', 'low', 'info'), severity)",
     "q03": "SELECT category, COUNT(*) AS flows, CAST(SUM(pkts) AS BIGINT) AS pkts, CAST(SUM(bytes_c2s + bytes_s2c) AS BIGINT) AS bytes FROM flow GROUP BY category ORDER BY bytes DESC",
     "q04": """SELECT src_ip, dst_ip, dst_port, COUNT(*) AS flow_count, ROUND(AVG(bytes_c2s + bytes_s2c), 4) AS avg_bytes, ROUND(STDDEV_POP(bytes_c2s + bytes_s2c), 4) AS std_bytes, MIN(start_ts) AS first_seen, MAX(end_ts) AS last_seen
         FROM flow GROUP BY src_ip, dst_ip, dst_port HAVING COUNT(*) >= 5 ORDER BY flow_count DESC, std_bytes, src_ip, dst_ip, dst_port LIMIT 100""",
-    "q05": "SELECT proto, COALESCE(app_proto, 'unknown') AS app_proto, COUNT(*) AS flows, CAST(SUM(pkts) AS BIGINT) AS pkts, CAST(SUM(bytes_c2s + bytes_s2c) AS BIGINT) AS bytes FROM flow GROUP BY proto, COALESCE(app_proto, 'unknown')",
+    "q05": "SELECT proto, COALESCE(app_proto, 'unknown') AS app_proto, COUNT(*) AS flows, CAST(SUM(pkts) AS BIGINT) AS pkts, CAST(SUM(bytes_c2s + bytes_s2c) AS BIGINT) AS bytes FROM flow GROUP BY proto, COALESCE(app_proto, 'unknown') ORDER BY bytes DESC",
     "q06": "SELECT dst_port, proto, COUNT(*) AS flows, CAST(SUM(pkts) AS BIGINT) AS pkts, CAST(SUM(bytes_c2s + bytes_s2c) AS BIGINT) AS bytes FROM flow GROUP BY dst_port, proto ORDER BY pkts DESC, dst_port, proto LIMIT 50",
-    "q07": "SELECT date_trunc('second', start_ts) AS bucket, COUNT(*) AS flows, CAST(SUM(pkts) AS BIGINT) AS pkts, CAST(SUM(bytes_c2s + bytes_s2c) AS BIGINT) AS bytes FROM flow GROUP BY date_trunc('second', start_ts)",
-    "q08": "SELECT host, severity, COUNT(*) AS incidents, MAX(created_at) AS last_incident FROM incident GROUP BY host, severity",
+    "q07": "SELECT date_trunc('second', start_ts) AS bucket, COUNT(*) AS flows, CAST(SUM(pkts) AS BIGINT) AS pkts, CAST(SUM(bytes_c2s + bytes_s2c) AS BIGINT) AS bytes FROM flow GROUP BY date_trunc('second', start_ts) ORDER BY bucket",
+    "q08": "SELECT host, severity, COUNT(*) AS incidents, MAX(created_at) AS last_incident FROM incident GROUP BY host, severity ORDER BY array_position(array('critical', 'high', 'medium', 'low', 'info'), severity), host",
     "q09": "SELECT flow_id, src_ip, dst_ip, dst_port, category, severity, threat_score FROM flow WHERE ioc OR severity IN ('high', 'critical') ORDER BY threat_score DESC, flow_id LIMIT 500",
 }
 

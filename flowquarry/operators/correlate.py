@@ -58,16 +58,19 @@ def pivot_edges(findings: DataFrame) -> DataFrame:
     return j.filter(ok).select("from_host", "to_host", "kind", "weight", dwell.alias("dwell_ns"))
 
 
-def parents(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def parents(edges: DataFrame) -> DataFrame:
     """One edge into each host: the heaviest, then the quickest, then by name.  A cycle loses its edge into its smallest host."""
     order = Window.partitionBy("to_host").orderBy(F.desc("weight"), F.asc_nulls_last("dwell_ns"), "from_host", "kind")
     best = checkpointed(edges.withColumn("i", F.row_number().over(order)).filter("i = 1").drop("i"))
     # Follow parents by doubling; a host that meets itself is on a cycle.
     reach = best.select(F.col("to_host").alias("host"), F.col("from_host").alias("up"), F.least("to_host", "from_host").alias("low"))
-    for i in range(rounds):
+    hosts, hops = best.count(), 1
+    while True:
         step = reach.alias("a").join(reach.alias("b"), F.col("a.up") == F.col("b.host"), "left")
         reach = checkpointed(step.select("a.host", F.coalesce("b.up", "a.up").alias("up"), F.least("a.low", F.coalesce("b.low", "a.low")).alias("low"), F.col("b.host").isNotNull().alias("went")))
-        if not reach.filter("went").limit(1).count() or 1 << (i + 1) > 4096:
+        hops *= 2
+        # On a cycle the walk goes on for ever; after as many hops as there are edges it has met all of its hosts.
+        if hops > hosts or not reach.filter("went").limit(1).count():
             break
         reach = reach.drop("went")
     on_cycle = reach.join(best.select(F.col("to_host").alias("up")), "up", "left_semi").filter(F.col("host") == F.col("low")).select(F.col("host").alias("to_host"))

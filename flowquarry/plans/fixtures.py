@@ -2,7 +2,8 @@
 
 Every event becomes one packet.  ``event_id mod 16`` gives its part in one of several scenes (an ordinary
 exchange of four packets, a beacon, log-ins, scans, an upload, DNS and ICMP tunnels, plain-text
-services, a flood), ``event_id div 16`` its place in the scene.
+services, a flood), ``event_id div 16`` its place in the scene.  The first 1,000 events come once more in scenes that need a
+fixed number of packets: a flood from 270 sources, 40 log-ins at one server, a megabyte of echo requests.
 """
 
 from __future__ import annotations
@@ -85,7 +86,10 @@ FROM (SELECT event_id AS e, event_id % 16 AS c, {div('event_id', 16)} AS j, {us}
     {cat("'10.0.'", f'{J} % 7', "'.'", f'{J} % 50 + 1')} AS client,
     CASE {J} % 10 WHEN 4 THEN '8.8.8.8' WHEN 5 THEN {cat("'10.0.9.'", f'{J} % 5 + 1')} WHEN 6 THEN {cat("'203.0.113.'", f'{J} % 9')} WHEN 7 THEN CASE WHEN {J} % 20 = 17 THEN '93.184.217.9' ELSE {cat("'10.0.9.'", f'{J} % 5 + 1')} END WHEN 8 THEN '52.1.2.3' WHEN 9 THEN '10.0.20.1' ELSE {cat("'93.184.216.'", f'{J} % 20')} END AS server,
     CASE {J} % 10 WHEN 4 THEN 53 WHEN 5 THEN 80 WHEN 6 THEN 4444 WHEN 7 THEN 3389 WHEN 8 THEN 8443 WHEN 9 THEN 10000 + {J} % 2000 ELSE 443 END AS sport
-  FROM {events}) AS scene
+  FROM (SELECT event_id, ts FROM {events}
+    UNION ALL SELECT (event_id + 1000000) * 16 + 15, ts FROM {events} WHERE event_id < 300
+    UNION ALL SELECT (event_id + 100000) * 24 * 16 + 6, ts FROM {events} WHERE event_id < 40
+    UNION ALL SELECT (event_id + 2000000) * 16 + 13, ts FROM {events} WHERE event_id < 1000) AS source) AS scene
 """
 
 

@@ -54,7 +54,12 @@ class Capture:
 
     @property
     def flows(self) -> DataFrame:
-        return self._keep("flows", lambda: classify.scored(classify.enriched(classify.with_scanners(classify.classified(self.raw)), fixtures.feed(self.spark))))
+        def make() -> DataFrame:
+            # Distinct values and scanners are found from the classified flows, so these are written before.
+            base = classify.with_scanners(checkpointed(classify.classified(self.raw)))
+            return classify.scored(classify.enriched(base, fixtures.feed(self.spark)))
+
+        return self._keep("flows", make)
 
     @property
     def table(self) -> DataFrame:
