@@ -31,6 +31,9 @@ def packet_sql(dialect: str, events: str = "events") -> str:
         return "concat(" + ", ".join(p if p.startswith("'") else f"CAST({p} AS {text})" for p in parts) + ")"
 
     J = div("event_id", 16)
+    again = [(300, "(event_id + 1000000) * 16 + 15"), (40, "(event_id + 100000) * 24 * 16 + 6"), (1000, "(event_id + 2000000) * 16 + 13")]
+    ids = ", ".join(["event_id", *(f"CASE WHEN event_id < {n} THEN {x} END" for n, x in again)])
+    each = (f"explode(array({ids}))" if spark else f"unnest([{ids}])") + " AS event_id"
     return f"""
 SELECT e AS idx,
   CASE WHEN c IN (4, 5) THEN {BASE_NS} + j * 30000000000 + (c - 4) * 1000000
@@ -86,10 +89,7 @@ FROM (SELECT event_id AS e, event_id % 16 AS c, {div('event_id', 16)} AS j, {us}
     {cat("'10.0.'", f'{J} % 7', "'.'", f'{J} % 50 + 1')} AS client,
     CASE {J} % 10 WHEN 4 THEN '8.8.8.8' WHEN 5 THEN {cat("'10.0.9.'", f'{J} % 5 + 1')} WHEN 6 THEN {cat("'203.0.113.'", f'{J} % 9')} WHEN 7 THEN CASE WHEN {J} % 20 = 17 THEN '93.184.217.9' ELSE {cat("'10.0.9.'", f'{J} % 5 + 1')} END WHEN 8 THEN '52.1.2.3' WHEN 9 THEN '10.0.20.1' ELSE {cat("'93.184.216.'", f'{J} % 20')} END AS server,
     CASE {J} % 10 WHEN 4 THEN 53 WHEN 5 THEN 80 WHEN 6 THEN 4444 WHEN 7 THEN 3389 WHEN 8 THEN 8443 WHEN 9 THEN 10000 + {J} % 2000 ELSE 443 END AS sport
-  FROM (SELECT event_id, ts FROM {events}
-    UNION ALL SELECT (event_id + 1000000) * 16 + 15, ts FROM {events} WHERE event_id < 300
-    UNION ALL SELECT (event_id + 100000) * 24 * 16 + 6, ts FROM {events} WHERE event_id < 40
-    UNION ALL SELECT (event_id + 2000000) * 16 + 13, ts FROM {events} WHERE event_id < 1000) AS source) AS scene
+  FROM (SELECT {each}, ts FROM {events}) AS source WHERE event_id IS NOT NULL) AS scene
 """
 
 
