@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -109,26 +111,26 @@ def decoded(c: Capture) -> DataFrame:
     return c._get("decoded", lambda: D.layers(frames(c.packets).select("idx", "link", "frame")).withColumn("text", D.text_of(F.col("payload"))))
 
 
-def _dec(name: str, tail: str, **columns: Column) -> None:
-    query(name, tail)(lambda c: decoded(c).select("idx", *[x.alias(n) for n, x in columns.items()]))
+def _dec(name: str, tail: str, columns: Callable[[], dict[str, Column]]) -> None:
+    query(name, tail)(lambda c: decoded(c).select("idx", *[x.alias(n) for n, x in columns().items()]))
 
 
 _HTTP = "http_host IS NOT NULL AND stratum IS NULL AND COALESCE(cleartext_cred, '') <> 'FTP'"
 _ = F.col
-_dec("dec_l2", "SELECT idx, l3 FROM packet", l3=_("l3"))
-_dec("dec_l3", "SELECT idx, src_ip, dst_ip, CAST(ttl AS INT) AS ttl FROM packet", src_ip=_("src_ip"), dst_ip=_("dst_ip"), ttl=_("ttl"))
-_dec("dec_l4", "SELECT idx, transport, src_port, dst_port, tcp_flags FROM packet", transport=_("transport"), src_port=_("src_port"), dst_port=_("dst_port"), tcp_flags=_("tcp_flags"))
-_dec("dec_arp", "SELECT idx, arp_ip, arp_mac FROM packet", arp_ip=_("arp_ip"), arp_mac=_("arp_mac"))
-_dec("dec_icmp_type", "SELECT idx, icmp_type FROM packet", icmp_type=_("icmp_type"))
-_dec("dec_dns_qname", "SELECT idx, dns_qname FROM packet", dns_qname=F.when((_("src_port") == 53) | (_("dst_port") == 53), D.dns_question(_("payload"))))
-_dec("dec_http_method", f"SELECT idx, CASE WHEN {_HTTP} THEN 'GET' END AS method FROM packet", method=D.http_method(_("text")))
-_dec("dec_http_header", f"SELECT idx, CASE WHEN {_HTTP} THEN http_host END AS host, CASE WHEN {_HTTP} THEN http_ua END AS ua FROM packet", host=D.http_header(_("text"), "Host"), ua=D.http_header(_("text"), "user-agent"))
-_dec("dec_http_auth", "SELECT idx, CASE WHEN cleartext_cred = 'HTTP Basic' THEN cleartext_cred END AS scheme FROM packet", scheme=D.http_auth(_("text")))
-_dec("dec_cred", "SELECT idx, cleartext_cred FROM packet", cleartext_cred=D.cleartext_credential(_("text"), _("dst_port")))
-_dec("dec_pii_card", f"SELECT idx, COALESCE(pii = 'card' AND {_HTTP}, FALSE) AS card FROM packet", card=D.card_number(_("text")))
-_dec("dec_pii_ssn", f"SELECT idx, COALESCE(pii = 'ssn' AND {_HTTP}, FALSE) AS ssn FROM packet", ssn=D.social_number(_("text")))
-_dec("dec_text_gate", f"SELECT idx, CASE WHEN {_HTTP} OR stratum IS NOT NULL OR cleartext_cred = 'FTP' OR download IS NOT NULL THEN TRUE WHEN dns_qname IS NOT NULL OR ot_control IS NOT NULL OR icmp_type IS NOT NULL OR (app_proto = 'tls' AND transport = 'tcp') THEN FALSE END AS is_text FROM packet", is_text=D.is_text(_("payload")))
-_dec("dec_stratum", "SELECT idx, stratum FROM packet", stratum=D.stratum_role(_("text")))
-_dec("dec_modbus_ctl", "SELECT idx, CAST(regexp_extract(ot_control, '[0-9]+') AS INT) AS code FROM packet WHERE ot_control IS NOT NULL UNION ALL SELECT idx, NULL FROM packet WHERE ot_control IS NULL", code=D.modbus_write(_("payload"), _("dst_port")))
-_dec("dec_download", "SELECT idx, download FROM packet", download=F.when(F.startswith(_("text"), F.lit("HTTP/1.")), D.file_class(F.encode(F.regexp_extract(_("text"), r"(?s)\r\n\r\n(.*)$", 1), "ISO-8859-1"))))
-_dec("dec_l7_hint", f"SELECT idx, CASE WHEN {_HTTP} OR download IS NOT NULL THEN 'http' WHEN dns_qname IS NOT NULL THEN 'dns' WHEN ot_control IS NOT NULL THEN 'modbus' WHEN app_proto = 'tls' AND transport = 'tcp' AND stratum IS NULL THEN 'tls' END AS hint FROM packet", hint=F.when(_("payload").isNotNull(), D.l7_hint(_("payload"), _("transport"), _("src_port"), _("dst_port"))))
+_dec("dec_l2", "SELECT idx, l3 FROM packet", lambda: dict(l3=_("l3")))
+_dec("dec_l3", "SELECT idx, src_ip, dst_ip, CAST(ttl AS INT) AS ttl FROM packet", lambda: dict(src_ip=_("src_ip"), dst_ip=_("dst_ip"), ttl=_("ttl")))
+_dec("dec_l4", "SELECT idx, transport, src_port, dst_port, tcp_flags FROM packet", lambda: dict(transport=_("transport"), src_port=_("src_port"), dst_port=_("dst_port"), tcp_flags=_("tcp_flags")))
+_dec("dec_arp", "SELECT idx, arp_ip, arp_mac FROM packet", lambda: dict(arp_ip=_("arp_ip"), arp_mac=_("arp_mac")))
+_dec("dec_icmp_type", "SELECT idx, icmp_type FROM packet", lambda: dict(icmp_type=_("icmp_type")))
+_dec("dec_dns_qname", "SELECT idx, dns_qname FROM packet", lambda: dict(dns_qname=F.when((_("src_port") == 53) | (_("dst_port") == 53), D.dns_question(_("payload")))))
+_dec("dec_http_method", f"SELECT idx, CASE WHEN {_HTTP} THEN 'GET' END AS method FROM packet", lambda: dict(method=D.http_method(_("text"))))
+_dec("dec_http_header", f"SELECT idx, CASE WHEN {_HTTP} THEN http_host END AS host, CASE WHEN {_HTTP} THEN http_ua END AS ua FROM packet", lambda: dict(host=D.http_header(_("text"), "Host"), ua=D.http_header(_("text"), "user-agent")))
+_dec("dec_http_auth", "SELECT idx, CASE WHEN cleartext_cred = 'HTTP Basic' THEN cleartext_cred END AS scheme FROM packet", lambda: dict(scheme=D.http_auth(_("text"))))
+_dec("dec_cred", "SELECT idx, cleartext_cred FROM packet", lambda: dict(cleartext_cred=D.cleartext_credential(_("text"), _("dst_port"))))
+_dec("dec_pii_card", f"SELECT idx, COALESCE(pii = 'card' AND {_HTTP}, FALSE) AS card FROM packet", lambda: dict(card=D.card_number(_("text"))))
+_dec("dec_pii_ssn", f"SELECT idx, COALESCE(pii = 'ssn' AND {_HTTP}, FALSE) AS ssn FROM packet", lambda: dict(ssn=D.social_number(_("text"))))
+_dec("dec_text_gate", f"SELECT idx, CASE WHEN {_HTTP} OR stratum IS NOT NULL OR cleartext_cred = 'FTP' OR download IS NOT NULL THEN TRUE WHEN dns_qname IS NOT NULL OR ot_control IS NOT NULL OR icmp_type IS NOT NULL OR (app_proto = 'tls' AND transport = 'tcp') THEN FALSE END AS is_text FROM packet", lambda: dict(is_text=D.is_text(_("payload"))))
+_dec("dec_stratum", "SELECT idx, stratum FROM packet", lambda: dict(stratum=D.stratum_role(_("text"))))
+_dec("dec_modbus_ctl", "SELECT idx, CAST(regexp_extract(ot_control, '[0-9]+') AS INT) AS code FROM packet WHERE ot_control IS NOT NULL UNION ALL SELECT idx, NULL FROM packet WHERE ot_control IS NULL", lambda: dict(code=D.modbus_write(_("payload"), _("dst_port"))))
+_dec("dec_download", "SELECT idx, download FROM packet", lambda: dict(download=F.when(F.startswith(_("text"), F.lit("HTTP/1.")), D.file_class(F.encode(F.regexp_extract(_("text"), r"(?s)\r\n\r\n(.*)$", 1), "ISO-8859-1")))))
+_dec("dec_l7_hint", f"SELECT idx, CASE WHEN {_HTTP} OR download IS NOT NULL THEN 'http' WHEN dns_qname IS NOT NULL THEN 'dns' WHEN ot_control IS NOT NULL THEN 'modbus' WHEN app_proto = 'tls' AND transport = 'tcp' AND stratum IS NULL THEN 'tls' END AS hint FROM packet", lambda: dict(hint=F.when(_("payload").isNotNull(), D.l7_hint(_("payload"), _("transport"), _("src_port"), _("dst_port")))))
