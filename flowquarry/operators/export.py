@@ -83,3 +83,39 @@ def sigma_rules(findings: DataFrame, author: str = "flowquarry") -> DataFrame:
         line("level: ", _mapped("severity", SIGMA_LEVEL, F.col("severity"))), F.when(any_, F.concat(F.lit("tags:\n"), each(lambda a: line("  - attack.", F.lower(a))))).otherwise(""),
     )
     return findings.select(rule.alias("rule"))
+
+
+def _uuid(*seed: Column | str) -> Column:
+    """A name-based id: the same words give the same id."""
+    h = F.sha2(F.concat_ws("|", *seed), 256)
+    return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(F.lit("8"), F.substring(h, 18, 3)), F.substring(h, 21, 12))
+
+
+def misp_attributes(findings: DataFrame, domains: DataFrame, fingerprints: DataFrame) -> DataFrame:
+    """(type, value, attribute): the attributes of a MISP event, each as a JSON object, one a type and value.
+
+    ``domains``: (host, malicious); ``fingerprints``: (ja3, ja4, label).  Targets carry the title of their finding of the
+    highest score, the first by title among equals; fingerprints the first label.
+    """
+    best = F.min_by("title", F.struct(-F.col("score"), "title"))
+    ips = findings.filter("dst_ip is not null").groupBy(F.col("dst_ip").alias("value")).agg(best.alias("comment")).select(F.lit("ip-dst").alias("type"), "value", F.lit(True).alias("to_ids"), "comment")
+    hosts = domains.filter("host is not null").groupBy(F.col("host").alias("value")).agg(F.bool_or(F.coalesce("malicious", F.lit(False))).alias("to_ids")).select(F.lit("domain").alias("type"), "value", "to_ids", F.lit("").alias("comment"))
+    both = F.inline(F.array(F.struct(F.lit("ja3-fingerprint-md5").alias("type"), F.col("ja3").alias("value")), F.struct(F.lit("ja4").alias("type"), F.col("ja4").alias("value"))))
+    marks = fingerprints.select(both, "label").filter("value is not null").groupBy("type", "value").agg(F.min("label").alias("comment")).select("type", "value", F.lit(True).alias("to_ids"), "comment")
+    rows = ips.unionByName(hosts).unionByName(marks)
+    fields = F.struct(_uuid(F.lit("misp"), F.lit("attribute"), "type", "value").alias("uuid"), "type", F.lit("Network activity").alias("category"), "value", "to_ids", "comment")
+    return rows.select("type", "value", F.to_json(fields).alias("attribute"))
+
+
+def misp_event(findings: DataFrame, source: str, unix: int) -> DataFrame:
+    """(event): one row, the head of the event as JSON, to which the attributes belong; its tags are the techniques of all findings."""
+    worst = F.max(F.when(F.col("severity").isin("critical", "high"), 3).when(F.col("severity") == "medium", 2).when(F.col("severity") == "low", 1).otherwise(0))
+    g = findings.agg(F.count(F.lit(1)).alias("n"), F.coalesce(worst, F.lit(0)).alias("worst"))
+    tags = findings.select(F.explode("attack").alias("a")).distinct().agg(F.sort_array(F.collect_list("a")).alias("ids"))
+    info = F.concat(F.lit(f"flowquarry analysis of {source}: "), F.col("n").cast("string"), F.lit(" findings"))
+    fields = F.struct(
+        _uuid(F.lit("misp"), F.lit("event"), F.lit(source), F.lit(str(unix))).alias("uuid"), info.alias("info"), F.date_format(F.timestamp_seconds(F.lit(unix)), "yyyy-MM-dd").alias("date"), (4 - F.col("worst")).cast("string").alias("threat_level_id"),
+        F.lit("2").alias("analysis"), F.lit(False).alias("published"), F.lit(str(unix)).alias("timestamp"), F.transform("ids", lambda a: F.struct(F.concat(F.lit("mitre-attack:"), a).alias("name"))).alias("Tag"),
+    )
+    # Both sides are aggregates of one row.
+    return g.join(F.broadcast(tags), F.lit(True)).select(F.to_json(fields).alias("event"))

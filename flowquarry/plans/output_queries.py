@@ -70,6 +70,22 @@ query(
     || CASE WHEN len(attack) > 0 THEN 'tags:' || chr(10) || array_to_string(list_transform(attack, lambda a: '  - attack.' || lower(a) || chr(10)), '') ELSE '' END AS rule FROM (SELECT *, {_SHA} AS h FROM {_F})""",
 )(lambda c: export.sigma_rules(_findings(c)))
 
+_ATTRIBUTE = """'{"uuid":"' || substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-8' || substr(h, 18, 3) || '-' || substr(h, 21, 12) || '","type":"' || type || '","category":"Network activity","value":"' || value
+    || '","to_ids":' || CASE WHEN to_ids THEN 'true' ELSE 'false' END || ',"comment":"' || replace(comment, '"', chr(92) || '"') || '"}'"""
+query(
+    "exp_misp",
+    f"""SELECT type, value, {_ATTRIBUTE} AS attribute FROM (SELECT *, sha256('misp|attribute|' || type || '|' || value) AS h FROM (
+      SELECT 'ip-dst' AS type, dst_ip AS value, TRUE AS to_ids, FIRST(title ORDER BY score DESC, title) AS comment FROM {_F} WHERE dst_ip IS NOT NULL GROUP BY dst_ip
+      UNION ALL SELECT DISTINCT 'domain', http_host, http_host LIKE 'a%', '' FROM packet WHERE http_host IS NOT NULL UNION ALL SELECT DISTINCT 'ja3-fingerprint-md5', ja3, TRUE, 'seen' FROM packet WHERE ja3 IS NOT NULL
+      UNION ALL SELECT DISTINCT 'ja4', ja4, TRUE, 'seen' FROM packet WHERE ja4 IS NOT NULL))""",
+)(lambda c: export.misp_attributes(_findings(c), c.packets.select(F.col("http_host").alias("host"), F.startswith("http_host", F.lit("a")).alias("malicious")), c.packets.select("ja3", "ja4", F.lit("seen").alias("label"))))
+query(
+    "exp_misp_event",
+    f"""SELECT '{{"uuid":"' || substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-8' || substr(h, 18, 3) || '-' || substr(h, 21, 12) || '","info":"flowquarry analysis of day.pcap: ' || n || ' findings","date":"2024-01-02","threat_level_id":"' || level
+    || '","analysis":"2","published":false,"timestamp":"1704153600","Tag":[{{"name":"mitre-attack:T1040"}},{{"name":"mitre-attack:T1048.003"}},{{"name":"mitre-attack:T1071"}}]}}' AS event
+    FROM (SELECT COUNT(*) AS n, CASE WHEN bool_or(severity IN ('critical', 'high')) THEN 1 ELSE 2 END AS level, sha256('misp|event|day.pcap|1704153600') AS h FROM {_F})""",
+)(lambda c: export.misp_event(_findings(c), "day.pcap", 1_704_153_600))
+
 # --- forecasts ----------------------------------------------------------------------------------------------
 # The folds are recursive; tests/test_forecast.py holds them against a plain loop.
 _IDS = ["src_ip"]

@@ -23,3 +23,20 @@ def test_stream_agrees_with_table(spark, tmp_path):
     table = counted(spark.read.parquet(str(tmp_path / "in")), "user", 300)
     assert sorted(map(tuple, spark.table("counted").collect())) == sorted(map(tuple, table.collect()))
     assert beyond(spark.read.parquet(str(tmp_path / "in")), "user", 300, 13).count() > 0
+
+
+def test_flow_files_by_name(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from flowquarry.schema import FLOW_COLUMNS
+    from flowquarry.sources.flows import read_flows, write_flows
+
+    path = str(tmp_path / "flow")
+    whole = spark.range(6).select(F.col("id").alias("flow_id"), F.lit(1).cast("long").alias("capture_id"), F.lit("10.0.0.1").alias("src_ip"), F.lit("x").alias("sni"), F.lit(7).alias("beyond"))
+    write_flows(whole, path)
+    write_flows(whole.withColumn("capture_id", F.lit(2).cast("long")).drop("sni").limit(2), path)
+    write_flows(whole.limit(3), path)
+    got = read_flows(spark, path)
+    assert got.columns == FLOW_COLUMNS
+    rows = got.select("capture_id", "flow_id", "src_ip", "sni", "ja3").collect()
+    assert sorted(map(tuple, rows), key=str) == [(1, i, "10.0.0.1", "x", None) for i in range(3)] + [(2, i, "10.0.0.1", None, None) for i in range(2)]
