@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ from flowquarry.operators import forecast, rules, series
 from flowquarry.plans.capture_queries import frames
 from flowquarry.plans.more_queries import WIDTH
 from flowquarry.plans.queries import Capture, query
+from flowquarry.schema import FLOW_COLUMNS
+from flowquarry.sources.flows import read_flows, write_flows
 from flowquarry.sources.rules import content_hex, parsed, technique_ids
 
 RULES = r"""
@@ -95,3 +99,17 @@ _flat = lambda df: df.withColumns({k: F.concat_ws("; ", k) for k in ("attack", "
 query("fc_anomaly")(lambda c: _flat(forecast.anomalies(_steps(c), WIDTH)))
 query("fc_suppress")(lambda c: _flat(forecast.unexplained(forecast.anomalies(_steps(c), WIDTH))))
 query("det_forecast")(lambda c: _flat(forecast.traffic_anomalies(series.dense_series(series.cells(c.packets), WIDTH), WIDTH)))
+
+
+def _flow_files(c: Capture) -> DataFrame:
+    """The flow table as two captures of one folder, the second without ``ioc``, read back."""
+    table = c.table.withColumn("flow_id", F.lit(0).cast("long"))
+    # The flows are checkpointed, so the shared folder is known by now.
+    path = f"{c.spark.sparkContext.getCheckpointDir()}/flows-{uuid.uuid4().hex}"
+    write_flows(table, path)
+    write_flows(table.withColumn("capture_id", F.lit(2).cast("long")).drop("ioc"), path)
+    return read_flows(c.spark, path)
+
+
+_COLS = ", ".join(f"{{{k}}}" if k in ("flow_id", "capture_id", "ioc") else k for k in FLOW_COLUMNS)
+query("src_flow_parquet", " UNION ALL ".join(f"SELECT {_COLS.format(flow_id='0 AS flow_id', capture_id=f'{n} AS capture_id', ioc=ioc)} FROM flow" for n, ioc in ((1, "ioc"), (2, "NULL AS ioc"))))(_flow_files)
