@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowquarry.llm import chat, decontaminate, hamerly, hardnegatives, htmltext, imatch, langid, linededup, pieces, simhash, tokencounts, tokenfiles
+from flowquarry.llm import chat, decontaminate, hamerly, hardnegatives, htmltext, imatch, jaccardjoin, langid, linededup, pieces, simhash, tokencounts, tokenfiles
 from flowquarry.llm.common import tokenizer_path
 
 
@@ -60,6 +60,10 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.written_and_read(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op11_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccardjoin.components(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
     flipped = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
@@ -70,6 +74,6 @@ def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hamerly.cluster(_table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_imatch, op2_html_main_text, op3_chat_windows, op4_sentencepiece, op5_simhash, op6_decontamination, op7_line_dedup, op8_token_counts, op9_language_id, op10_token_files, op12_hard_negatives, op13_centroid_clusters)}
+QUERIES = {f.__name__: f for f in (op1_imatch, op2_html_main_text, op3_chat_windows, op4_sentencepiece, op5_simhash, op6_decontamination, op7_line_dedup, op8_token_counts, op9_language_id, op10_token_files, op11_ngram_jaccard, op12_hard_negatives, op13_centroid_clusters)}
 
 ORACLE_SQL: dict[str, str] = {}
