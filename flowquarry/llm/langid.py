@@ -5,11 +5,12 @@ to blanks, in ``DIM`` slots; their document frequencies are counted over all tra
 sample of distinct training texts (``per_lang`` a language, fewer where all languages together would pass
 ``most_rows``; those with the smallest hashes) goes to the driver as sparse counts and trains one weight a slot
 and language by follow-the-regularised-leader with L1 and L2 penalties, which keeps the weights sparse.
-Every language of the training rows is learned.  A second bounded sample, disjoint from the first, fits one
+Every language of which a training text has a letter is learned, however often its texts are repeated.  A second bounded sample, disjoint from the first, fits one
 temperature that calibrates the probabilities.  Scoring runs in Arrow batches over whole texts.
 
 Defined cases: text that is null or has no letter gets ``und`` and score 0; rows with null lang or text
-train nothing; without any training row all texts get ``und`` and score 0; long texts are counted in
+train nothing; a row with null doc_id is not held out and trains; without any training row all texts get
+``und`` and score 0, and ``identified`` keeps no row; long texts are counted in
 blocks of characters; repeated rows do not matter beyond their weight in counts; an empty table gives
 an empty result; lang, source and doc_id are no inputs of a prediction; other columns are ignored.
 """
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowquarry.llm.common import free_name
+from flowquarry.llm.common import discard, free_name, materialise
 
 UNKNOWN = "und"
 DIM = 1 << 14
@@ -108,9 +109,14 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray]], ys: np.ndarray, langs: list[str], idf: np.ndarray, alpha: float = 2.0, beta: float = 1.0, l1: float = 1e-3, l2: float = 1e-3, epochs: int = 4, batch: int = 32, seed: int = 7) -> LanguageModel:
-    """Train by follow-the-regularised-leader (proximal, per coordinate) with an elastic-net penalty."""
+def fit(rows: list[tuple[np.ndarray, np.ndarray]], ys: np.ndarray, langs: list[str], idf: np.ndarray, alpha: float = 2.0, beta: float = 1.0, l1: float = 1e-3, l2: float = 1e-3, epochs: int = 4, batch: int = 32, steps: int = 320, seed: int = 7) -> LanguageModel:
+    """Train by follow-the-regularised-leader (proximal, per coordinate) with an elastic-net penalty.
+
+    All languages weigh the same, however few texts one has; small samples are gone through until ``steps`` batches are done.
+    """
     k = len(langs)
+    weight = (len(rows) / k / np.maximum(1, np.bincount(ys, minlength=k)))[ys]
+    epochs = max(epochs, -(-steps * batch // len(rows)))
     model = LanguageModel(langs, idf, np.zeros((DIM, k)), np.zeros(k))
     z, n = np.zeros((DIM + 1, k)), np.zeros((DIM + 1, k))
     vectors = [model.vector(s, c) for s, c in rows]
@@ -130,6 +136,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], ys: np.ndarray, langs: list[s
             values = [np.append(vectors[i], 1.0) for i in some]
             p = _softmax(np.array([v @ w[a] for a, v in zip(places, values, strict=True)]))
             p[np.arange(len(some)), ys[some]] -= 1
+            p *= weight[some][:, None]
             g = np.zeros_like(w)
             for a, v, d in zip(places, values, p / len(some), strict=True):
                 g[a] += v[:, None] * d[None, :]
@@ -179,23 +186,28 @@ def train(docs: DataFrame, per_lang: int = PER_LANG, calibrate_per_lang: int = C
             df[slot] = v
     idf = np.log((1 + total) / (1 + df)) + 0.1
 
-    counts = usable.groupBy("lang").count()
-    n_langs = max(1, counts.count())
+    # Distinct texts by language, named by hash; ranking in two steps keeps no language in one task, however many texts it has.
+    lettered = usable.filter(F.col("text").rlike(r"\p{L}"))
+    distinct = materialise(lettered.select("lang", F.xxhash64("text").alias("hash_")).distinct())
+    n_langs = max(1, distinct.select("lang").distinct().count())
     quota = max(1, min(per_lang + calibrate_per_lang, most_rows // n_langs))
     learners = max(1, quota * per_lang // (per_lang + calibrate_per_lang))
-    # A threshold on the texts' hashes thins every language to little more than its quota before its texts are ranked.
-    share = F.least(F.lit(1.0), (2 * quota + 100) / F.col("count"))
-    near = usable.withColumn("hash_", F.xxhash64("text")).join(counts.select("lang", share.alias("share_")), "lang")
-    near = near.filter(F.pmod("hash_", F.lit(1 << 40)) < F.col("share_") * (1 << 40)).dropDuplicates(["lang", "hash_"])
-    ranked = near.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("hash_", F.lit(1 << 40)), "hash_")))
+    order = [F.pmod("hash_", F.lit(1 << 40)), F.col("hash_")]
+    split = distinct.withColumn("part_", F.pmod(F.xxhash64("hash_"), F.lit(64)))
+    few = split.withColumn("place", F.row_number().over(Window.partitionBy("lang", "part_").orderBy(*order))).filter(F.col("place") <= quota)
+    ranked = few.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).filter(F.col("place") <= quota).select("lang", "hash_", "place")
+    # At most ``most_rows`` hashes, or one a language.
+    chosen = lettered.withColumn("hash_", F.xxhash64("text")).join(F.broadcast(materialise(ranked)), ["lang", "hash_"])
+    sampled = chosen.groupBy("lang", "place").agg(F.min("text").alias("text"))
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [features(t.as_py()) for t in b.column(0)]
             yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array([s for s, _ in got], pa.list_(pa.int32())), pa.array([c for _, c in got], pa.list_(pa.int32()))], names=["lang", "place", "slots", "counts"])
 
-    sample = ranked.filter(F.col("place") <= quota).select("text", "lang", "place").mapInArrow(sparse, "lang string, place int, slots array<int>, counts array<int>")
+    sample = sampled.select("text", "lang", "place").mapInArrow(sparse, "lang string, place int, slots array<int>, counts array<int>")
     table = sample.toArrow()
+    discard(distinct)
     rows = [(np.asarray(s.values, dtype=np.int64), np.asarray(c.values, dtype=np.int64)) for s, c in zip(table["slots"], table["counts"], strict=True)]
     langs = sorted(set(table["lang"].to_pylist()))
     number = {x: i for i, x in enumerate(langs)}
@@ -227,7 +239,10 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
 
 def identified(docs: DataFrame, least: float = 0.5, **options) -> DataFrame:
-    """``docs`` without the rows whose language is unknown or less probable than ``least``."""
+    """``docs`` without the rows whose language is unknown or less probable than ``least``.
+
+    Where no row of ``docs`` has both text and lang there is nothing to learn from: every language is unknown and no row stays.
+    """
     whole = free_name("doc_", ["text", "lang_pred", "score"])
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(whole), F.col("text").alias("text"))
     found = predict(packed, train(docs, **options))

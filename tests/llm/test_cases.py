@@ -191,3 +191,22 @@ def test_recall_of_edited_texts(spark):
     assert len(rows) > 50 and found >= 0.9 and false <= 0.05
 
 
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_a_language_of_few_repeated_texts_is_learned(spark, seed):
+    rng = random.Random(seed)
+    some = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(3, 9))) for _ in range(30))
+    few = [some("aeiourstnlq") for _ in range(10)]
+    rows = [(None, few[i % 10], "fr") for i in range(20_000)] + [(None, some("wkthgyxbe"), "en") for _ in range(300)] + [(None, "one text of its own", "xx"), (None, "123", "yy"), (None, "zzz", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(6)
+    model = langid.train(docs)
+    assert model.langs == ["en", "fr", "xx"]
+    got = langid.predict(docs.filter("lang = 'fr'").dropDuplicates(["text"]), model).collect()
+    assert len(got) == 10 and {r["lang_pred"] for r in got} == {"fr"}
+
+
+def test_without_labels_no_language_is_known(spark, plain):
+    bare = plain.withColumn("lang", F.lit(None).cast("string"))
+    assert {tuple(r) for r in langid.predict(bare, langid.train(bare)).select("lang_pred", "score").collect()} == {("und", 0.0)}
+    assert corpus_pipeline.language_id(spark, bare, "").count() == 0
