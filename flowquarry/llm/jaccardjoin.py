@@ -7,11 +7,12 @@ Two documents link if the Jaccard similarity of their sets of ``WIDTH``-word shi
    other sets is similar to none and goes no further.
 2. The sets left get all their tokens, made anew from the texts, in ascending order of the number of sets that
    have them.  Their prefix is a head in that order; a passage that many unlike documents share stands behind it.
-3. Similar sets are partitioned into groups: sets of equal least hash and like size are compared with the first of
-   them, in ``ROUNDS`` rounds, and join its group if they are similar to it.  Each group lies within a ball about
-   its leader; every other set is a group of its own.  No pair of members is compared.
-4. The token-group matrix holds the union of the prefixes of each group.  Two groups are opened only if their unions
-   share enough tokens for a similar pair of the sizes that they have.
+3. Similar sets are partitioned into groups: sets of equal least hash and like size are compared with the one of
+   them that has the fewest rare tokens, in ``ROUNDS`` rounds, and join its group if they are similar to it.  Each group
+   lies within a ball about its leader; every other set is a group of its own.  No pair of members is compared.
+4. The token-group matrix holds the union of the prefixes of each group.  Groups are first linked to one leader
+   each, and the unions taken over the components that come of it.  Two components, and then two groups of them, are opened
+   only if their unions share enough tokens for a similar pair of the sizes that they have.
 5. Leaders of opened groups are compared first.  One minus the similarity is a metric, so groups whose leaders are
    farther apart than their balls allow are closed.  Then members that the matrix still allows meet the
    leader of the other group, at last members within reach of the other ball meet members.  After each step
@@ -46,6 +47,8 @@ SHARE = 90
 #: Tokens that heads have beyond the least, in percent of a set: so many tokens must two heads share, and one more.
 SPARE = 10
 ROUNDS = 3
+#: Times that every group is compared with one leader before groups meet by tokens.
+STARS = 2
 #: Words that a worker remembers with their hashes.
 MEMORY = 1 << 20
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -155,13 +158,32 @@ def compared(pairs: DataFrame, full: DataFrame, share: int) -> DataFrame:
     return materialise(met.select(*pairs.columns, (1 - F.col("both_") / F.col("union_")).alias("far"), (F.col("both_") * 100 >= F.col("union_") * share).alias("linked")))
 
 
-def partition(full: DataFrame, share: int) -> tuple[DataFrame, DataFrame]:
-    """(set, g) of all sets of ``full``, g being the leader of the set's group, and the links (a, b) of members to leaders."""
-    sizes = full.select("set", F.floor(F.log(F.col("n")) / F.log(F.lit(1.2))).alias("band"), *[f"m{i}" for i in range(ROUNDS)])
+def prefixes(full: DataFrame, share: int) -> DataFrame:
+    """(set, n, rare, w) of the prefix tokens, in the order of their numbers of sets, that other sets have; sets without enough of them are left out.
+
+    ``rare``: share of the set's tokens that no other set has.
+    """
+    tokens = full.select("set", "n", F.explode("hs").alias("w"))
+    counts = tokens.groupBy("w").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    listed = tokens.join(counts, "w").groupBy("set", "n").agg(F.sort_array(F.collect_list(F.struct("c", "w"))).alias("cw"))
+    n = F.col("n")
+    # Tokens that no other set has come first in the order.
+    rare = n - F.size("cw")
+    length = F.greatest(F.lit(0), n - _need_column(n, share) + _spare_column(n) - F.col("rare"))
+    cut = listed.withColumn("rare", rare).withColumn("cw", F.slice("cw", 1, length)).filter(F.size("cw") >= _spare_column(_need_column(n, share)))
+    return materialise(cut.select("set", "n", (F.col("rare") / n).alias("rare"), F.explode("cw.w").alias("w")))
+
+
+def partition(full: DataFrame, rare: DataFrame, share: int) -> tuple[DataFrame, DataFrame]:
+    """(set, g) of all sets of ``rare`` (set, rare), g being the leader of the set's group, and the links (a, b) of members to leaders.
+
+    The leader of a bucket is the set with the smallest share of rare tokens, of near copies the one least edited.
+    """
+    sizes = full.join(rare, "set").select("set", "rare", F.floor(F.log(F.col("n")) / F.log(F.lit(1.2))).alias("band"), *[f"m{i}" for i in range(ROUNDS)])
     free, links = sizes, None
     for i in range(ROUNDS):
-        firsts = free.groupBy(f"m{i}", "band").agg(F.min("set").alias("b"), F.count(F.lit(1)).alias("size_")).filter("size_ > 1").drop("size_")
-        pairs = free.join(firsts, [f"m{i}", "band"]).filter("set <> b").select(F.col("set").alias("a"), "b")
+        firsts = free.groupBy(f"m{i}", "band").agg(F.min(F.struct("rare", "set")).alias("first_"), F.count(F.lit(1)).alias("size_")).filter("size_ > 1")
+        pairs = free.join(firsts.select(f"m{i}", "band", F.col("first_.set").alias("b")), [f"m{i}", "band"]).filter("set <> b").select(F.col("set").alias("a"), "b")
         new = compared(pairs, full, share).filter("linked").select("a", "b")
         links = new if links is None else links.unionByName(new)
         if i + 1 < ROUNDS:
@@ -173,50 +195,69 @@ def partition(full: DataFrame, share: int) -> tuple[DataFrame, DataFrame]:
     return materialise(groups), links
 
 
-def prefixes(full: DataFrame, share: int) -> DataFrame:
-    """(set, n, w) of the prefix tokens, in the order of their numbers of sets, that other sets have; sets without enough of them are left out."""
-    tokens = full.select("set", "n", F.explode("hs").alias("w"))
-    counts = tokens.groupBy("w").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
-    listed = tokens.join(counts, "w").groupBy("set", "n").agg(F.sort_array(F.collect_list(F.struct("c", "w"))).alias("cw"))
-    n = F.col("n")
-    # Tokens that no other set has come first in the order.
-    length = F.greatest(F.lit(0), n - _need_column(n, share) + _spare_column(n) - (n - F.size("cw")))
-    cut = listed.withColumn("cw", F.slice("cw", 1, length)).filter(F.size("cw") >= _spare_column(_need_column(n, share)))
-    return materialise(cut.select("set", "n", F.explode("cw.w").alias("w")))
-
-
-def _apart(pairs: DataFrame, links: DataFrame, a: str, b: str) -> DataFrame:
-    """``pairs`` whose sets ``a`` and ``b`` are not of one component of the links yet."""
+def _component(rows: DataFrame, links: DataFrame, key: str) -> DataFrame:
+    """``rows`` with ``comp``, the component of the set ``key`` by the links so far."""
     comps = connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    out = pairs
-    for k in (a, b):
-        out = out.join(comps.select(F.col("node").alias(k), F.col("component").alias(f"comp_{k}")), k, "left").withColumn(f"comp_{k}", F.coalesce(f"comp_{k}", k))
-    return materialise(out.filter(F.col(f"comp_{a}") != F.col(f"comp_{b}")).select(*pairs.columns))
+    return rows.join(comps.select(F.col("node").alias(key), F.col("component").alias("comp")), key, "left").withColumn("comp", F.coalesce("comp", key))
+
+
+def _apart(pairs: DataFrame, links: DataFrame) -> DataFrame:
+    """``pairs`` whose sets a and b are not of one component of the links yet."""
+    both = _component(_component(pairs, links, "a").withColumnRenamed("comp", "comp_a"), links, "b")
+    return materialise(both.filter("comp_a <> comp").select(*pairs.columns))
+
+
+def _may(x: str, y: str, share: int) -> Column:
+    """Whether the sizes of two groups allow a similar pair."""
+    return (F.col(f"{x}.low") * share <= F.col(f"{y}.high") * 100) & (F.col(f"{y}.low") * share <= F.col(f"{x}.high") * 100)
+
+
+def opened_groups(matrix: DataFrame, links: DataFrame, full: DataFrame, share: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs of groups (a, b, ball_a, ball_b), of two components, whose unions of tokens allow a similar pair; and the links with those found on the way.
+
+    ``matrix``: (g, w, low, high, ball, rare).  First every group is compared with one leader, the one that is the first
+    group of most of its tokens, ``STARS`` times by another order, and components that come together are taken
+    as one row of the matrix.
+    """
+    for turn in range(STARS):
+        order = F.struct("rare", "g") if not turn else F.struct(F.xxhash64("g", F.lit(turn)).alias("o"), "g")
+        now = materialise(_component(matrix, links, "g"))
+        heads_ = now.groupBy("w").agg(F.min(F.struct(order.alias("o"), "g", "low", "high", "comp")).alias("h"), F.max("comp").alias("most"), F.min("comp").alias("least")).filter("least < most")
+        y = heads_.select("w", F.col("h.g").alias("g"), F.col("h.low").alias("low"), F.col("h.high").alias("high"), F.col("h.comp").alias("comp")).alias("y")
+        met = now.alias("x").join(y, (F.col("x.w") == F.col("y.w")) & (F.col("x.comp") != F.col("y.comp")) & _may("x", "y", share))
+        best = met.groupBy(F.col("x.g").alias("a"), F.col("y.g").alias("b")).agg(F.count(F.lit(1)).alias("shared")).groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b"))
+        links = materialise(links.unionByName(compared(best, full, share).filter("linked").select("a", "b")))
+        discard(now)
+    now = materialise(_component(matrix, links, "g"))
+    extent = now.groupBy("comp").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    whole = now.select("comp", "w").distinct().join(extent, "comp")
+    x, y = whole.alias("x"), whole.alias("y")
+    met = x.join(y, (F.col("x.w") == F.col("y.w")) & (F.col("x.comp") < F.col("y.comp")) & _may("x", "y", share))
+    met = met.groupBy(F.col("x.comp").alias("comp_x"), F.col("y.comp").alias("comp_y")).agg(F.count(F.lit(1)).alias("shared"), F.max(F.least("x.low", "y.low")).alias("low"))
+    apart = materialise(met.filter(F.col("shared") >= _spare_column(F.col("low"))).select("comp_x", "comp_y"))
+    x = now.withColumnRenamed("comp", "comp_x").join(apart, "comp_x").alias("x")
+    y = now.withColumnRenamed("comp", "comp_y").alias("y")
+    met = x.join(y, (F.col("x.w") == F.col("y.w")) & (F.col("x.comp_y") == F.col("y.comp_y")) & _may("x", "y", share))
+    out = met.groupBy(F.col("x.g").alias("a"), F.col("y.g").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.max(F.least("x.low", "y.low")).alias("low"), F.max("x.ball").alias("ball_a"), F.max("y.ball").alias("ball_b"))
+    return materialise(out.filter(F.col("shared") >= _spare_column(F.col("low"))).select("a", "b", "ball_a", "ball_b")), links
 
 
 def links_of(full: DataFrame, share: int = SHARE) -> DataFrame:
     """(a, b) similar sets of ``full`` whose components are those of all similar pairs."""
     tokens = prefixes(full, share)
-    some = tokens.select("set").distinct()
-    groups, links = partition(full.join(some, "set", "left_semi"), share)
+    groups, links = partition(full, tokens.select("set", "rare").distinct(), share)
     reach = 1 - share / 100
 
     member = materialise(tokens.join(groups, "set"))
-    extent = materialise(member.groupBy("g").agg(F.min("n").alias("low"), F.max("n").alias("high"), (F.max("set") != F.min("set")).cast("int").alias("ball")))
-    matrix = materialise(member.select("g", "w").distinct())
-    sized = matrix.join(extent, "g")
-    x, y = sized.alias("x"), sized.alias("y")
-    fits = (F.col("x.low") * share <= F.col("y.high") * 100) & (F.col("y.low") * share <= F.col("x.high") * 100)
-    met = x.join(y, (F.col("x.w") == F.col("y.w")) & (F.col("x.g") < F.col("y.g")) & fits)
-    keys = [F.col("x.g").alias("a"), F.col("y.g").alias("b")]
-    opened = met.groupBy(*keys).agg(F.count(F.lit(1)).alias("shared"), F.max(F.least("x.low", "y.low")).alias("low"), F.max("x.ball").alias("ball_a"), F.max("y.ball").alias("ball_b"))
-    opened = opened.filter(F.col("shared") >= _spare_column(F.col("low"))).select("a", "b", "ball_a", "ball_b")
+    extent = member.groupBy("g").agg(F.min("n").alias("low"), F.max("n").alias("high"), (F.max("set") != F.min("set")).cast("int").alias("ball"), F.min("rare").alias("rare"))
+    matrix = materialise(member.select("g", "w").distinct().join(extent, "g"))
+    opened, links = opened_groups(matrix, links, full, share)
 
     # Leaders.
     seen = compared(opened, full, share)
     links = materialise(links.unionByName(seen.filter("linked").select("a", "b")))
     left = seen.filter(~F.col("linked") & (F.col("ball_a") + F.col("ball_b") > 0) & (F.col("far") <= reach * (1 + F.col("ball_a") + F.col("ball_b")) + 1e-9))
-    left = _apart(left.select("a", "b", "ball_a", "ball_b"), links, "a", "b")
+    left = _apart(left.select("a", "b", "ball_a", "ball_b"), links)
 
     # Members and the leaders of other groups: (q, own, other).
     sides = left.select(F.col("a").alias("g"), F.col("b").alias("other"), F.col("ball_a").alias("own_ball"), F.col("ball_b").alias("ball"))
@@ -226,7 +267,7 @@ def links_of(full: DataFrame, share: int = SHARE) -> DataFrame:
     seen = compared(asked.select(F.col("set").alias("a"), F.col("other").alias("b"), "g", "ball"), full, share)
     links = materialise(links.unionByName(seen.filter("linked").select("a", "b")))
     near = seen.filter(~F.col("linked") & (F.col("ball") == 1) & (F.col("far") <= reach * 2 + 1e-9)).select("a", "b", "g")
-    near = _apart(near, links, "a", "b")
+    near = _apart(near, links)
 
     # Members and members of the other group.
     words = member.select(F.col("set").alias("a"), "w", "n")
@@ -237,7 +278,7 @@ def links_of(full: DataFrame, share: int = SHARE) -> DataFrame:
     pairs = pairs.groupBy(F.col("p.a").alias("a"), F.col("q.a").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.max(F.least("p.n", "q.n")).alias("n"))
     seen = compared(pairs.filter(F.col("shared") >= _spare_column(F.col("n"))).select("a", "b"), full, share)
     out = materialise(links.unionByName(seen.filter("linked").select("a", "b")))
-    for table in (tokens, groups, member, extent, matrix):
+    for table in (tokens, groups, member, matrix):
         discard(table)
     return out
 

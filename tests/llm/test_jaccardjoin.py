@@ -100,7 +100,7 @@ def test_groups_lie_within_balls(spark):
     rows = [(i, t) for i, (_, t) in enumerate(corpus(4)) if shingles(t)]
     texts = spark.createDataFrame(rows, "set long, text string")
     full = jaccardjoin.whole_sets(texts, 3)
-    groups, _ = jaccardjoin.partition(full, 90)
+    groups, _ = jaccardjoin.partition(full, full.select("set", F.lit(0.0).alias("rare")), 90)
     sets = {i: shingles(t) for i, t in rows}
     found = groups.collect()
     assert sorted(r["set"] for r in found) == sorted(sets)
