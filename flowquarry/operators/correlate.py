@@ -43,38 +43,63 @@ def progressions(findings: DataFrame, most: int = 64) -> DataFrame:
 
 
 def pivot_edges(findings: DataFrame) -> DataFrame:
-    """(from_host, to_host, kind, weight, dwell_ns): a victim of one finding acts in another soon after."""
+    """(from_host, to_host, kind, weight, dwell_ns): a victim of one finding that begins to act within an hour after it.
+
+    What counts is the first of all times at which the victim acts: a host that acted long before was no victim.  Where
+    the finding or all acts of the victim lack a time, the order is unknown and the edge stays, without a dwell.
+    """
     w = _lookup(HANDOFF, F.col("kind"))
     direct = F.col("kind").isin("brute_force", "exposed_remote_access", "port_scan")
     spread = F.col("kind").isin("lateral_movement", "host_sweep")
     gone = F.array().cast("array<string>")
     victims = F.when(direct & F.col("dst_ip").isNotNull(), F.array("dst_ip")).when(spread, F.col("victims")).otherwise(gone)
     a = findings.select(F.col("src_ip").alias("from_host"), "kind", w.alias("weight"), F.col("first_ns").alias("a_ns"), F.explode(victims).alias("to_host")).filter("from_host <> to_host")
-    b = findings.groupBy(F.col("src_ip").alias("to_host")).agg(F.array_sort(F.collect_set("first_ns")).alias("starts"), F.bool_or(F.col("first_ns").isNull()).alias("untimed"))
-    fit = F.filter("starts", lambda t: (F.col("a_ns") <= t + SKEW_NS) & (t - F.col("a_ns") <= WINDOW_NS))
-    j = a.join(b, "to_host").withColumn("fit", fit)
-    ok = (F.size("fit") > 0) | F.col("a_ns").isNull() | F.col("untimed")
-    dwell = F.greatest(F.lit(0), F.element_at(F.when(F.size("fit") > 0, F.col("fit")), 1) - F.col("a_ns"))
-    return j.filter(ok).select("from_host", "to_host", "kind", "weight", dwell.alias("dwell_ns"))
+    b = findings.groupBy(F.col("src_ip").alias("to_host")).agg(F.min("first_ns").alias("start_ns"))
+    gap = F.col("start_ns") - F.col("a_ns")
+    j = a.join(b, "to_host").filter(gap.isNull() | gap.between(-SKEW_NS, WINDOW_NS))
+    return j.select("from_host", "to_host", "kind", "weight", F.abs(gap).alias("dwell_ns"))
 
 
 def parents(edges: DataFrame) -> DataFrame:
-    """One edge into each host: the heaviest, then the quickest, then by name.  A cycle loses its edge into its smallest host."""
+    """One edge into each host, so that the edges are a forest: the heaviest, then the quickest, then by name, that closes no cycle.
+
+    The hosts choose in the order of their names.  All take their best edge at first; of the hosts on a cycle the last
+    one to choose would have seen it closed, so it alone goes on to its next edge, until no cycle is left.
+    """
     order = Window.partitionBy("to_host").orderBy(F.desc("weight"), F.asc_nulls_last("dwell_ns"), "from_host", "kind")
-    best = checkpointed(edges.withColumn("i", F.row_number().over(order)).filter("i = 1").drop("i"))
-    # Follow parents by doubling; a host that meets itself is on a cycle.
-    reach = best.select(F.col("to_host").alias("host"), F.col("from_host").alias("up"), F.least("to_host", "from_host").alias("low"))
-    hosts, hops = best.count(), 1
+    # Edges of one pair of hosts beyond the best close the same cycles.
+    pair = Window.partitionBy("to_host", "from_host").orderBy(F.desc("weight"), F.asc_nulls_last("dwell_ns"), "kind")
+    single = edges.withColumn("i", F.row_number().over(pair)).filter("i = 1").drop("i")
+    # A host that no edge leaves, or none enters, is on no cycle.
+    ranked = checkpointed(single.withColumn("i", F.row_number().over(order)))
+    at = checkpointed(ranked.select("to_host").distinct().withColumn("i", F.lit(1)))
     while True:
-        step = reach.alias("a").join(reach.alias("b"), F.col("a.up") == F.col("b.host"), "left")
-        reach = checkpointed(step.select("a.host", F.coalesce("b.up", "a.up").alias("up"), F.least("a.low", F.coalesce("b.low", "a.low")).alias("low"), F.col("b.host").isNotNull().alias("went")))
-        hops *= 2
-        # On a cycle the walk goes on for ever; after as many hops as there are edges it has met all of its hosts.
-        if hops > hosts or not reach.filter("went").limit(1).count():
+        chosen = checkpointed(ranked.join(at, ["to_host", "i"]))
+        last = _last_of_cycles(chosen)
+        if not last.limit(1).count():
+            return chosen.drop("i").select(*edges.columns)
+        at = checkpointed(at.join(last.select("to_host", F.lit(1).alias("next_")), "to_host", "left").select("to_host", (F.col("i") + F.coalesce("next_", F.lit(0))).alias("i")))
+
+
+def _last_of_cycles(chosen: DataFrame) -> DataFrame:
+    """(to_host): the host of the greatest name on each cycle of (from_host, to_host), which has at most one edge into a host.
+
+    Walks up the edges double in length each turn.  A walk that has made as many steps as there are edges stands on a
+    cycle, and what it has met since is that cycle's.
+    """
+    walk = chosen.select(F.col("to_host").alias("host"), F.col("from_host").alias("up"), F.col("from_host").alias("most"))
+    walk = checkpointed(walk.join(walk.select(F.col("host").alias("up")), "up", "left_semi"))
+    hosts, hops = walk.count(), 1
+    while hops <= hosts:
+        b = walk.select(F.col("host").alias("up"), F.col("up").alias("far"), F.col("most").alias("most_b"))
+        # Walks that end at a root go.
+        walk = checkpointed(walk.join(b, "up").select("host", F.col("far").alias("up"), F.greatest("most", "most_b").alias("most")))
+        if not walk.limit(1).count():
             break
-        reach = reach.drop("went")
-    on_cycle = reach.join(best.select(F.col("to_host").alias("up")), "up", "left_semi").filter(F.col("host") == F.col("low")).select(F.col("host").alias("to_host"))
-    return best.join(on_cycle, "to_host", "left_anti")
+        hops *= 2
+    # The cycle is where walks of this length end; there a walk of one round meets all of it.
+    ends = walk.select(F.col("up").alias("host")).distinct()
+    return walk.join(ends, "host", "left_semi").filter(F.col("host") == F.col("most")).select(F.col("host").alias("to_host"))
 
 
 def components(links: DataFrame, rounds: int = 100) -> DataFrame:

@@ -2,7 +2,7 @@
 
 Every event becomes one packet.  ``event_id mod 16`` gives its part in one of several scenes (an ordinary
 exchange of four packets, a beacon, log-ins, scans, an upload, DNS and ICMP tunnels, plain-text
-services, a flood), ``event_id div 16`` its place in the scene.  The first 1,000 events come once more in scenes that need a
+services, a flood; the host that scans is one of those that were logged in to), ``event_id div 16`` its place in the scene.  The first 1,000 events come once more in scenes that need a
 fixed number of packets: a flood from 270 sources, 40 log-ins at one server, a megabyte of echo requests.
 """
 
@@ -45,7 +45,7 @@ SELECT e AS idx,
   CASE WHEN c = 15 AND j % 10 = 0 THEN 'arp' ELSE 'ipv4' END AS l3,
   CASE WHEN c = 15 AND j % 10 = 0 THEN NULL WHEN c = 13 THEN 'icmp' WHEN c IN (11, 12) THEN 'udp' WHEN c < 4 AND j % 10 = 4 THEN 'udp' WHEN c = 14 AND j % 11 = 0 THEN 'udp' ELSE 'tcp' END AS transport,
   CASE WHEN c = 15 AND j % 10 = 0 THEN NULL WHEN c IN (1, 3) THEN server WHEN c = 5 THEN '45.77.1.9' WHEN c = 7 THEN {cat("'10.0.9.'", 'j % 8 + 1')}
-       WHEN c IN (0, 2) THEN client WHEN c = 4 THEN '10.0.1.5' WHEN c = 6 THEN {cat("'10.0.2.'", 'j % 3 + 1')} WHEN c = 8 THEN '10.0.3.7' WHEN c = 9 THEN '10.0.3.8'
+       WHEN c IN (0, 2) THEN client WHEN c = 4 THEN '10.0.1.5' WHEN c = 6 THEN {cat("'10.0.2.'", 'j % 3 + 1')} WHEN c = 8 THEN '10.0.9.3' WHEN c = 9 THEN '10.0.3.8'
        WHEN c = 10 THEN '10.0.4.4' WHEN c = 11 THEN '10.0.5.5' WHEN c = 12 THEN '10.0.5.6' WHEN c = 13 THEN '10.0.6.6' WHEN c = 14 THEN {cat("'10.0.8.'", 'j % 6 + 1')} ELSE {cat("'10.1.'", 'j % 250', "'.'", 'j % 241')} END AS src_ip,
   CASE WHEN c = 15 AND j % 10 = 0 THEN NULL WHEN c IN (1, 3) THEN client WHEN c = 5 THEN '10.0.1.5' WHEN c = 7 THEN {cat("'10.0.2.'", 'j % 3 + 1')}
        WHEN c IN (0, 2) THEN server WHEN c = 4 THEN '45.77.1.9' WHEN c = 6 THEN {cat("'10.0.9.'", 'j % 8 + 1')} WHEN c = 8 THEN '10.0.9.50' WHEN c = 9 THEN {cat("'10.0.12.'", 'j % 200 + 1')}
