@@ -12,7 +12,7 @@ Two documents link if the Jaccard similarity of their sets of ``WIDTH``-word shi
    lies within a ball about its leader; every other set is a group of its own.  No pair of members is compared.
 4. The token-group matrix holds the union of the prefixes of each group.  Groups are first linked to one leader
    each, and the unions taken over the components that come of it.  Two components, and then two groups of them, are opened
-   only if their unions share enough tokens for a similar pair of the sizes that they have.
+   only if their unions share enough tokens for a similar pair of the sizes, and with the rare tokens, that they have.
 5. Leaders of opened groups are compared first.  One minus the similarity is a metric, so groups whose leaders are
    farther apart than their balls allow are closed.  Then members that the matrix still allows meet the
    leader of the other group, at last members within reach of the other ball meet members.  After each step
@@ -48,7 +48,7 @@ SHARE = 90
 SPARE = 10
 ROUNDS = 3
 #: Times that every group is compared with one leader before groups meet by tokens.
-STARS = 2
+STARS = 3
 #: Words that a worker remembers with their hashes.
 MEMORY = 1 << 20
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -208,8 +208,14 @@ def _apart(pairs: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _may(x: str, y: str, share: int) -> Column:
-    """Whether the sizes of two groups allow a similar pair."""
-    return (F.col(f"{x}.low") * share <= F.col(f"{y}.high") * 100) & (F.col(f"{y}.low") * share <= F.col(f"{x}.high") * 100)
+    """Whether the sizes of two groups, and the least share of rare tokens in their sets, allow a similar pair.
+
+    Rare tokens of one set are in no other, so they are missing from the intersection and add to the union.
+    """
+    fits = (F.col(f"{x}.low") * share <= F.col(f"{y}.high") * 100) & (F.col(f"{y}.low") * share <= F.col(f"{x}.high") * 100)
+    for p, q in ((x, y), (y, x)):
+        fits &= (1 - F.col(f"{p}.rare")) * 100 + 1e-6 >= share * (1 + F.col(f"{q}.rare") * share / 100)
+    return fits
 
 
 def opened_groups(matrix: DataFrame, links: DataFrame, full: DataFrame, share: int) -> tuple[DataFrame, DataFrame]:
@@ -222,14 +228,15 @@ def opened_groups(matrix: DataFrame, links: DataFrame, full: DataFrame, share: i
     for turn in range(STARS):
         order = F.struct("rare", "g") if not turn else F.struct(F.xxhash64("g", F.lit(turn)).alias("o"), "g")
         now = materialise(_component(matrix, links, "g"))
-        heads_ = now.groupBy("w").agg(F.min(F.struct(order.alias("o"), "g", "low", "high", "comp")).alias("h"), F.max("comp").alias("most"), F.min("comp").alias("least")).filter("least < most")
-        y = heads_.select("w", F.col("h.g").alias("g"), F.col("h.low").alias("low"), F.col("h.high").alias("high"), F.col("h.comp").alias("comp")).alias("y")
+        heads_ = now.groupBy("w").agg(F.min(F.struct(order.alias("o"), "g", "low", "high", "rare", "comp")).alias("h"), F.max("comp").alias("most"), F.min("comp").alias("least")).filter("least < most")
+        y = heads_.select("w", F.col("h.g").alias("g"), F.col("h.low").alias("low"), F.col("h.high").alias("high"), F.col("h.rare").alias("rare"), F.col("h.comp").alias("comp")).alias("y")
         met = now.alias("x").join(y, (F.col("x.w") == F.col("y.w")) & (F.col("x.comp") != F.col("y.comp")) & _may("x", "y", share))
-        best = met.groupBy(F.col("x.g").alias("a"), F.col("y.g").alias("b")).agg(F.count(F.lit(1)).alias("shared")).groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b"))
+        counted = met.groupBy(F.col("x.g").alias("a"), F.col("y.g").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.max(F.least("x.low", "y.low")).alias("low"))
+        best = counted.filter(F.col("shared") >= _spare_column(F.col("low"))).groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b"))
         links = materialise(links.unionByName(compared(best, full, share).filter("linked").select("a", "b")))
         discard(now)
     now = materialise(_component(matrix, links, "g"))
-    extent = now.groupBy("comp").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    extent = now.groupBy("comp").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.min("rare").alias("rare"))
     whole = now.select("comp", "w").distinct().join(extent, "comp")
     x, y = whole.alias("x"), whole.alias("y")
     met = x.join(y, (F.col("x.w") == F.col("y.w")) & (F.col("x.comp") < F.col("y.comp")) & _may("x", "y", share))
