@@ -100,9 +100,9 @@ def text_of(payload: Column) -> Column:
 
 
 def is_text(payload: Column) -> Column:
-    """At most a tenth of the first 64 bytes are controls other than tab, line feed and carriage return."""
+    """At most a tenth of the first 64 bytes are controls below the blank other than tab, line feed and carriage return; nothing is no text."""
     start = text_of(F.substring(payload, 1, 64))
-    return F.length(F.regexp_replace(start, r"[^\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", "")) * 10 <= F.length(start)
+    return (F.length(start) > 0) & (F.length(F.regexp_replace(start, r"[^\x00-\x08\x0b\x0c\x0e-\x1f]", "")) * 10 <= F.length(start))
 
 
 def http_method(text: Column) -> Column:
@@ -118,11 +118,14 @@ def http_header(text: Column, name: str) -> Column:
 def http_auth(text: Column) -> Column:
     """Scheme of an Authorization or Proxy-Authorization header."""
     value = F.lower(F.coalesce(http_header(text, "Authorization"), http_header(text, "Proxy-Authorization")))
-    return F.when(F.startswith(value, F.lit("basic ")), "HTTP Basic").when(F.startswith(value, F.lit("digest ")), "HTTP Digest")
+    return F.when(F.startswith(value, F.lit("basic")), "HTTP Basic").when(F.startswith(value, F.lit("digest")), "HTTP Digest")
 
 
-def cleartext_credential(text: Column, dst_port: Column) -> Column:
-    return F.when((dst_port == 21) & text.rlike(r"(?i)^(USER|PASS) "), "FTP").otherwise(http_auth(text))
+def cleartext_credential(text: Column, dst_port: Column, transport: Column) -> Column:
+    """Log-in over FTP, or the scheme of an HTTP request's authorization, within the first 1,024 bytes of a TCP payload."""
+    start = F.substring(text, 1, 1024)
+    ftp = (dst_port == 21) & start.rlike(r"(?i)^(USER|PASS) ")
+    return F.when(transport == "tcp", F.when(ftp, "FTP").when(http_method(text).isNotNull(), http_auth(start)))
 
 
 def _luhn(digits: Column) -> Column:
@@ -131,23 +134,39 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(F.transform(ds, lambda d: F.when(d > 9, d - 9).otherwise(d)), F.lit(0), lambda a, d: a + d) % 10 == 0
 
 
+# Numbers of digits and first digits of payment cards, and how many bytes before a number its name may stand.
+ISSUERS = r"^(?:4(?:\d{12}|\d{15}|\d{18})|3[47]\d{13}|5[1-5]\d{14}|2(?:22[1-9]|2[3-9]\d|[3-6]\d\d|7[01]\d|720)\d{12}|6(?:011|5\d\d)\d{12})$"
+WINDOW = 40
+
+
 def card_number(text: Column) -> Column:
-    """Whether the text has a payment card number: 13 to 19 digits with single separators, known issuer, right check digit, after a keyword."""
-    found = F.regexp_extract_all(text, F.lit(r"(?i)(?:card|pan|credit)[^\n]{0,40}?(?<!\d)((?:[3-6]\d|2[2-7])(?:[ -]?\d){11,17})(?!\d)"), 1)
-    return F.coalesce(F.exists(F.transform(found, lambda x: F.regexp_replace(x, "[ -]", "")), _luhn), F.lit(False))
+    """Whether the text has a payment card number: a run of up to 19 digits with single separators, of a known issuer, with a right check digit, a keyword within the bytes before."""
+    run = r"\d(?:[ -]?\d){0,18}"
+    pairs = F.arrays_zip(F.split(text, run, -1).alias("gap"), F.regexp_extract_all(text, F.lit(f"({run})"), 1).alias("run"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<at:int,digits:string>>").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        at = (acc["at"] + F.length(x["gap"])).cast("int")
+        here = F.struct(at.alias("at"), F.regexp_replace(x["run"], "[ -]", "").alias("digits"))
+        return F.struct((at + F.coalesce(F.length(x["run"]), F.lit(0))).cast("int").alias("at"), F.concat(acc["out"], F.array(here)).alias("out"))
+
+    runs = F.aggregate(pairs, start, step)["out"]
+    before = lambda at: F.substring(text, F.greatest(F.lit(1), at - WINDOW + 1), F.least(at, F.lit(WINDOW)))
+    card = lambda r: r["digits"].rlike(ISSUERS) & before(r["at"]).rlike("(?i)card|pan|credit") & F.when(r["digits"].rlike(ISSUERS), _luhn(r["digits"]))
+    return F.when(text.rlike("(?i)card|pan|credit"), F.coalesce(F.exists(runs, card), F.lit(False))).otherwise(False)
 
 
 def social_number(text: Column) -> Column:
-    """Whether the text has a social security number that can exist, after a keyword."""
-    return F.coalesce(text.rlike(r"(?i)(?:ssn|social)[^\n]{0,40}?(?<!\d)(?!000|666|9\d\d)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?!\d)"), F.lit(False))
+    """Whether the text has a social security number that can exist, a keyword within the bytes before."""
+    named = rf"(?:(?<=ssn[\s\S]{{0,{WINDOW - 3}}})|(?<=social[\s\S]{{0,{WINDOW - 6}}}))"
+    return F.coalesce(text.rlike(rf"(?i){named}(?<!\d)(?!000|666|9\d\d)\d{{3}}-(?!00)\d{{2}}-(?!0000)\d{{4}}(?!\d)"), F.lit(False))
 
 
-def stratum_role(text: Column) -> Column:
-    """Role in a mining session by the method in the first 512 bytes."""
-    start = F.substring(text, 1, 512)
-    miner = start.rlike(r'"method"\s*:\s*"(mining\.(subscribe|authorize|submit)|login|submit|eth_submitLogin|eth_submitWork)"')
-    pool = start.rlike(r'"method"\s*:\s*"(mining\.(notify|set_difficulty|set_extranonce)|job)"')
-    return F.when(miner, "miner").when(pool, "pool")
+def stratum_role(text: Column, transport: Column) -> Column:
+    """Role in a mining session by a method named in the first 512 bytes of a TCP payload, in any case."""
+    start = F.lower(F.substring(text, 1, 512))
+    role = F.when(start.rlike(r"mining\.(subscribe|authorize|submit)"), "miner").when(start.rlike(r"mining\.(notify|set_difficulty)"), "pool")
+    return F.when(transport == "tcp", role)
 
 
 def dns_question(payload: Column) -> Column:
@@ -176,19 +195,23 @@ def modbus_write(payload: Column, dst_port: Column) -> Column:
 
 
 def file_class(body: Column) -> Column:
-    """Class of a file by its first bytes."""
+    """Class of a file by its first bytes, of which there must be two; a program that begins with two letters must look binary."""
     start = F.hex(F.substring(body, 1, 8))
     is_ = lambda *heads: reduce(lambda a, b: a | b, [F.startswith(start, F.lit(h)) for h in heads])
-    return F.when(is_("4D5A", "7F454C46", "CAFEBABE", "CFFAEDFE"), "executable").when(is_("504B0304", "1F8B", "52617221", "377ABCAF"), "archive").when(is_("25504446", "D0CF11E0"), "document")
+    binary = text_of(F.substring(body, 1, 16)).rlike(r"[\x00-\x08\x0e-\x1f]")
+    program = is_("7F454C46", "FEEDFACE", "FEEDFACF", "CEFAEDFE", "CFFAEDFE") | (is_("4D5A") & binary)
+    archive = is_("504B0304", "504B0506", "526172211A07", "377ABCAF271C", "1F8B", "FD377A585A00", "425A68")
+    found = F.when(program, "executable").when(is_("2321"), "script").when(is_("4D534346", "213C617263683E"), "installer").when(archive, "archive")
+    return F.when(F.octet_length(body) >= 2, found)
 
 
 def l7_hint(payload: Column, transport: Column, src_port: Column, dst_port: Column) -> Column:
-    """Application protocol: TLS and HTTP by their first bytes over TCP, QUIC over UDP, Modbus, DNS by port."""
+    """Application protocol: a TLS client hello and an HTTP request by their first bytes over TCP, QUIC over UDP, Modbus, DNS by port over either."""
     text = text_of(payload)
     tcp, udp = transport == "tcp", transport == "udp"
     on = lambda p: (src_port == p) | (dst_port == p)
-    tls = tcp & (_at(payload, 0, 1).isin(20, 21, 22, 23)) & (_at(payload, 1, 1) == 3) & (_at(payload, 2, 1) <= 4)
-    http = tcp & (http_method(text).isNotNull() | F.startswith(text, F.lit("HTTP/1.")))
+    tls = tcp & (_at(payload, 0, 1) == 22) & (_at(payload, 5, 1) == 1)
+    http = tcp & http_method(text).isNotNull()
     quic = udp & (_at(payload, 0, 1) >= 0xC0) & _at(payload, 1, 4).isin(1, 0x6B3343CF)
     modbus = tcp & on(502) & (_at(payload, 2, 2) == 0) & (F.octet_length(payload) >= 8)
-    return F.when(tls, "tls").when(http, "http").when(quic, "quic").when(modbus, "modbus").when(udp & on(53), "dns")
+    return F.when(tls, "tls").when(http, "http").when(quic, "quic").when(modbus, "modbus").when((udp | tcp) & on(53), "dns")

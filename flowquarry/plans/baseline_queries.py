@@ -67,7 +67,7 @@ def _stats(p: baseline.Profile, *more) -> DataFrame:
     return p.stats.select("host", "metric", "n", F.round("mean", 3).alias("mean"), F.round(F.sqrt(F.col("m2") / F.col("n")), 2).alias("deviation"), "least", "most", *more, recent)
 
 
-_EWMA = F.round("ewma", 3).alias("ewma")
+_EWMA = lambda: F.round("ewma", 3).alias("ewma")
 
 
 def _updated(c: Capture) -> baseline.Profile:
@@ -86,8 +86,8 @@ def _halves(c: Capture) -> baseline.Profile:
 
 
 _ALL = f", {_BLOCKS}, {_long('TRUE')} "
-query("bl_observe", _ALL + _STAT.format("ROUND(ewma, 3) AS ewma,"))(lambda c: _stats(baseline.build(_snapshot(c)), _EWMA))
-query("bl_update", _ALL + _STAT.format("ROUND(ewma, 3) AS ewma,"))(lambda c: _stats(_updated(c), _EWMA))
+query("bl_observe", _ALL + _STAT.format("ROUND(ewma, 3) AS ewma,"))(lambda c: _stats(baseline.build(_snapshot(c)), _EWMA()))
+query("bl_update", _ALL + _STAT.format("ROUND(ewma, 3) AS ewma,"))(lambda c: _stats(_updated(c), _EWMA()))
 query("bl_merge", _ALL + _STAT.format(""))(lambda c: _stats(_halves(c)))
 _SEEN = "SELECT host, dim, value, captures, total, first * 86400 AS first_unix, last * 86400 AS last_unix FROM seen"
 query("bl_merge_traits", _ALL + _SEEN)(lambda c: _halves(c).traits.drop("interval_ns", "cv"))

@@ -46,10 +46,13 @@ def _payload() -> Column:
     )
 
 
-def frames(packets: DataFrame) -> DataFrame:
-    """(idx, link, frame) beside the packets' columns: Ethernet, every seventh frame with a VLAN tag, every eleventh with two, every thirteenth bare IP."""
+def frames(packets: DataFrame, payload: Column | None = None) -> DataFrame:
+    """(idx, link, frame) beside the packets' columns: Ethernet, every seventh frame with a VLAN tag, every eleventh with two, every thirteenth bare IP.
+
+    ``payload``: hexadecimal text, by default made from the packets' columns.
+    """
     four = lambda ip: F.array_join(F.transform(F.split(ip, r"\."), lambda x: _be(x.cast("int"), 1)), "")
-    pay = _payload()
+    pay = _payload() if payload is None else payload
     size = F.length("pay") / 2
     tcp = F.concat(_be(F.col("src_port"), 2), _be(F.col("dst_port"), 2), F.lit("0000000100000002"), F.lit("50"), _be(F.coalesce("tcp_flags", F.lit(0)), 1), F.lit("200000000000"), F.col("pay"))
     udp = F.concat(_be(F.col("src_port"), 2), _be(F.col("dst_port"), 2), _be(size + 8, 2), F.lit("0000"), F.col("pay"))
@@ -126,11 +129,11 @@ _dec("dec_dns_qname", "SELECT idx, dns_qname FROM packet", lambda: dict(dns_qnam
 _dec("dec_http_method", f"SELECT idx, CASE WHEN {_HTTP} THEN 'GET' END AS method FROM packet", lambda: dict(method=D.http_method(_("text"))))
 _dec("dec_http_header", f"SELECT idx, CASE WHEN {_HTTP} THEN http_host END AS host, CASE WHEN {_HTTP} THEN http_ua END AS ua FROM packet", lambda: dict(host=D.http_header(_("text"), "Host"), ua=D.http_header(_("text"), "user-agent")))
 _dec("dec_http_auth", "SELECT idx, CASE WHEN cleartext_cred = 'HTTP Basic' THEN cleartext_cred END AS scheme FROM packet", lambda: dict(scheme=D.http_auth(_("text"))))
-_dec("dec_cred", "SELECT idx, cleartext_cred FROM packet", lambda: dict(cleartext_cred=D.cleartext_credential(_("text"), _("dst_port"))))
+_dec("dec_cred", "SELECT idx, cleartext_cred FROM packet", lambda: dict(cleartext_cred=D.cleartext_credential(_("text"), _("dst_port"), _("transport"))))
 _dec("dec_pii_card", f"SELECT idx, COALESCE(pii = 'card' AND {_HTTP}, FALSE) AS card FROM packet", lambda: dict(card=D.card_number(_("text"))))
 _dec("dec_pii_ssn", f"SELECT idx, COALESCE(pii = 'ssn' AND {_HTTP}, FALSE) AS ssn FROM packet", lambda: dict(ssn=D.social_number(_("text"))))
 _dec("dec_text_gate", f"SELECT idx, CASE WHEN {_HTTP} OR stratum IS NOT NULL OR cleartext_cred = 'FTP' OR download IS NOT NULL THEN TRUE WHEN dns_qname IS NOT NULL OR ot_control IS NOT NULL OR icmp_type IS NOT NULL OR (app_proto = 'tls' AND transport = 'tcp') THEN FALSE END AS is_text FROM packet", lambda: dict(is_text=D.is_text(_("payload"))))
-_dec("dec_stratum", "SELECT idx, stratum FROM packet", lambda: dict(stratum=D.stratum_role(_("text"))))
+_dec("dec_stratum", "SELECT idx, stratum FROM packet", lambda: dict(stratum=D.stratum_role(_("text"), _("transport"))))
 _dec("dec_modbus_ctl", "SELECT idx, CAST(regexp_extract(ot_control, '[0-9]+') AS INT) AS code FROM packet WHERE ot_control IS NOT NULL UNION ALL SELECT idx, NULL FROM packet WHERE ot_control IS NULL", lambda: dict(code=D.modbus_write(_("payload"), _("dst_port"))))
 _dec("dec_download", "SELECT idx, download FROM packet", lambda: dict(download=F.when(F.startswith(_("text"), F.lit("HTTP/1.")), D.file_class(F.encode(F.regexp_extract(_("text"), r"(?s)\r\n\r\n(.*)$", 1), "ISO-8859-1")))))
-_dec("dec_l7_hint", f"SELECT idx, CASE WHEN {_HTTP} OR download IS NOT NULL THEN 'http' WHEN dns_qname IS NOT NULL THEN 'dns' WHEN ot_control IS NOT NULL THEN 'modbus' WHEN app_proto = 'tls' AND transport = 'tcp' AND stratum IS NULL THEN 'tls' END AS hint FROM packet", lambda: dict(hint=F.when(_("payload").isNotNull(), D.l7_hint(_("payload"), _("transport"), _("src_port"), _("dst_port")))))
+_dec("dec_l7_hint", f"SELECT idx, CASE WHEN {_HTTP} THEN 'http' WHEN dns_qname IS NOT NULL THEN 'dns' WHEN ot_control IS NOT NULL THEN 'modbus' WHEN app_proto = 'tls' AND transport = 'tcp' AND stratum IS NULL THEN 'tls' END AS hint FROM packet", lambda: dict(hint=F.when(_("payload").isNotNull(), D.l7_hint(_("payload"), _("transport"), _("src_port"), _("dst_port")))))

@@ -23,4 +23,4 @@ def test_entry_without_the_training_data_operators(tmp_path):
     assert int(n) > 100 and (pipeline, ops) == ("False", "False")
     if (REPO / "corpus_pipeline.py").exists() and (REPO / "flowquarry" / "llm").is_dir():
         whole, pipeline, ops = _run(REPO)
-        assert int(whole) == int(n) + 11 and (pipeline, ops) == ("True", "True")
+        assert int(whole) == int(n) + 14 and (pipeline, ops) == ("True", "True")
