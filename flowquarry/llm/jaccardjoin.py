@@ -175,7 +175,7 @@ def prefixes(full: DataFrame, share: int) -> DataFrame:
 
 
 def partition(full: DataFrame, rare: DataFrame, share: int) -> tuple[DataFrame, DataFrame]:
-    """(set, g) of all sets of ``rare`` (set, rare), g being the leader of the set's group, and the links (a, b) of members to leaders.
+    """(set, g, off) of all sets of ``rare`` (set, rare), g being the leader of the set's group and off how far it is, and the links (a, b) of members to leaders.
 
     The leader of a bucket is the set with the smallest share of rare tokens, of near copies the one least edited.
     """
@@ -184,15 +184,15 @@ def partition(full: DataFrame, rare: DataFrame, share: int) -> tuple[DataFrame,
     for i in range(ROUNDS):
         firsts = free.groupBy(f"m{i}", "band").agg(F.min(F.struct("rare", "set")).alias("first_"), F.count(F.lit(1)).alias("size_")).filter("size_ > 1")
         pairs = free.join(firsts.select(f"m{i}", "band", F.col("first_.set").alias("b")), [f"m{i}", "band"]).filter("set <> b").select(F.col("set").alias("a"), "b")
-        new = compared(pairs, full, share).filter("linked").select("a", "b")
+        new = compared(pairs, full, share).filter("linked").select("a", "b", "far")
         links = new if links is None else links.unionByName(new)
         if i + 1 < ROUNDS:
             taken = new.select(F.explode(F.array("a", "b")).alias("set")).distinct()
             free = materialise(free.join(taken, "set", "left_anti"))
     links = materialise(links)
-    members = links.select(F.col("a").alias("set"), F.col("b").alias("g"))
-    groups = sizes.select("set").join(members, "set", "left").select("set", F.coalesce("g", "set").alias("g"))
-    return materialise(groups), links
+    members = links.select(F.col("a").alias("set"), F.col("b").alias("g"), F.col("far").alias("off"))
+    groups = sizes.select("set").join(members, "set", "left").select("set", F.coalesce("g", "set").alias("g"), F.coalesce("off", F.lit(0.0)).alias("off"))
+    return materialise(groups), links.select("a", "b")
 
 
 def _component(rows: DataFrame, links: DataFrame, key: str) -> DataFrame:
@@ -207,19 +207,20 @@ def _apart(pairs: DataFrame, links: DataFrame) -> DataFrame:
     return materialise(both.filter("comp_a <> comp").select(*pairs.columns))
 
 
-def _may(x: str, y: str, share: int) -> Column:
-    """Whether the sizes of two groups, and the least share of rare tokens in their sets, allow a similar pair.
+def _not_too_rare(x: Column, y: Column, share: int) -> Column:
+    """Whether sets with these shares of rare tokens may be similar: rare tokens of one are missing from the intersection, those of the other add to the union."""
+    one = lambda p, q: (1 - p) * 100 + 1e-6 >= share * (1 + q * share / 100)
+    return one(x, y) & one(y, x)
 
-    Rare tokens of one set are in no other, so they are missing from the intersection and add to the union.
-    """
+
+def _may(x: str, y: str, share: int) -> Column:
+    """Whether the sizes of two groups, and the least shares of rare tokens in their sets, allow a similar pair."""
     fits = (F.col(f"{x}.low") * share <= F.col(f"{y}.high") * 100) & (F.col(f"{y}.low") * share <= F.col(f"{x}.high") * 100)
-    for p, q in ((x, y), (y, x)):
-        fits &= (1 - F.col(f"{p}.rare")) * 100 + 1e-6 >= share * (1 + F.col(f"{q}.rare") * share / 100)
-    return fits
+    return fits & _not_too_rare(F.col(f"{x}.rare"), F.col(f"{y}.rare"), share)
 
 
 def opened_groups(matrix: DataFrame, links: DataFrame, full: DataFrame, share: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs of groups (a, b, ball_a, ball_b), of two components, whose unions of tokens allow a similar pair; and the links with those found on the way.
+    """Pairs of groups (a, b, ball_a, rare_a, ball_b, rare_b), of two components, whose unions of tokens allow a similar pair; and the links with those found on the way.
 
     ``matrix``: (g, w, low, high, ball, rare).  First every group is compared with one leader, the one that is the first
     group of most of its tokens, ``STARS`` times by another order, and components that come together are taken
@@ -245,8 +246,8 @@ def opened_groups(matrix: DataFrame, links: DataFrame, full: DataFrame, share: i
     x = now.withColumnRenamed("comp", "comp_x").join(apart, "comp_x").alias("x")
     y = now.withColumnRenamed("comp", "comp_y").alias("y")
     met = x.join(y, (F.col("x.w") == F.col("y.w")) & (F.col("x.comp_y") == F.col("y.comp_y")) & _may("x", "y", share))
-    out = met.groupBy(F.col("x.g").alias("a"), F.col("y.g").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.max(F.least("x.low", "y.low")).alias("low"), F.max("x.ball").alias("ball_a"), F.max("y.ball").alias("ball_b"))
-    return materialise(out.filter(F.col("shared") >= _spare_column(F.col("low"))).select("a", "b", "ball_a", "ball_b")), links
+    out = met.groupBy(F.col("x.g").alias("a"), F.col("y.g").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.max(F.least("x.low", "y.low")).alias("low"), *[F.max(f"{s}.{c}").alias(f"{c}_{k}") for s, k in (("x", "a"), ("y", "b")) for c in ("ball", "rare")])
+    return materialise(out.filter(F.col("shared") >= _spare_column(F.col("low"))).drop("shared", "low")), links
 
 
 def links_of(full: DataFrame, share: int = SHARE) -> DataFrame:
@@ -264,12 +265,15 @@ def links_of(full: DataFrame, share: int = SHARE) -> DataFrame:
     seen = compared(opened, full, share)
     links = materialise(links.unionByName(seen.filter("linked").select("a", "b")))
     left = seen.filter(~F.col("linked") & (F.col("ball_a") + F.col("ball_b") > 0) & (F.col("far") <= reach * (1 + F.col("ball_a") + F.col("ball_b")) + 1e-9))
-    left = _apart(left.select("a", "b", "ball_a", "ball_b"), links)
-
-    # Members and the leaders of other groups: (q, own, other).
-    sides = left.select(F.col("a").alias("g"), F.col("b").alias("other"), F.col("ball_a").alias("own_ball"), F.col("ball_b").alias("ball"))
-    sides = sides.unionByName(left.select(F.col("b").alias("g"), F.col("a").alias("other"), F.col("ball_b").alias("own_ball"), F.col("ball_a").alias("ball"))).filter("own_ball = 1")
-    asked = member.filter("set <> g").join(sides, "g").join(matrix.select(F.col("g").alias("other"), "w"), ["other", "w"])
+    left = _apart(left.drop("linked"), links)
+
+    # Members and the leaders of other groups.  How far a member is from its own leader bounds how far it is from the other one.
+    sides = [left.select(F.col(x).alias("g"), F.col(y).alias("other"), F.col(f"ball_{x}").alias("own_ball"), F.col(f"ball_{y}").alias("ball"), F.col(f"rare_{y}").alias("other_rare"), "far") for x, y in ("ab", "ba")]
+    sides = sides[0].unionByName(sides[1]).filter("own_ball = 1")
+    asked = member.filter("set <> g").select("set", "g", "n", "rare", "off").distinct().join(sides, "g")
+    asked = asked.filter((F.col("far") - F.col("off") <= reach * (1 + F.col("ball")) + 1e-9) & _not_too_rare(F.col("rare"), F.col("other_rare"), share))
+    asked = materialise(asked.select("set", "g", "other", "ball", "n"))
+    asked = asked.join(member.select("set", "w"), "set").join(matrix.select(F.col("g").alias("other"), "w"), ["other", "w"])
     asked = asked.groupBy("set", "g", "other", "ball", "n").agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") >= _spare_column(_need_column(F.col("n"), share)))
     seen = compared(asked.select(F.col("set").alias("a"), F.col("other").alias("b"), "g", "ball"), full, share)
     links = materialise(links.unionByName(seen.filter("linked").select("a", "b")))
