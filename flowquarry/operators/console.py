@@ -13,6 +13,10 @@ ROW_LIMIT, LOAD_LIMIT, TIMEOUT_SECONDS = 5000, 1_000_000, 20
 # Words that no console statement may have outside strings and comments.
 DENIED = "alter attach begin call checkpoint commit copy create delete detach drop export force grant import insert install load pragma reset revoke rollback set transaction truncate update use vacuum".split()
 
+#: Functions of the engine that run any method of its host, and first parts of names that read files or other catalogs.
+REFLECTIVE = {"reflect", "java_method", "try_reflect", "read_files", "input_file_name"}
+OUTSIDE = {"text", "csv", "json", "parquet", "orc", "avro", "xml", "binaryfile", "jdbc", "kafka", "delta", "iceberg", "hive", "noop", "spark_catalog", "global_temp", "system", "session", "information_schema"}
+
 _TOKENS = re.compile(r"(?P<line>--[^\n]*)|(?P<open>/\*)|(?P<string>'(?:[^']|'')*'?)|(?P<quoted>\"(?:[^\"]|\"\")*\"?|`(?:[^`]|``)*`?)|(?P<word>[A-Za-z_]\w*)|(?P<number>\d[\w.]*)|(?P<space>\s+)|(?P<sign>.)", re.DOTALL)
 
 
@@ -41,8 +45,32 @@ def _pieces(sql: str) -> list[tuple[str, str]]:
     return out
 
 
+def _outside(tokens: list[tuple[str, str]]) -> str | None:
+    """The first function or dotted name that reaches beyond the views: a reflective call, a file behind a format, a catalog, a class."""
+    at = 0
+    while at < len(tokens):
+        kind, text = tokens[at]
+        if kind not in ("word", "quoted"):
+            at += 1
+            continue
+        parts = [text.strip('`"').lower()]
+        while at + 2 < len(tokens) and tokens[at + 1] == ("sign", ".") and tokens[at + 2][0] in ("word", "quoted"):
+            at += 2
+            parts.append(tokens[at][1].strip('`"').lower())
+        at += 1
+        called = at < len(tokens) and tokens[at] == ("sign", "(")
+        if called and parts[-1] in REFLECTIVE:
+            return parts[-1]
+        if len(parts) > 1 and (parts[0] in OUTSIDE or len(parts) > 3 or any(set("/:\\") & set(p) for p in parts)):
+            return ".".join(parts)
+    return None
+
+
 def guard(sql: str, limit: int | None = ROW_LIMIT) -> Verdict:
-    """Admit one SELECT or WITH statement; add a limit where the outermost query has none."""
+    """Admit one SELECT or WITH statement over the given views; add a limit where the outermost query has none.
+
+    Names with a format, a catalog or a path before the dot, and calls that reach the host, are denied before the engine sees them.
+    """
     try:
         tokens = _pieces(sql)
     except ValueError as e:
@@ -59,6 +87,9 @@ def guard(sql: str, limit: int | None = ROW_LIMIT) -> Verdict:
     for w in words:
         if w in DENIED:
             return Verdict(False, reason=f"{w.upper()} is not allowed")
+    outside = _outside(tokens)
+    if outside:
+        return Verdict(False, reason=f"{outside} is not allowed")
     depth, limited = 0, False
     for kind, text in tokens:
         depth += {"(": 1, ")": -1}.get(text, 0) if kind == "sign" else 0
