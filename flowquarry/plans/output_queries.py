@@ -198,7 +198,34 @@ _STATEMENTS = [
     ("select 1", True), ("WITH a AS (SELECT 1) SELECT * FROM a", True), ("select 'drop table x'", True), ("select 1 -- drop\n", True), ("select /* a /* b */ drop */ 1", True), ("select \"use\" from flow", True), ("select 1;;", True),
     ("drop table flow", False), ("select 1; select 2", False), ("", False), ("explain select 1", False), ("with x as (delete from flow) select 1", False), ("select 1 /* open", False), ("select 1 where force", False), ("select * from use", False), ("select transaction", False), ("select rollback", False),
 ]
-query("sql_guard", "SELECT * FROM (VALUES " + ", ".join("(" + "'" + s.replace("'", "''") + f"', {ok})" for s, ok in _STATEMENTS) + ") v(statement, ok)")(lambda c: constant(c.spark, [(s, console.guard(s).ok) for s, _ok in _STATEMENTS], "statement string, ok boolean"))
-query("sql_nlq", "SELECT * FROM (VALUES ('SELECT 1', 'count', ''), ('', '', 'no such column'), ('SELECT 2', '', '')) v(sql, intent, error)")(
-    lambda c: constant(c.spark, [(r["sql"], r["intent"], r["error"]) for r in map(console.parse_reply, ["Here:\n```sql\n-- intent: count\nSELECT 1\n```\nDone.", "-- error: no such column", "SELECT 2"])], "sql string, intent string, error string")
+
+
+def _filled(c: Capture, templates: list[str]) -> DataFrame:
+    """(event_id, text): the templates in turn, each event's number in place of every 1."""
+    each = F.get(F.array(*map(F.lit, templates)), (F.col("event_id") % len(templates)).cast("int"))
+    return c.spark.read.parquet(f"{c.sf_dir}/events.parquet").select("event_id", F.replace(each, F.lit("1"), F.col("event_id").cast("string")).alias("text"))
+
+
+def _cases(values: list[str]) -> str:
+    return f"CASE event_id % {len(values)} " + " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(values)) + " END"
+
+
+_quoted = lambda x: "'" + x.replace("'", "''") + "'"
+query("sql_guard", f"SELECT event_id, replace({_cases([_quoted(x) for x, _ in _STATEMENTS])}, '1', CAST(event_id AS VARCHAR)) AS statement, {_cases([str(ok) for _, ok in _STATEMENTS])} AS ok FROM events")(
+    lambda c: _filled(c, [x for x, _ in _STATEMENTS]).select("event_id", F.col("text").alias("statement"), F.pandas_udf(lambda s: s.map(lambda x: console.guard(x).ok), "boolean")("text").alias("ok"))
+)
+_REPLIES = ["Here:\n```sql\n-- intent: count\nSELECT 1\n```\nDone.", "-- error: no column 1", "SELECT 1"]
+
+
+def _replies_read(text: str):
+    def read(replies):
+        import pandas as pd
+
+        return pd.DataFrame([console.parse_reply(r) for r in replies], columns=["sql", "intent", "error"])
+
+    return F.pandas_udf(read, "sql string, intent string, error string")(text)
+
+
+query("sql_nlq", f"SELECT event_id, {_cases(["'SELECT ' || event_id", "''", "'SELECT ' || event_id"])} AS sql, {_cases(["'count'", "''", "''"])} AS intent, {_cases(["''", "'no column ' || event_id", "''"])} AS error FROM events")(
+    lambda c: _filled(c, _REPLIES).select("event_id", _replies_read("text").alias("r")).select("event_id", "r.*")
 )

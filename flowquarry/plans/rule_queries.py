@@ -45,10 +45,19 @@ def _lines(c: Capture) -> DataFrame:
     return constant(c.spark, list(enumerate(RULES.splitlines(), 1)), "line int, text string")
 
 
+def _part_lines(c: Capture) -> DataFrame:
+    """A rule line for each part: the lines above in turn, with numbers of their own."""
+    texts = F.array(*map(F.lit, RULES.splitlines()))
+    key = F.col("p_partkey")
+    line = F.get(texts, (key % len(RULES.splitlines())).cast("int"))
+    return c.spark.read.parquet(f"{c.sf_dir}/part.parquet").select(key.alias("line"), F.regexp_replace(line, F.lit(r"sid:(\d+)"), F.concat(F.lit("sid:"), key.cast("string"), F.lit("00$1"))).alias("text"))
+
+
+_N = len(RULES.splitlines())
 # What each line must give, written out.
 query(
     "src_rules",
-    r"""SELECT * FROM (VALUES
+    rf"""SELECT p_partkey AS line, reason, CASE WHEN sid IS NOT NULL THEN CAST(p_partkey || '00' || sid AS BIGINT) END AS sid, proto, src_port, dst_port, both_ways, msg, attack, severity FROM part JOIN (VALUES
       (3, NULL, 1, 'tcp', NULL, NULL, FALSE, 'Miner; login', 'T1496,T1496.001', 'high'), (4, NULL, 2, 'ip', NULL, NULL, TRUE, 'FTP user', 'T1552', 'critical'), (5, NULL, 3, 'tcp', NULL, 80, FALSE, '', '', 'low'),
       (6, NULL, 4, 'udp', NULL, NULL, FALSE, 'No UDP', '', 'medium'), (7, NULL, 5, 'tcp', NULL, NULL, FALSE, 'Executable', '', 'low'), (8, 'unsupported option: nocase', 6, NULL, NULL, NULL, NULL, NULL, NULL, NULL),
       (9, 'unsupported: not exactly one content (found 2)', 7, NULL, NULL, NULL, NULL, NULL, NULL, NULL), (10, 'unsupported proto: icmp', 8, NULL, NULL, NULL, NULL, NULL, NULL, NULL),
@@ -56,17 +65,23 @@ query(
       (14, 'no content', 12, NULL, NULL, NULL, NULL, NULL, NULL, NULL), (15, 'bad content: |4|', 13, NULL, NULL, NULL, NULL, NULL, NULL, NULL), (16, 'malformed: too few header tokens', 14, NULL, NULL, NULL, NULL, NULL, NULL, NULL),
       (17, 'malformed: no options block', 15, NULL, NULL, NULL, NULL, NULL, NULL, NULL), (18, 'unsupported option: http_uri', 16, NULL, NULL, NULL, NULL, NULL, NULL, NULL), (19, 'bad content: a\;b', 17, NULL, NULL, NULL, NULL, NULL, NULL, NULL),
       (20, NULL, 18, 'tcp', NULL, NULL, FALSE, '', '', 'medium'), (21, 'bad sid: abc', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL)
-    ) v(line, reason, sid, proto, src_port, dst_port, both_ways, msg, attack, severity)""",
-)(lambda c: parsed(_lines(c)).withColumn("attack", F.when(F.col("attack").isNotNull(), F.concat_ws(",", "attack"))).drop("action", "content"))
+    ) v(line, reason, sid, proto, src_port, dst_port, both_ways, msg, attack, severity) ON p_partkey % {_N} + 1 = v.line""",
+)(lambda c: parsed(_part_lines(c)).withColumn("attack", F.when(F.col("attack").isNotNull(), F.concat_ws(",", "attack"))).drop("action", "content"))
 _CONTENTS = [(1, "GET |2f|x"), (2, "|61 62  63|"), (3, "||"), (4, r"q\"\\\:\|"), (5, r"bad\n"), (6, "|6|"), (7, "open |61"), (8, "|61 6|"), (9, "é"), (10, "")]
+
+
+def _part_contents(c: Capture) -> DataFrame:
+    """A content and a note for each part: those above in turn, before the part's name."""
+    notes = {1: "T1059", 3: "T12345.6,T0001 T12", 5: "xT1001."}
+    at = (F.col("p_partkey") % len(_CONTENTS)).cast("int")
+    raw, note = F.array(*[F.lit(x) for _, x in _CONTENTS]), F.array(*[F.lit(notes.get(n, "none")) for n, _ in _CONTENTS])
+    return c.spark.read.parquet(f"{c.sf_dir}/part.parquet").select(F.col("p_partkey").alias("n"), F.concat(F.get(raw, at), "p_name").alias("raw"), F.get(note, at).alias("note"))
+
+
 query(
     "src_rule_content",
-    """SELECT n, bytes, ids FROM (VALUES (1, '474554202F78', 'T1059'), (2, '616263', ''), (3, '', 'T12345.6,T0001'), (4, '71225C3A7C', ''), (5, NULL, 'T1001'), (6, NULL, ''), (7, NULL, ''), (8, NULL, ''), (9, 'C3A9', ''), (10, '', '')) v(n, bytes, ids)""",
-)(
-    lambda c: constant(c.spark, [(n, x, {1: "T1059", 3: "T12345.6,T0001 T12", 5: "xT1001."}.get(n, "none")) for n, x in _CONTENTS], "n int, raw string, note string").select(
-        "n", content_hex(F.col("raw")).alias("bytes"), F.concat_ws(",", technique_ids(F.col("note"))).alias("ids")
-    )
-)
+    """SELECT p_partkey AS n, bytes || hex(p_name) AS bytes, ids FROM part JOIN (VALUES (1, '474554202F78', 'T1059'), (2, '616263', ''), (3, '', 'T12345.6,T0001'), (4, '71225C3A7C', ''), (5, NULL, 'T1001'), (6, NULL, ''), (7, NULL, ''), (8, NULL, ''), (9, 'C3A9', ''), (10, '', '')) v(n, bytes, ids) ON p_partkey % 10 + 1 = v.n""",
+)(lambda c: _part_contents(c).select("n", content_hex(F.col("raw")).alias("bytes"), F.concat_ws(",", technique_ids(F.col("note"))).alias("ids")))
 
 
 def _hits(c: Capture) -> DataFrame:
