@@ -76,4 +76,35 @@ def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_imatch, op2_html_main_text, op3_chat_windows, op4_sentencepiece, op5_simhash, op6_decontamination, op7_line_dedup, op8_token_counts, op9_language_id, op10_token_files, op11_ngram_jaccard, op12_hard_negatives, op13_centroid_clusters)}
 
-ORACLE_SQL: dict[str, str] = {}
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_JACCARD = rf"""WITH RECURSIVE
+  cut AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(COALESCE(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+  shingle AS MATERIALIZED (
+    SELECT DISTINCT doc_id, UNNEST(CASE WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) END) AS s FROM cut WHERE len(ws) > 0),
+  sizes AS MATERIALIZED (SELECT doc_id, COUNT(*) AS n FROM shingle GROUP BY doc_id),
+  both_ AS MATERIALIZED (SELECT a.doc_id AS x, b.doc_id AS y, COUNT(*) AS k FROM shingle a JOIN shingle b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+  link AS MATERIALIZED (SELECT x, y FROM both_ JOIN sizes a ON a.doc_id = x JOIN sizes b ON b.doc_id = y WHERE 100 * k >= 90 * (a.n + b.n - k)),
+  reach AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT reach.doc_id, y FROM reach JOIN link ON x = other)
+SELECT doc_id, CAST(COALESCE(n, 0) AS BIGINT) AS n_shingles, component_id FROM (SELECT doc_id, MIN(other) AS component_id FROM reach GROUP BY doc_id) LEFT JOIN sizes USING (doc_id)"""
+
+_USABLE = "list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q FROM embeddings WHERE len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)"
+_NEGATIVES = f"""WITH rows_ AS MATERIALIZED (SELECT ROW_NUMBER() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, {_USABLE} AND label IS NOT NULL),
+  scored AS MATERIALIZED (SELECT a.r, a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS s FROM rows_ a JOIN rows_ b ON a.r <> b.r WHERE a.vec_id % 100 = 0),
+  positive AS (SELECT * FROM scored WHERE same QUALIFY ROW_NUMBER() OVER (PARTITION BY r ORDER BY s DESC, id) <= 5)
+SELECT * FROM (SELECT p.anchor_id, p.id AS positive_id, CAST(ROW_NUMBER() OVER (PARTITION BY p.r, p.id ORDER BY n.s DESC, n.id) AS INT) AS rank, n.id AS negative_id, p.s AS positive_score, n.s AS negative_score
+  FROM positive p JOIN scored n ON n.r = p.r AND NOT n.same AND 30 * p.s <= 100 * n.s AND 100 * n.s <= 90 * p.s) WHERE rank <= 10"""
+
+
+def _clusters(rounds: int = 5) -> str:
+    """Rounds of full scans, one after another."""
+    near = lambda k: f"a{k} AS MATERIALIZED (SELECT r, vec_id, q, j, c, list_inner_product(q, q) - 2 * list_inner_product(q, c) + list_inner_product(c, c) AS d FROM kept, c{k} QUALIFY ROW_NUMBER() OVER (PARTITION BY r ORDER BY d, j) = 1)"
+    mean = lambda k: f"c{k + 1} AS MATERIALIZED (SELECT j, list(f ORDER BY i) AS c FROM (SELECT j, i, floor(SUM(q[i]) / COUNT(*)) AS f FROM a{k}, range(1, 65) t(i) GROUP BY j, i) GROUP BY j UNION ALL SELECT j, c FROM c{k} WHERE j NOT IN (SELECT j FROM a{k}))"
+    steps = [x for k in range(rounds) for x in (near(k), mean(k))] + [near(rounds)]
+    return f"""WITH kept AS MATERIALIZED (SELECT ROW_NUMBER() OVER () AS r, vec_id, {_USABLE} AND len(embedding) = 64),
+  c0 AS MATERIALIZED (SELECT ROW_NUMBER() OVER (ORDER BY h, q) - 1 AS j, q AS c FROM (SELECT sha256('2:' || vec_id) AS h, q FROM kept ORDER BY h, q LIMIT 40)),
+  {", ".join(steps)}
+SELECT vec_id, CAST(j AS INT) AS cluster, CAST(d AS BIGINT) AS distance, CAST(SUM(d) OVER (PARTITION BY j) AS BIGINT) AS cluster_inertia, CAST(SUM(d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(list_transform(c, lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), ',')) AS centroid_sha256 FROM a{rounds}"""
+
+
+ORACLE_SQL: dict[str, str] = {"op11_ngram_jaccard": _JACCARD, "op12_hard_negatives": _NEGATIVES, "op13_centroid_clusters": _clusters()}
