@@ -33,8 +33,8 @@ def _daily(c: Capture) -> DataFrame:
 
 
 _DAILY = "daily AS (SELECT src_ip, ts_ns // 86400000000000 AS day, CAST(SUM(wire_len) AS BIGINT) AS bytes FROM packet WHERE ts_known AND src_ip IS NOT NULL GROUP BY ALL)"
-query("bl_running", f", {_DAILY} SELECT src_ip, COUNT(*) AS n, ROUND(AVG(bytes), 3) AS mean, ROUND(STDDEV_POP(bytes), 3) AS deviation, MIN(bytes) AS least, MAX(bytes) AS most FROM daily GROUP BY src_ip")(
-    lambda c: series.running(_daily(c), "src_ip", "day", "bytes").select("src_ip", "n", F.round("mean", 3).alias("mean"), F.round("deviation", 3).alias("deviation"), "least", "most")
+query("bl_running", f", {_DAILY} SELECT src_ip, COUNT(*) AS n, ROUND(AVG(bytes), 3) AS mean, ROUND(STDDEV_POP(bytes), 3) AS deviation, MIN(bytes) AS least, MAX(bytes) AS most, ROUND(SUM(bytes * POWER(0.7, back - 1) * CASE WHEN back = size THEN 1 ELSE 0.3 END), 2) AS ewma FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY src_ip ORDER BY day DESC) AS back, COUNT(*) OVER (PARTITION BY src_ip) AS size FROM daily) GROUP BY src_ip")(
+    lambda c: series.running(_daily(c), "src_ip", "day", "bytes").select("src_ip", "n", F.round("mean", 3).alias("mean"), F.round("deviation", 3).alias("deviation"), "least", "most", F.round("ewma", 2).alias("ewma"))
 )
 
 
