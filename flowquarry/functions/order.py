@@ -5,25 +5,30 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowquarry.functions.tables import constant
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a table in the folder of ``spark.checkpoint.dir``; a temporary one only in local mode where that is unset.
-
-    A table of columns is read again by those columns alone that a reader asks for, and its plan starts anew: a checkpoint
-    of rows would carry the constraints of all steps before it.
-    """
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; a temporary one only in local mode where that is unset."""
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
         folder = sc.getConf().get("spark.checkpoint.dir", "")
         if not folder and not sc.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all nodes share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="flowquarry-"))
-    path = f"{sc.getCheckpointDir().rstrip('/')}/table-{uuid.uuid4().hex}"
+    return sc.getCheckpointDir().rstrip("/")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage by a table in the shared folder.
+
+    A table of columns is read again by those columns alone that a reader asks for, and its plan starts anew: a checkpoint
+    of rows would carry the constraints of all steps before it.
+    """
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import io
 import json
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -276,18 +277,25 @@ def frames(files: DataFrame, batch: int = 2000) -> DataFrame:
     return files.select("path", "content").mapInArrow(run, SCHEMA)
 
 
+def located(path: str) -> tuple[fs.FileSystem, str, str]:
+    """(file system, path within it, what stands before that path) of a path or URI; a URI of a local file may have one slash or three."""
+    path = re.sub("^file:/+", "/", path)
+    if "://" not in path:
+        return fs.LocalFileSystem(), path, ""
+    return *fs.FileSystem.from_uri(path), path.split("://")[0] + "://" + (path.split("/")[2] if path.startswith("hdfs:") else "")
+
+
 def discovered(folder: str, recursive: bool = True) -> list[tuple[str, int]]:
     """Capture files of a folder, or the one file named, with their sizes, by path.  Names that begin with a point or an underscore are left out."""
-    system, root = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+    system, root, before = located(folder)
     info = system.get_file_info(root)
     found = [info] if info.type == fs.FileType.File else system.get_file_info(fs.FileSelector(root, recursive=recursive))
-    scheme = folder.split("://")[0] + "://" if "://" in folder else ""
     named = [f for f in found if f.type == fs.FileType.File and f.base_name[0] not in "._" and f.base_name.lower().removesuffix(".gz").endswith((".pcap", ".pcapng", ".cap"))]
-    return sorted((scheme + f.path, f.size) for f in named)
+    return sorted((before + f.path, f.size) for f in named)
 
 
 def _open(path: str) -> Any:
-    system, name = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    system, name, _ = located(path)
     return system.open_input_file(name)
 
 
