@@ -331,4 +331,4 @@ query("sql_admin_stats", "SELECT (SELECT COUNT(*) FROM customer) AS customers, (
 query("sql_top_paths", "SELECT event_type AS path, COUNT(*) AS views, COUNT(DISTINCT user_id) AS sessions FROM events GROUP BY 1 ORDER BY views DESC, path LIMIT 20")(lambda c: console.top_paths(_EV(c)))
 query("sql_rate_limit", "SELECT user_id, to_timestamp(epoch_us(ts) // 3600000000 * 3600)::TIMESTAMP AS window_start, COUNT(*) AS n, COUNT(*) > 2 AS blocked FROM events GROUP BY 1, 2")(lambda c: console.rate_limit(_EV(c), "user_id", 3600, 2))
 
-from flowquarry.plans import baseline_queries, capture_queries, carve_queries, handshake_queries, more_queries, output_queries, rule_queries  # noqa: E402,F401  register the rest
+from flowquarry.plans import anonymize_queries, baseline_queries, capture_queries, carve_queries, handshake_queries, more_queries, output_queries, rule_queries  # noqa: E402,F401  register the rest
