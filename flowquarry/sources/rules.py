@@ -59,7 +59,7 @@ def parsed(lines: DataFrame) -> DataFrame:
     named = F.transform(given, lambda x: F.struct(F.lower(F.trim(F.substring_index(x, ":", 1))).alias("k"), F.trim(F.regexp_extract(x, r"(?s)^[^:]*:(.*)$", 1)).alias("v")))
     out = out.withColumn("o", named)
     of = lambda *names: F.transform(F.filter("o", lambda x: x["k"].isin(*names)), lambda x: x["v"])
-    number = lambda v: F.when(v.rlike(r"^\+?[0-9]{1,18}$") & (v.cast("long") < 1 << 32), v.cast("long"))
+    number = lambda v: F.when(v.rlike(r"^\+?[0-9]+$"), v.try_cast("long"))  # noqa: E731  any number that a long holds
     last = lambda a: F.element_at(F.when(F.size(a) > 0, a), -1)
 
     def fault(x: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 from flowquarry.operators.rules import SCORES, matches
+from flowquarry.sources.rules import parsed
 
 RULE = "line int, reason string, sid long, action string, proto string, src_port int, dst_port int, both_ways boolean, content string, msg string, attack array<string>, severity string"
 PACKET = "ts_ns long, transport string, src_ip string, dst_ip string, src_port int, dst_port int, payload binary"
@@ -64,3 +65,10 @@ def test_fifty_thousand_rules(spark):
     out, got = _got(spark, packets, rules)
     assert [g[0] for g in got] == sorted(f"sid:{i * 7 % 60_000}" for i in range(2_000) if i * 7 % 60_000 < 50_000)
     assert "NestedLoop" not in out._jdf.queryExecution().toString() and "CartesianProduct" not in out._jdf.queryExecution().toString()
+
+
+def test_numbers_beyond_32_bits(spark):
+    texts = [f'alert tcp any any -> any any (msg:"m"; content:"x"; sid:{sid};)' for sid in (4_294_967_295, 4_294_967_296, 1_200_000_0018, (1 << 63) - 1, 1 << 63)] + ['alert icmp any any -> any any (content:"x"; sid:9000000000;)']
+    got = parsed(spark.createDataFrame(list(enumerate(texts)), "line int, text string")).orderBy("line").select("sid", "reason").collect()
+    assert [r.sid for r in got] == [4_294_967_295, 4_294_967_296, 12_000_000_018, (1 << 63) - 1, None, 9_000_000_000]
+    assert [r.reason for r in got] == [None] * 4 + [f"bad sid: {1 << 63}", "unsupported proto: icmp"]
