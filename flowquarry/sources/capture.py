@@ -17,7 +17,7 @@ from typing import Any
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from flowquarry.functions.tables import constant
@@ -43,6 +43,8 @@ def sniff(content: Column) -> Column:
 WINDOW = 1 << 20
 #: Bytes of a range; a record belongs to the range in which it begins.
 RANGE = 128 << 20
+#: With more walks than this a range is walked again only from a place that is sure.
+GUESSES = 2
 #: Records that must follow one another before a place is taken for the start of one.
 CHAIN = 8
 
@@ -56,15 +58,15 @@ Frame = tuple[int, bool, int, int, bytes]
 class Window:
     """Bytes of a file by place.  What is held is a block, so that walking through a file needs no more memory than that."""
 
-    def __init__(self, file: Any):
-        self.file, self.start, self.held = file, 0, b""
+    def __init__(self, file: Any, block: int = WINDOW):
+        self.file, self.start, self.held, self.block = file, 0, b"", block
 
     def read(self, at: int, size: int) -> bytes:
         """The bytes from ``at``, fewer at the end of the file.  A stream that cannot seek is only read forwards."""
         if not self.start <= at <= at + size <= self.start + len(self.held):
             if self.file.seekable():
                 self.file.seek(at)
-                self.start, self.held = at, self.file.read(max(size, WINDOW))
+                self.start, self.held = at, self.file.read(max(size, self.block))
             else:
                 parts, have = [self.held[at - self.start :]], max(0, self.start + len(self.held) - at)
                 skip = at - self.start - len(self.held)
@@ -307,6 +309,11 @@ def _spread(spark: SparkSession, rows: list[tuple]) -> DataFrame:
     return constant(spark, rows, _SPAN).repartition(max(1, min(len(rows), 8 * spark.sparkContext.defaultParallelism)))
 
 
+def _window(r: dict, file: Any) -> Window:
+    """A window for one range: blocks no longer than the range, so that short ranges do not read their neighbours anew."""
+    return Window(file, min(WINDOW, max(4096, r["stop"] - r["start"])))
+
+
 def _after(state: str | None, news: list) -> str | None:
     """State behind a walk, as text: what it met added to what was known before."""
     order, faces = json.loads(state) if state else (None, [])
@@ -321,7 +328,7 @@ def _walk(r: dict, file: Any) -> tuple:
     Where the range's first record is not known, the walk begins at the first place that looks like one, with the interfaces
     that the file declares before its first frame.
     """
-    window, state, at = Window(file), r["state"], r["first"]
+    window, state, at = _window(r, file), r["state"], r["first"]
     walker = _walker(window)
     if walker is None:  # no capture, or gzipped whatever its name
         return r["path"], r["start"], None, None, 0, True, None if window.read(0, 2) == GZIP_MAGIC else 0, "[]"
@@ -364,27 +371,39 @@ def ranges(spark: SparkSession, files: list[tuple[str, int]], span: int = RANGE)
     All ranges are walked at once, each from the first place that looks like a record.  The walk before tells where a range
     truly begins and with which interfaces; one that began otherwise (bytes of a frame can look like records) is walked
     again from there, so that the result is that of one pass.  The driver holds a row a range, never frames.
+
+    A walk that began otherwise nearly always comes upon the true records before its end, so where it ended is tried as the
+    start of what follows, and all such ranges are walked again at once: as many jobs follow as ranges in a row are on a
+    wrong path that never meets the true one.  Nothing is taken over before the whole file fits together.
     """
     whole = [(path, None, None, size, None, None, 0) for path, size in files if path.lower().endswith(".gz")]
     cut: dict[str, list[tuple]] = {path: [(at, min(at + span, size)) for at in range(0, size, span)] for path, size in files if not path.lower().endswith(".gz")}
-    sizes, seen = dict(files), {}
+    sizes = dict(files)
+    # The walks of each range by where and in which state they began; the first is the one from its own start.
+    seen: dict[tuple[str, int], dict[tuple, Row]] = {}
     todo = [(path, start, stop, sizes[path], None, None, None) for path, parts in cut.items() for start, stop in parts]
     known: list[tuple] = []
     while todo:
-        seen.update({(w.path, w.start): w for w in _walked(_spread(spark, todo)).collect()})
+        for w in _walked(_spread(spark, todo)).collect():
+            seen.setdefault((w.path, w.start), {})[w.found, w.state] = w
         todo, known = [], []
         for path, parts in cut.items():
-            at, state, no = None, None, 0
+            at, state, no, sure = None, None, 0, True
             for start, stop in parts:
-                w = seen[path, start]
-                if w.frames is None:
+                walks = seen[path, start]
+                own = next(iter(walks.values()))
+                if own.frames is None:
                     known.append((path, None, None, sizes[path], None, None, 0))
                     break
                 if start and at >= stop:  # a record longer than the range
                     continue
-                if start and (w.found, w.state) != (at, state):
-                    todo.append((path, start, stop, sizes[path], state, at, None))
-                    if w.found != at:
+                w = walks.get((at, state)) if start else own
+                if w is None:
+                    if sure or len(walks) <= GUESSES:
+                        todo.append((path, start, stop, sizes[path], state, at, None))
+                    sure, w = False, own
+                    # What a walk from elsewhere took for sections and interfaces says nothing about the ranges behind it.
+                    if w.found is None or (w.found != at and w.news != "[]"):
                         break
                 if w.frames:
                     known.append((path, start, stop, sizes[path], w.state, w.found, no))
@@ -409,7 +428,7 @@ def read_captures(spark: SparkSession, folder: str, recursive: bool = True, span
                     if r["start"] is None:
                         found = _whole(file)
                     else:
-                        walker = _walker(Window(file), json.loads(r["state"]) if r["state"] else None)
+                        walker = _walker(_window(r, file), json.loads(r["state"]) if r["state"] else None)
                         found = walker.walk(r["first"], r["stop"])
                     yield from _batches(r["path"], r["no"], found, batch)
 

@@ -140,6 +140,17 @@ def test_a_long_file_is_read_by_many_tasks(spark, folder):
     assert read_captures(spark, path, span=1000).select(capture.F.spark_partition_id()).distinct().count() > 4
 
 
+def test_many_misled_ranges_are_walked_again_at_once(spark, tmp_path, monkeypatch):
+    """The last 16 bytes of a short frame look like an empty record, at which every third range or so begins."""
+    frame = bytes(range(1, 45)) + bytes.fromhex("00025002200000000000000000000000")
+    (tmp_path / "a.pcap").write_bytes(_pcap([frame] * 4000))
+    asked, walked = [], capture._walked
+    monkeypatch.setattr(capture, "_walked", lambda spans: asked.append(spans.count()) or walked(spans))
+    got = read_captures(spark, str(tmp_path), span=1000).select("no", "frame").collect()
+    assert sorted(r.no for r in got) == list(range(4000)) and {bytes(r.frame) for r in got} == {frame}
+    assert asked[1] > 30 and len(asked) < 12 and sum(asked) < 4 * asked[0]
+
+
 def test_discovery(folder):
     found = [p for p, _ in discovered(str(folder))]
     assert found == sorted(found) and len(found) == len(_cases())
