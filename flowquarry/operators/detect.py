@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowquarry.functions.net import cloud_provider, human_bytes, is_external
+from flowquarry.functions.order import checkpointed
 from flowquarry.operators import behavior as B
 from flowquarry.schema import AUTH_PORTS, LATERAL_PORTS, SWEEP_EXEMPT_PORTS
 
@@ -182,9 +183,24 @@ def without_explained_sweeps(sweeps: DataFrame, lateral: DataFrame) -> DataFrame
     return sweeps.join(lateral.select("src_ip", "dst_port"), ["src_ip", "dst_port"], "left_anti").select(*COLUMNS)
 
 
+#: Packet columns of which at least one is there in each packet that a detector looks at, and the others that detectors read.
+SIGNALS = ["dns_qname", "icmp_type", "cleartext_cred", "pii", "arp_ip", "http_ua", "stratum", "ot_control"]
+BESIDE = ["idx", "ts_ns", "src_ip", "dst_ip", "dst_port", "transport", "payload_len", "arp_mac", "download_disguised"]
+
+
+def signals(packets: DataFrame) -> DataFrame:
+    """The packets, and of them the columns, that the detectors below read."""
+    return packets.filter(reduce(Column.__or__, [F.col(c).isNotNull() for c in SIGNALS], F.coalesce("download_disguised", F.lit(False)))).select(*BESIDE, *SIGNALS)
+
+
 def all_findings(packets: DataFrame, flows: DataFrame, contacts: DataFrame) -> DataFrame:
-    """Every detector over one capture."""
-    ch = B.channels(contacts)
+    """Every detector over one capture.
+
+    The packets that some detector looks at and the channels are written once, so that packets and contacts are read once
+    each for all detectors of them.
+    """
+    packets = checkpointed(signals(packets))
+    ch = checkpointed(B.channels(contacts))
     lateral = lateral_movement(ch)
     parts = [
         beacons(ch), exfiltration(ch), without_explained_sweeps(host_sweeps(contacts), lateral), port_scans(contacts), arp_spoofing(packets), syn_floods(contacts), tool_agents(packets), disguised_downloads(packets), cryptomining(packets), brute_force(ch),
