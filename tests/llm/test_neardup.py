@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import corpus_pipeline
+from flowquarry.llm import neardup, simhash
 
 SCHEMA = "doc_id long, text string, n_chars int"
 
@@ -81,3 +82,20 @@ def test_rows_are_no_doc_ids(spark):
     rows = corpus(2, lambda i, rng: rng.choice((None, None, 3, i)))
     got = near(spark, rows)
     assert [r[:2] for r in got] == [r[:2] for r in brute(rows)]
+
+
+def test_fingerprints_find_copies_before_the_join(spark, monkeypatch):
+    rows = corpus(3, lambda i, _: i)
+    seen, inner = [], neardup.links
+    monkeypatch.setattr(neardup, "links", lambda *args, start, **more: seen.append({tuple(r) for r in start.collect()}) or inner(*args, start=start, **more))
+    assert near(spark, rows) == brute(rows)
+    texts = {i: t for i, t, _ in rows}
+    got = {tuple(r) for r in neardup.fingerprint_links(spark.createDataFrame([r[:2] for r in rows], "set long, text string")).collect()}
+    assert len(seen[0]) > 5 and len(got) > 5
+    groups = {}
+    for i, t in texts.items():
+        groups.setdefault(simhash.simhash64(t, 5), []).append(i)
+    first = {i: g[0] for g in groups.values() for i in g}
+    want = {(i, f) for i, f in first.items() if i != f and len(shingles(texts[i]) & shingles(texts[f])) >= 0.8 * len(shingles(texts[i]) | shingles(texts[f]))}
+    assert want <= got
+    assert all(len(shingles(texts[a]) & shingles(texts[b])) >= 0.8 * len(shingles(texts[a]) | shingles(texts[b])) for a, b in got)
