@@ -11,7 +11,8 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -66,6 +67,35 @@ def numbered(docs: DataFrame, nulls_last: bool = False) -> tuple[DataFrame, str]
     return materialise(dealt.sortWithinPartitions(key, F.asc_nulls_first("text")).withColumn(name, F.monotonically_increasing_id())), name
 
 
+def in_place(docs: DataFrame, **columns: Column) -> DataFrame:
+    """``columns`` and (file_, at_), which name a row of ``docs`` by its file and its place in it; a frame that is no table of files is written once."""
+    named = [c.alias(k) for k, c in columns.items()]
+    if docs.inputFiles() and "_metadata" not in docs.columns:
+        try:
+            return docs.select(*named, F.xxhash64("_metadata.file_path").alias("file_"), F.col("_metadata.row_index").alias("at_"))
+        except AnalysisException:
+            pass  # rows of a join or an aggregate have no place in a file
+    return materialise(docs.select(*named, F.lit(0).cast("long").alias("file_"), F.monotonically_increasing_id().alias("at_")))
+
+
+def long_literal(values: list[int]) -> Column:
+    """An array literal: the constant is folded once, not built for every row."""
+    return F.from_json(F.lit("[" + ",".join(map(str, values)) + "]"), "array<bigint>")
+
+
+def maybe_in(keys: DataFrame, columns: list[str], size: int) -> Column:
+    """Whether ``columns`` may be a row of ``keys``, of which there are ``size``: a bitmap of sixteen bits a row and 2**25 bits at most, which passes more the fuller it is."""
+    bits = min(25, max(16, (16 * size).bit_length()))
+    h = F.xxhash64(*columns).bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
+    one = F.lit(1).cast("long")
+    slots = keys.select(h.alias("h")).groupBy(F.shiftright("h", 6).cast("int").alias("slot")).agg(F.bit_or(F.call_function("shiftleft", one, F.col("h").bitwiseAND(F.lit(63).cast("long")).cast("int"))).alias("v"))
+    words = [0] * (1 << (bits - 6))
+    for slot, v in slots.collect():  # at most 2**25 / 64 rows
+        words[slot] = v
+    word = F.get(long_literal(words), F.shiftright(h, 6).cast("int"))
+    return F.call_function("shiftrightunsigned", word, h.bitwiseAND(F.lit(63).cast("long")).cast("int")).bitwiseAND(one) == 1
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowquarry.llm.common import free_name, materialise
+from flowquarry.llm.common import in_place, materialise, maybe_in
 
 WIDTH = 5
 THRESHOLD = 0.8
@@ -104,7 +104,8 @@ def _hits(docs: DataFrame, items: DataFrame, width: int = WIDTH, threshold: floa
 
     # Exact check: only documents with candidates, only shingles of their candidate items.
     of_doc = candidates.groupBy("doc_").agg(F.collect_set("w").alias("ws_"))
-    texts = docs.select("doc_", "text").join(of_doc, "doc_")
+    # Texts that are surely no candidates stay out of the join.
+    texts = docs.select("doc_", "text").filter(maybe_in(candidates, ["doc_"], candidates.count())).join(of_doc, "doc_")
     ws = texts.select("doc_", words(F.col("text")).alias("ws"), F.explode("ws_").alias("w")).filter(F.size("ws") >= F.col("w"))
     grams = F.transform(F.sequence(F.lit(0), F.size("ws") - F.col("w")), lambda i: F.array_join(F.slice("ws", i + 1, F.col("w")), " "))
     there = ws.select("doc_", "w", F.explode(F.array_distinct(grams)).alias("shingle"))
@@ -121,19 +122,26 @@ def _numbered(docs: DataFrame, column: str, *names: str) -> DataFrame:
     return materialise(docs.select(*[F.col(f"`{n}`") for n in names]).withColumn(column, F.monotonically_increasing_id()))
 
 
+def _named(docs: DataFrame, **columns: Column) -> DataFrame:
+    """``columns`` and ``doc_``, the name of every row of ``docs``."""
+    return in_place(docs, **columns).withColumn("doc_", F.struct("file_", "at_")).drop("file_", "at_")
+
+
 def contained_items(docs: DataFrame, items: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, item_id, n_shingles, n_shared, containment) for every item that a document contains."""
-    rows = _numbered(docs, "doc_", "doc_id", "text")
+    rows = _named(docs, doc_id=F.col("doc_id"), text=F.col("text"))
     known = _numbered(items.select("item_id", "text").distinct(), "item_", "item_id", "text")
-    hits = _hits(rows.select("doc_", "text"), known.select("item_", "text"), width, threshold)
-    out = hits.join(rows.select("doc_", "doc_id"), "doc_").join(known.select("item_", "item_id"), "item_")
+    hits = materialise(_hits(rows.select("doc_", "text"), known.select("item_", "text"), width, threshold))
+    ids = rows.select("doc_", "doc_id").filter(maybe_in(hits, ["doc_"], hits.count()))
+    out = hits.join(ids, "doc_").join(known.select("item_", "item_id"), "item_")
     return out.select("doc_id", "item_id", "n_shingles", "n_shared", "containment")
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """``docs`` without the rows that contain a benchmark item."""
-    name = free_name("doc_", docs.columns)
-    rows = _numbered(docs, name, *docs.columns)
+    rows = _named(docs, row_=F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
     known = _numbered(items.select("text").distinct(), "item_", "text")
-    bad = _hits(rows.select(F.col(name).alias("doc_"), "text"), known, **options).select(F.col("doc_").alias(name)).distinct()
-    return rows.join(bad, name, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    bad = materialise(_hits(rows.select("doc_", F.col("row_.text").alias("text")), known, **options).select("doc_").distinct())
+    suspect = maybe_in(bad, ["doc_"], bad.count())
+    kept = rows.filter(~suspect).unionByName(rows.filter(suspect).join(bad, "doc_", "left_anti").select(*rows.columns))
+    return kept.select(*[F.col("row_").getField(c).alias(c) for c in docs.columns])
