@@ -30,11 +30,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowquarry.llm.common import discard, free_name, materialise, shuffle_partitions
+from flowquarry.llm.common import discard, free_name, in_place, long_literal, materialise, maybe_in, shuffle_partitions
 
 THRESHOLD = 0.8
 #: Bounds of the number of counters: a task carries half a byte for each.
@@ -45,19 +44,15 @@ RARE = 1024
 STARS = 3
 #: Sets a bucket.
 BUCKET = 256
+#: Bits of parity in which a set and the first of its bucket may differ to be compared; unlike long lines differ in about 32.
+STAR_BITS = 16
 PLACE = ["file_", "at_", "line_no"]
 BLANKS = "\t\x0b\f\r"
 
 
 def _rows(docs: DataFrame) -> DataFrame:
     """(doc_, file_, at_): every row of ``docs`` whole, and its name, which is the same at every reading."""
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc_")
-    if docs.inputFiles() and "_metadata" not in docs.columns:
-        try:
-            return docs.select(whole, F.xxhash64("_metadata.file_path").alias("file_"), F.col("_metadata.row_index").alias("at_"))
-        except AnalysisException:
-            pass  # rows of a join or an aggregate have no place in a file
-    return materialise(docs.select(whole, F.lit(0).cast("long").alias("file_"), F.monotonically_increasing_id().alias("at_")))
+    return in_place(docs, doc_=F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
 
 
 def _words(text: Column) -> Column:
@@ -98,16 +93,21 @@ def rarity_classes(texts: DataFrame) -> tuple[list[int], int]:
     return out, 1 + int((RARE.bit_length() - 1) * scale)
 
 
-def _literal(values: list[int]) -> Column:
-    """An array literal: the constant is folded once, not built for every row."""
-    return F.from_json(F.lit("[" + ",".join(map(str, values)) + "]"), "array<bigint>")
-
-
 def _needed(n: Column, threshold: float) -> Column:
     """Fewest words that a line of n words shares with a similar line."""
     return F.ceil(n * threshold - 1e-9).cast("int")
 
 
+def _spare(n: Column, threshold: float) -> Column:
+    """Words beyond the shortest prefix: two lines share one more than the lesser of their numbers, which few unlike lines do."""
+    return F.least(F.when(n >= 20, 2).when(n >= 10, 1).otherwise(0), _needed(n, threshold) - 1)
+
+
+def _length(n: Column, threshold: float) -> Column:
+    """Words of a prefix."""
+    return n - _needed(n, threshold) + 1 + _spare(n, threshold)
+
+
 def _lines(rows: DataFrame) -> DataFrame:
     """A row for every line that has a word."""
     text = F.col("doc_.text").cast("string")
@@ -126,15 +126,17 @@ def line_sets(rows: DataFrame, classes: list[int], threshold: float = THRESHOLD)
         level = F.call_function("shiftrightunsigned", F.get(F.col("classes"), h.bitwiseAND(mask).cast("int")), _shift(h)).bitwiseAND(F.lit(15).cast("long"))
         return F.shiftleft(level, 59).bitwiseOR(F.shiftrightunsigned(h, 5))
 
-    lines = _lines(rows).withColumn("classes", _literal(classes))
+    lines = _lines(rows).withColumn("classes", long_literal(classes))
     ws = F.sort_array(F.transform(_hashes(F.col("line")), ranked))
     ordered = lines.select("doc_id", "hash_", *PLACE, ws.alias("ws"))
     one = F.lit(1).cast("long")
     parity = F.aggregate("ws", F.lit(0).cast("long"), lambda acc, w: acc.bitwiseXOR(F.call_function("shiftleft", one, w.bitwiseAND(F.lit(63).cast("long")).cast("int"))))
     n = F.size("ws")
-    start = F.filter(F.slice("ws", 1, n - _needed(n, threshold) + 1), lambda w: w >= F.lit(1 << 59))
+    # A line too short for a similar line of another word set has no prefix.
+    alone = (F.floor(n / threshold + 1e-9) == n) & (_needed(n, threshold) == n)
+    start = F.filter(F.slice("ws", 1, F.when(alone, 0).otherwise(_length(n, threshold))), lambda w: w >= F.lit(1 << 59))
     named = ordered.select("doc_id", "hash_", *PLACE, F.xxhash64("ws").alias("k1"), F.hash("ws").alias("k2"), n.alias("n"), parity.alias("parity"), start.alias("prefix"))
-    return named.withColumn("skip", F.col("n") - _needed(F.col("n"), threshold) + 1 - F.size("prefix"))
+    return named.withColumn("skip", _length(F.col("n"), threshold) - F.size("prefix"))
 
 
 def _index(sets: DataFrame) -> DataFrame:
@@ -154,7 +156,7 @@ def _within(na: Column, nb: Column, diff: Column, threshold: float) -> tuple[Col
 
 
 def star_pairs(frequent: DataFrame, threshold: float = THRESHOLD, stars: int = STARS) -> DataFrame:
-    """(late, early, diff): sets that share a frequent prefix word, each with the earliest set of its bucket.
+    """(late, early, diff): sets that share a frequent prefix word, each with the likeliest of the earliest sets of its buckets.
 
     The sets of a word are dealt to buckets of about ``BUCKET`` sets, ``stars`` times anew, so the rows are linear.
     """
@@ -166,13 +168,14 @@ def star_pairs(frequent: DataFrame, threshold: float = THRESHOLD, stars: int = S
     x = index.join(heads, keys).filter(F.col("set") > F.col("head.set"))
     diff = F.bit_count(F.col("parity").bitwiseXOR(F.col("head.parity")))
     _, fits = _within(F.col("n"), F.col("head.n"), diff, threshold)
-    return x.filter(fits).select(F.col("set").alias("late"), F.col("head.set").alias("early"), diff.alias("diff"))
+    best = x.filter(fits & (diff <= STAR_BITS)).groupBy(F.col("set").alias("late")).agg(F.min(F.struct(diff.alias("diff"), F.col("head.set").alias("early"))).alias("best"))
+    return best.select("late", "best.early", "best.diff")
 
 
 def candidate_pairs(index: DataFrame, keys: list[str], threshold: float = THRESHOLD) -> DataFrame:
-    """(late, early, diff): all sets that may be similar by a word that both prefixes have; joined on ``keys`` beside the word.
+    """(late, early, diff, least): all sets that may be similar by a word that both prefixes have; joined on ``keys`` beside the word.
 
-    A pair has a row for every such word.  ``diff``: bits in which the parities differ.
+    A pair has a row for every such word; a similar pair has ``least`` of them.  ``diff``: bits in which the parities differ.
     """
     a, b = index.alias("a"), index.alias("b")
     if "g" in keys:
@@ -186,20 +189,7 @@ def candidate_pairs(index: DataFrame, keys: list[str], threshold: float = THRESH
         keep &= (later & ~F.col("a.done")) | (~later & ~F.col("b.done"))
     for k in ("w", *keys):
         keep &= F.col(f"a.{k}") == F.col(f"b.{k}")
-    return a.join(b, keep).select(F.greatest("a.set", "b.set").alias("late"), F.least("a.set", "b.set").alias("early"), diff.alias("diff"))
-
-
-def _maybe_in(places: DataFrame, size: int) -> Column:
-    """Whether a place may be one of ``places``: a bitmap of sixteen bits a place and 2**28 bits at most, which passes more the fuller it is."""
-    bits = min(28, max(16, (16 * size).bit_length()))
-    h = F.xxhash64(*PLACE).bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
-    one = F.lit(1).cast("long")
-    slots = places.select(h.alias("h")).groupBy(F.shiftright("h", 6).cast("int").alias("slot")).agg(F.bit_or(F.call_function("shiftleft", one, F.col("h").bitwiseAND(F.lit(63).cast("long")).cast("int"))).alias("v"))
-    words = [0] * (1 << (bits - 6))
-    for slot, v in slots.collect():  # at most 2**28 / 64 rows
-        words[slot] = v
-    word = F.get(_literal(words), F.shiftright(h, 6).cast("int"))
-    return F.call_function("shiftrightunsigned", word, h.bitwiseAND(F.lit(63).cast("long")).cast("int")).bitwiseAND(one) == 1
+    return a.join(b, keep).select(F.greatest("a.set", "b.set").alias("late"), F.least("a.set", "b.set").alias("early"), diff.alias("diff"), (1 + F.least(_spare(na, threshold), _spare(nb, threshold))).alias("least"))
 
 
 def _verified(pairs: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
@@ -215,7 +205,7 @@ def _decided(pairs: DataFrame, firsts: DataFrame, rows: DataFrame, threshold: fl
     pairs = materialise(pairs)
     wanted = materialise(firsts.join(pairs.select(F.explode(F.array("late", "early")).alias("set")).distinct(), "set").select("set", *[F.col(f"first.{c}").alias(c) for c in PLACE]))
     # Lines that are surely not wanted stay out of the join.
-    lines = _lines(rows).filter(_maybe_in(wanted, wanted.count())).select(*PLACE, _hashes(F.col("line")).alias("hs"))
+    lines = _lines(rows).filter(maybe_in(wanted, PLACE, wanted.count())).select(*PLACE, _hashes(F.col("line")).alias("hs"))
     found = materialise(lines.join(wanted, PLACE).select("set", "hs"))
 
     likeliest = materialise(pairs.groupBy("late").agg(F.min(F.struct("diff", "early")).alias("best")).select("late", F.col("best.early").alias("early")))
@@ -240,10 +230,12 @@ def removed_lines(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     index = _index(firsts)
     often = F.shiftrightunsigned("w", 59) >= least
     frequent = materialise(index.filter(often))
+    index = index.filter(~often)
     done = _decided(star_pairs(frequent, threshold), firsts, rows, threshold)
     marked = frequent.join(done.withColumn("done", F.lit(True)), "set", "left").withColumn("done", F.coalesce("done", F.lit(False)))
-    pairs = candidate_pairs(index.filter(~often), [], threshold).unionByName(candidate_pairs(marked.withColumn("g", _group(F.col("n"), threshold)), ["g"], threshold))
-    gone = done.unionByName(_decided(pairs, firsts, rows, threshold)).distinct()
+    pairs = candidate_pairs(index.repartition("w"), [], threshold).unionByName(candidate_pairs(marked.withColumn("g", _group(F.col("n"), threshold)), ["g"], threshold))
+    enough = pairs.groupBy("late", "early").agg(F.count(F.lit(1)).alias("words"), F.first("diff").alias("diff"), F.first("least").alias("least")).filter(F.col("words") >= F.col("least"))
+    gone = done.unionByName(_decided(enough.select("late", "early", "diff"), firsts, rows, threshold)).distinct()
 
     # All lines of such a set go, and of the other sets all but the first.
     loses = firsts.select("k1", "k2", "n", "set", "first", "lines").join(gone.withColumn("all_", F.lit(True)), "set", "left").filter("all_ or lines > 1")

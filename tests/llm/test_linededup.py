@@ -84,3 +84,19 @@ def test_rows_that_share_an_id(spark):
     rng = random.Random(9)
     rows = [(rng.choice((None, 3, d)), t, n) for d, t, n in corpus(2)]
     assert run(spark, rows) == brute_rows(rows)
+
+
+def test_unlike_lines_that_share_a_word_are_not_compared(spark, monkeypatch):
+    """Each long line has one word of another one; only lines with more words in common are compared."""
+    seen, decided = [], linededup._decided
+    monkeypatch.setattr(linededup, "_decided", lambda pairs, *rest: seen.append(pairs.count()) or decided(pairs, *rest))
+    common = [f"c{k}" for k in range(9)]
+    lines = [" ".join([f"pair{d // 2}", *common, *(f"u{d}_{k}" for k in range(16))]) for d in range(40)]
+    rows = [(d, line, 0) for d, line in enumerate(lines)] + [(50, lines[3] + " more", 0), (51, "a b c d", 0), (52, "a b c d e", 0), (53, "a b c", 0), (54, "a b", 0)]
+    assert run(spark, rows) == brute(rows)
+    assert sum(seen) <= 2
+
+
+def test_more_corpora(spark):
+    for seed in (3, 4):
+        assert run(spark, corpus(seed)) == brute(corpus(seed))
