@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowquarry.llm.common import discard, free_name, materialise
+from flowquarry.llm.common import batches_of, discard, free_name, materialise
 
 UNKNOWN = "und"
 DIM = 1 << 14
@@ -37,6 +37,8 @@ CALIBRATE_PER_LANG = 100
 #: Most rows of all languages together that train and calibrate.
 MOST_ROWS = 200_000
 BLOCK = 1 << 20
+#: Texts that a worker gets at a time in ``identified``.
+BATCH = 200
 
 
 def held_out(doc_id: Column) -> Column:
@@ -245,5 +247,7 @@ def identified(docs: DataFrame, least: float = 0.5, **options) -> DataFrame:
     """
     whole = free_name("doc_", ["text", "lang_pred", "score"])
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(whole), F.col("text").alias("text"))
-    found = predict(packed, train(docs, **options))
-    return found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*[F.col(whole).getField(c).alias(c) for c in docs.columns])
+    # Written here, as the size of batches is read when the job is planned.
+    with batches_of(docs.sparkSession, BATCH):
+        found = predict(packed, train(docs, **options))
+        return materialise(found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*[F.col(whole).getField(c).alias(c) for c in docs.columns]))
