@@ -8,13 +8,14 @@ files is written once first.  The join goes in these steps:
 1. count words over the whole corpus in counters whose number follows the number of distinct words (at most
    ``2**MOST_BITS``), kept as 4-bit rarity classes that span the corpus's largest count;
 2. per line, order its distinct words by rarity and keep its prefix, the shortest start that a similar
-   line must meet; words whose counter is one occur nowhere else and are left out of the index;
+   line must meet and up to two spare words, so that similar lines share more than one; words whose counter is one occur nowhere else and are left out of the index;
 3. lines of equal word sets become one set with its earliest place;
-4. sets that share a word of more than ``RARE`` occurrences are compared with the first set of a bucket; those
+4. sets that share a word of more than ``RARE`` occurrences are compared with the likeliest first set of their buckets; those
    found similar to it are done, so that a large group of similar lines is not joined pairwise;
 5. join the prefixes on words under the length filter, the positional filter and a parity filter: the number
    of bits in which two 64-bit parities of word hashes differ never exceeds the number of words that are in one
-   set only; frequent words are joined within length groups, and without pairs whose later set is done;
+   set only; frequent words are joined within length groups, and without pairs whose later set is done; pairs
+   that share fewer words than the lesser number of spare words and one go;
 6. verify on the whole word sets: for every set its likeliest earlier partner first and the others only where that
    one is not similar; then remove the later lines.
 
