@@ -78,9 +78,15 @@ def in_place(docs: DataFrame, **columns: Column) -> DataFrame:
     return materialise(docs.select(*named, F.lit(0).cast("long").alias("file_"), F.monotonically_increasing_id().alias("at_")))
 
 
-def long_literal(values: list[int]) -> Column:
-    """An array literal: the constant is folded once, not built for every row."""
-    return F.from_json(F.lit("[" + ",".join(map(str, values)) + "]"), "array<bigint>")
+def one_array(slots: DataFrame, size: int) -> Column:
+    """An array of ``size`` longs, a power of two: place ``slot`` has the union of the bits ``v`` of the rows of ``slots`` (slot int, v long), or 0.
+
+    It is a scalar subquery of a written table, so that neither plans nor Python hold the numbers; the last task reads rows of about the root of ``size`` numbers.
+    """
+    half = (size.bit_length() - 1) // 2
+    every = slots.unionByName(slots.sparkSession.range(size).select(F.col("id").cast("int").alias("slot"), F.lit(0).cast("long").alias("v")))
+    parts = every.groupBy("slot").agg(F.bit_or("v").alias("v")).groupBy(F.shiftright("slot", half).alias("part")).agg(F.sort_array(F.collect_list(F.struct("slot", "v")))["v"].alias("vs"))
+    return materialise(parts.agg(F.flatten(F.sort_array(F.collect_list(F.struct("part", "vs")))["vs"]).alias("vs"))).scalar()
 
 
 def maybe_in(keys: DataFrame, columns: list[str], size: int) -> Column:
@@ -88,11 +94,8 @@ def maybe_in(keys: DataFrame, columns: list[str], size: int) -> Column:
     bits = min(25, max(16, (16 * size).bit_length()))
     h = F.xxhash64(*columns).bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
     one = F.lit(1).cast("long")
-    slots = keys.select(h.alias("h")).groupBy(F.shiftright("h", 6).cast("int").alias("slot")).agg(F.bit_or(F.call_function("shiftleft", one, F.col("h").bitwiseAND(F.lit(63).cast("long")).cast("int"))).alias("v"))
-    words = [0] * (1 << (bits - 6))
-    for slot, v in slots.collect():  # at most 2**25 / 64 rows
-        words[slot] = v
-    word = F.get(long_literal(words), F.shiftright(h, 6).cast("int"))
+    slots = keys.select(h.alias("h")).select(F.shiftright("h", 6).cast("int").alias("slot"), F.call_function("shiftleft", one, F.col("h").bitwiseAND(F.lit(63).cast("long")).cast("int")).alias("v"))
+    word = F.get(one_array(slots, 1 << (bits - 6)), F.shiftright(h, 6).cast("int"))
     return F.call_function("shiftrightunsigned", word, h.bitwiseAND(F.lit(63).cast("long")).cast("int")).bitwiseAND(one) == 1
 
 

@@ -34,7 +34,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowquarry.llm.common import discard, free_name, in_place, long_literal, materialise, maybe_in, shuffle_partitions
+from flowquarry.llm.common import discard, free_name, in_place, materialise, maybe_in, one_array, shuffle_partitions
 
 THRESHOLD = 0.8
 #: Bounds of the number of counters: a task carries half a byte for each.
@@ -71,8 +71,8 @@ def _shift(h: Column) -> Column:
     return F.shiftrightunsigned(h, 58).cast("int").bitwiseAND(F.lit(60))
 
 
-def rarity_classes(texts: DataFrame) -> tuple[list[int], int]:
-    """4-bit classes of all word counters, 16 to a number, and the least class of words beyond ``RARE``.
+def rarity_classes(texts: DataFrame) -> tuple[Column, int, int]:
+    """4-bit classes of all word counters, an array of 16 to a number; its length, and the least class of words beyond ``RARE``.
 
     Class 0 counts at most one word; the others span the logarithm of the largest count evenly.
     """
@@ -86,12 +86,9 @@ def rarity_classes(texts: DataFrame) -> tuple[list[int], int]:
     scale = 14 / max(1.0, (most or 1).bit_length())
     folded = counts.groupBy(F.col("slot").bitwiseAND(F.lit(slots - 1).cast("long")).alias("slot"), "shift").agg(F.sum("count").alias("n"))
     level = F.when(F.col("n") <= 1, 0).otherwise(F.least(F.lit(15), 1 + F.floor(F.log2("n") * scale))).cast("long")
-    packed = folded.groupBy("slot").agg(F.bit_or(F.call_function("shiftleft", level, F.col("shift"))).alias("v"))
-    out = [0] * slots
-    for slot, v in packed.collect():  # at most 2**MOST_BITS / 16 rows
-        out[slot] = v
+    out = one_array(folded.select(F.col("slot").cast("int").alias("slot"), F.call_function("shiftleft", level, F.col("shift")).alias("v")), slots)
     discard(counts)
-    return out, 1 + int((RARE.bit_length() - 1) * scale)
+    return out, slots, 1 + int((RARE.bit_length() - 1) * scale)
 
 
 def _needed(n: Column, threshold: float) -> Column:
@@ -116,18 +113,18 @@ def _lines(rows: DataFrame) -> DataFrame:
     return cut.filter(F.col("line").rlike(r"[^ \t\x0b\f\r]"))
 
 
-def line_sets(rows: DataFrame, classes: list[int], threshold: float = THRESHOLD) -> DataFrame:
+def line_sets(rows: DataFrame, classes: Column, slots: int, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, hash_, file_, at_, line_no, k1, k2, n, parity, skip, prefix): the word set of each line, named by two hashes, and its prefix.
 
     ``skip``: words at the start that occur nowhere else; the prefix is without them.
     """
-    mask = F.lit(len(classes) - 1).cast("long")
+    mask = F.lit(slots - 1).cast("long")
 
     def ranked(h: Column) -> Column:
         level = F.call_function("shiftrightunsigned", F.get(F.col("classes"), h.bitwiseAND(mask).cast("int")), _shift(h)).bitwiseAND(F.lit(15).cast("long"))
         return F.shiftleft(level, 59).bitwiseOR(F.shiftrightunsigned(h, 5))
 
-    lines = _lines(rows).withColumn("classes", long_literal(classes))
+    lines = _lines(rows).withColumn("classes", classes)
     ws = F.sort_array(F.transform(_hashes(F.col("line")), ranked))
     ordered = lines.select("doc_id", "hash_", *PLACE, ws.alias("ws"))
     one = F.lit(1).cast("long")
@@ -220,8 +217,8 @@ def _decided(pairs: DataFrame, firsts: DataFrame, rows: DataFrame, threshold: fl
 
 def removed_lines(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(file_, at_, line_no) of every line that an earlier line resembles.  ``rows``: (doc_, file_, at_)."""
-    classes, least = rarity_classes(rows.select(F.col("doc_.text").cast("string").alias("text")))
-    table = materialise(line_sets(rows, classes, threshold))
+    classes, slots, least = rarity_classes(rows.select(F.col("doc_.text").cast("string").alias("text")))
+    table = materialise(line_sets(rows, classes, slots, threshold))
     first = F.min(F.struct("doc_id", "hash_", *PLACE)).alias("first")
     firsts = table.groupBy("k1", "k2", "n").agg(first, F.count(F.lit(1)).alias("lines"), *[F.first(c).alias(c) for c in ("parity", "skip", "prefix")])
     # Sets are numbered in the order of their places.
