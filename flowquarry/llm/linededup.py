@@ -8,14 +8,14 @@ files is written once first.  The join goes in these steps:
 1. count words over the whole corpus in counters whose number follows the number of distinct words (at most
    ``2**MOST_BITS``), kept as 4-bit rarity classes that span the corpus's largest count;
 2. per line, order its distinct words by rarity and keep its prefix, the shortest start that a similar
-   line must meet and up to two spare words, so that similar lines share more than one; words whose counter is one occur nowhere else and are left out of the index;
+   line must meet; words whose counter is one occur nowhere else and are left out of the index;
 3. lines of equal word sets become one set with its earliest place;
 4. sets that share a word of more than ``RARE`` occurrences are compared with the likeliest first set of their buckets; those
    found similar to it are done, so that a large group of similar lines is not joined pairwise;
-5. join the prefixes on words under the length filter, the positional filter and a parity filter: the number
-   of bits in which two 64-bit parities of word hashes differ never exceeds the number of words that are in one
-   set only; frequent words are joined within length groups, and without pairs whose later set is done; pairs
-   that share fewer words than the lesser number of spare words and one go;
+5. join the prefixes on words under the length filter, the positional filter of the first word that two sets have
+   in common and a parity filter: the number of bits in which two parities of word hashes (64 bits, 128 for long
+   lines) differ never exceeds the number of words that are in one set only; frequent words are joined within
+   length groups, without pairs whose later set is done, and not where the word before is one that both have;
 6. verify on the whole word sets: for every set its likeliest earlier partner first and the others only where that
    one is not similar; then remove the later lines.
 
@@ -46,7 +46,9 @@ STARS = 3
 #: Sets a bucket.
 BUCKET = 256
 #: Bits of parity in which a set and the first of its bucket may differ to be compared; unlike long lines differ in about 32.
-STAR_BITS = 16
+STAR_BITS = 24
+#: Words from which a line has 128 bits of parity: in 64 bits unlike long lines differ too little.
+SPLIT = 32
 PLACE = ["file_", "at_", "line_no"]
 BLANKS = "\t\x0b\f\r"
 
@@ -96,16 +98,6 @@ def _needed(n: Column, threshold: float) -> Column:
     return F.ceil(n * threshold - 1e-9).cast("int")
 
 
-def _spare(n: Column, threshold: float) -> Column:
-    """Words beyond the shortest prefix: two lines share one more than the lesser of their numbers, which few unlike lines do."""
-    return F.least(F.when(n >= 20, 2).when(n >= 10, 1).otherwise(0), _needed(n, threshold) - 1)
-
-
-def _length(n: Column, threshold: float) -> Column:
-    """Words of a prefix."""
-    return n - _needed(n, threshold) + 1 + _spare(n, threshold)
-
-
 def _lines(rows: DataFrame) -> DataFrame:
     """A row for every line that has a word."""
     text = F.col("doc_.text").cast("string")
@@ -113,10 +105,10 @@ def _lines(rows: DataFrame) -> DataFrame:
     return cut.filter(F.col("line").rlike(r"[^ \t\x0b\f\r]"))
 
 
-def line_sets(rows: DataFrame, classes: Column, slots: int, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, hash_, file_, at_, line_no, k1, k2, n, parity, skip, prefix): the word set of each line, named by two hashes, and its prefix.
+def line_sets(rows: DataFrame, classes: Column, slots: int, least: int, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, hash_, file_, at_, line_no, k1, k2, n, parity, parity2, skip, rare, often): the word set of each line, named by two hashes, and its prefix.
 
-    ``skip``: words at the start that occur nowhere else; the prefix is without them.
+    ``skip``: words at the start that occur nowhere else, which are left out.  ``rare``: 31 bits of the words below class ``least``, which all come before ``often``, the others.
     """
     mask = F.lit(slots - 1).cast("long")
 
@@ -128,18 +120,28 @@ def line_sets(rows: DataFrame, classes: Column, slots: int, threshold: float = T
     ws = F.sort_array(F.transform(_hashes(F.col("line")), ranked))
     ordered = lines.select("doc_id", "hash_", *PLACE, ws.alias("ws"))
     one = F.lit(1).cast("long")
-    parity = F.aggregate("ws", F.lit(0).cast("long"), lambda acc, w: acc.bitwiseXOR(F.call_function("shiftleft", one, w.bitwiseAND(F.lit(63).cast("long")).cast("int"))))
+    bit = lambda w, x: F.call_function("shiftleft", x, w.bitwiseAND(F.lit(63).cast("long")).cast("int"))
+    parity = F.aggregate("ws", F.lit(0).cast("long"), lambda acc, w: acc.bitwiseXOR(bit(w, one)))
+    half = F.aggregate("ws", F.lit(0).cast("long"), lambda acc, w: acc.bitwiseXOR(bit(w, F.shiftright(w, 6).bitwiseAND(one))))
     n = F.size("ws")
+    parity2 = F.when(n >= SPLIT, half).otherwise(F.lit(0).cast("long"))
     # A line too short for a similar line of another word set has no prefix.
     alone = (F.floor(n / threshold + 1e-9) == n) & (_needed(n, threshold) == n)
-    start = F.filter(F.slice("ws", 1, F.when(alone, 0).otherwise(_length(n, threshold))), lambda w: w >= F.lit(1 << 59))
-    named = ordered.select("doc_id", "hash_", *PLACE, F.xxhash64("ws").alias("k1"), F.hash("ws").alias("k2"), n.alias("n"), parity.alias("parity"), start.alias("prefix"))
-    return named.withColumn("skip", _length(F.col("n"), threshold) - F.size("prefix"))
+    start = F.slice("ws", 1, F.when(alone, 0).otherwise(n - _needed(n, threshold) + 1))
+    named = ordered.select("doc_id", "hash_", *PLACE, F.xxhash64("ws").alias("k1"), F.hash("ws").alias("k2"), n.alias("n"), parity.alias("parity"), parity2.alias("parity2"), start.alias("start"))
+    low, high = F.lit(1 << 59), F.lit(least << 59)
+    rare = F.transform(F.filter("start", lambda w: (w >= low) & (w < high)), lambda w: w.bitwiseAND(F.lit((1 << 31) - 1).cast("long")).cast("int"))
+    split = named.withColumn("rare", rare).withColumn("often", F.filter("start", lambda w: w >= high))
+    skip = F.size("start") - F.size("rare") - F.size("often")
+    return split.select("doc_id", "hash_", *PLACE, "k1", "k2", "n", F.col("parity").bitwiseXOR(F.col("parity2")).alias("parity"), "parity2", skip.alias("skip"), "rare", "often")
 
 
-def _index(sets: DataFrame) -> DataFrame:
-    """(w, set, n, at, parity): a row for each prefix word."""
-    return sets.select("set", "n", "parity", "skip", F.posexplode("prefix").alias("i", "w")).select("w", "set", "n", (F.col("skip") + F.col("i")).alias("at"), "parity")
+def _index(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(w, set, n, at, parity, parity2): a row for each prefix word, for the rare words and, with ``prev``, the one before among them, for the frequent ones."""
+    own = ["set", "n", "parity", "parity2"]
+    rare = sets.select(*own, "skip", F.posexplode("rare").alias("i", "w")).select("w", *own, (F.col("skip") + F.col("i")).alias("at"))
+    often = sets.select(*own, (F.col("skip") + F.size("rare")).alias("skip"), "often", F.posexplode("often").alias("i", "w"))
+    return rare, often.select("w", *own, (F.col("skip") + F.col("i")).alias("at"), F.when(F.col("i") > 0, F.get("often", F.col("i") - 1)).alias("prev"))
 
 
 def _group(n: Column, threshold: float) -> Column:
@@ -147,6 +149,12 @@ def _group(n: Column, threshold: float) -> Column:
     return F.floor(F.log(1 / threshold, n) + 1e-9).cast("int")
 
 
+def _differ(x: str, y: str) -> Column:
+    """Bits in which the parities of two sets differ; the two halves of a short line's are one."""
+    p, q = (F.col(f"{x}{k}").bitwiseXOR(F.col(f"{y}{k}")) for k in ("parity", "parity2"))
+    return F.when(F.least(f"{x}n", f"{y}n") >= SPLIT, F.bit_count(p) + F.bit_count(q)).otherwise(F.bit_count(p.bitwiseXOR(q)))
+
+
 def _within(na: Column, nb: Column, diff: Column, threshold: float) -> tuple[Column, Column]:
     """Words that similar sets of na and nb words share at least, and whether lengths and parities allow it."""
     share = F.ceil((na + nb) * (threshold / (1 + threshold)) - 1e-9)
@@ -162,32 +170,34 @@ def star_pairs(frequent: DataFrame, threshold: float = THRESHOLD, stars: int = S
     index = frequent.join(sizes, "w").withColumn("turn", F.explode(F.array(*map(F.lit, range(stars))))).withColumn("g", _group(F.col("n"), threshold))
     index = index.withColumn("bucket", F.pmod(F.xxhash64("set", "turn"), F.col("buckets")))
     keys = ["w", "g", "turn", "bucket"]
-    heads = index.groupBy(*keys).agg(F.min(F.struct("set", "n", "parity")).alias("head"))
+    heads = index.groupBy(*keys).agg(F.min(F.struct("set", "n", "parity", "parity2")).alias("head"))
     x = index.join(heads, keys).filter(F.col("set") > F.col("head.set"))
-    diff = F.bit_count(F.col("parity").bitwiseXOR(F.col("head.parity")))
+    diff = _differ("", "head.")
     _, fits = _within(F.col("n"), F.col("head.n"), diff, threshold)
     best = x.filter(fits & (diff <= STAR_BITS)).groupBy(F.col("set").alias("late")).agg(F.min(F.struct(diff.alias("diff"), F.col("head.set").alias("early"))).alias("best"))
     return best.select("late", "best.early", "best.diff")
 
 
 def candidate_pairs(index: DataFrame, keys: list[str], threshold: float = THRESHOLD) -> DataFrame:
-    """(late, early, diff, least): all sets that may be similar by a word that both prefixes have; joined on ``keys`` beside the word.
+    """(late, early, diff): all sets that may be similar by the first word that both have; joined on ``keys`` beside the word.
 
-    A pair has a row for every such word; a similar pair has ``least`` of them.  ``diff``: bits in which the parities differ.
+    No word before it is in the other set.  Where the words before are equal, they have had the pair already.  ``diff``: bits in which the parities differ.
     """
     a, b = index.alias("a"), index.alias("b")
     if "g" in keys:
         a = index.withColumn("g", F.explode(F.array("g", F.col("g") + 1))).alias("a")
     na, nb = F.col("a.n"), F.col("b.n")
-    diff, later = F.bit_count(F.col("a.parity").bitwiseXOR(F.col("b.parity"))), F.col("a.set") > F.col("b.set")
+    diff, later = _differ("a.", "b."), F.col("a.set") > F.col("b.set")
     share, fits = _within(na, nb, diff, threshold)
     keep = ((na < nb) | ((na == nb) & (F.col("a.set") < F.col("b.set")))) & fits
-    keep &= 1 + F.least(na - F.col("a.at") - 1, nb - F.col("b.at") - 1) + F.least("a.at", "b.at") >= share
+    keep &= (na - F.col("a.at") >= share) & (nb - F.col("b.at") >= share)
+    if "prev" in index.columns:
+        keep &= ~F.coalesce(F.col("a.prev") == F.col("b.prev"), F.lit(False))
     if "done" in index.columns:
         keep &= (later & ~F.col("a.done")) | (~later & ~F.col("b.done"))
     for k in ("w", *keys):
         keep &= F.col(f"a.{k}") == F.col(f"b.{k}")
-    return a.join(b, keep).select(F.greatest("a.set", "b.set").alias("late"), F.least("a.set", "b.set").alias("early"), diff.alias("diff"), (1 + F.least(_spare(na, threshold), _spare(nb, threshold))).alias("least"))
+    return a.join(b, keep).select(F.greatest("a.set", "b.set").alias("late"), F.least("a.set", "b.set").alias("early"), diff.alias("diff"))
 
 
 def _verified(pairs: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
@@ -218,26 +228,26 @@ def _decided(pairs: DataFrame, firsts: DataFrame, rows: DataFrame, threshold: fl
 def removed_lines(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(file_, at_, line_no) of every line that an earlier line resembles.  ``rows``: (doc_, file_, at_)."""
     classes, slots, least = rarity_classes(rows.select(F.col("doc_.text").cast("string").alias("text")))
-    table = materialise(line_sets(rows, classes, slots, threshold))
+    table = materialise(line_sets(rows, classes, slots, least, threshold))
     first = F.min(F.struct("doc_id", "hash_", *PLACE)).alias("first")
-    firsts = table.groupBy("k1", "k2", "n").agg(first, F.count(F.lit(1)).alias("lines"), *[F.first(c).alias(c) for c in ("parity", "skip", "prefix")])
+    firsts = table.groupBy("k1", "k2", "n").agg(first, F.count(F.lit(1)).alias("lines"), *[F.first(c).alias(c) for c in ("parity", "parity2", "skip", "rare", "often")])
     # Sets are numbered in the order of their places.
     ordered = firsts.repartitionByRange(shuffle_partitions(rows.sparkSession), "first").sortWithinPartitions("first")
     firsts = materialise(ordered.withColumn("set", F.monotonically_increasing_id()))
 
-    index = _index(firsts)
-    often = F.shiftrightunsigned("w", 59) >= least
-    frequent = materialise(index.filter(often))
-    index = index.filter(~often)
+    whole, table = table, materialise(table.select("doc_id", "hash_", *PLACE, "k1", "k2", "n"))
+    discard(whole)
+
+    index, frequent = _index(firsts)
+    frequent = materialise(frequent)
     done = _decided(star_pairs(frequent, threshold), firsts, rows, threshold)
     marked = frequent.join(done.withColumn("done", F.lit(True)), "set", "left").withColumn("done", F.coalesce("done", F.lit(False)))
     pairs = candidate_pairs(index.repartition("w"), [], threshold).unionByName(candidate_pairs(marked.withColumn("g", _group(F.col("n"), threshold)), ["g"], threshold))
-    enough = pairs.groupBy("late", "early").agg(F.count(F.lit(1)).alias("words"), F.first("diff").alias("diff"), F.first("least").alias("least")).filter(F.col("words") >= F.col("least"))
-    gone = done.unionByName(_decided(enough.select("late", "early", "diff"), firsts, rows, threshold)).distinct()
+    gone = done.unionByName(_decided(pairs.groupBy("late", "early").agg(F.min("diff").alias("diff")), firsts, rows, threshold)).distinct()
 
     # All lines of such a set go, and of the other sets all but the first.
     loses = firsts.select("k1", "k2", "n", "set", "first", "lines").join(gone.withColumn("all_", F.lit(True)), "set", "left").filter("all_ or lines > 1")
-    out = table.select("doc_id", "hash_", *PLACE, "k1", "k2", "n").join(loses.select("k1", "k2", "n", "first", "all_"), ["k1", "k2", "n"])
+    out = table.join(loses.select("k1", "k2", "n", "first", "all_"), ["k1", "k2", "n"])
     out = materialise(out.filter(F.coalesce("all_", F.lit(False)) | (F.struct("doc_id", "hash_", *PLACE) > F.col("first"))).select(*PLACE))
     for used in (table, firsts, frequent):
         discard(used)

@@ -100,3 +100,16 @@ def test_unlike_lines_that_share_a_word_are_not_compared(spark, monkeypatch):
 def test_more_corpora(spark):
     for seed in (3, 4):
         assert run(spark, corpus(seed)) == brute(corpus(seed))
+
+
+def test_near_copies_of_frequent_words_meet_by_few_rows(spark, monkeypatch):
+    """Lines of one length that differ in a few frequent words make a row for a run of common words, not one for each."""
+    rows_made, joined = [], linededup.candidate_pairs
+    monkeypatch.setattr(linededup, "RARE", 2)
+    monkeypatch.setattr(linededup, "star_pairs", lambda frequent, *rest: frequent.limit(0).select(F.col("set").alias("late"), F.col("set").alias("early"), F.lit(0).alias("diff")))
+    monkeypatch.setattr(linededup, "candidate_pairs", lambda index, keys, *rest: rows_made.append(joined(index, keys, *rest).count()) or joined(index, keys, *rest))
+    words = [f"w{k}" for k in range(66)]
+    lines = [" ".join(words[:d] + words[d + 6 :]) for d in range(0, 48, 4)]
+    rows = [(d, line, 0) for d, line in enumerate(lines)]
+    assert run(spark, rows) == brute(rows)
+    assert sum(rows_made) <= 3 * len(lines) * (len(lines) - 1) // 2
