@@ -11,8 +11,9 @@ Two documents link if the Jaccard similarity of their sets of ``WIDTH``-word shi
    them that has the fewest rare tokens, in ``ROUNDS`` rounds, and join its group if they are similar to it.  Each group
    lies within a ball about its leader; every other set is a group of its own.  No pair of members is compared.
 4. The token-group matrix holds the union of the prefixes of each group.  Groups are first linked to one leader
-   each, and the unions taken over the components that come of it.  Two components, and then two groups of them, are opened
-   only if their unions share enough tokens for a similar pair of the sizes, and with the rare tokens, that they have.
+   each, and the unions taken over the components that come of it.  Components meet by the first token that two of their sets
+   have in common, of which a pair makes few rows.  Two groups of them are opened only if their unions share enough tokens
+   for a similar pair of the sizes, and with the rare tokens, that they have.
 5. Leaders of opened groups are compared first.  One minus the similarity is a metric, so groups whose leaders are
    farther apart than their balls allow are closed.  Then members that the matrix still allows meet the
    leader of the other group, at last members within reach of the other ball meet members.  After each step
@@ -49,6 +50,8 @@ SPARE = 10
 ROUNDS = 3
 #: Times that every group is compared with one leader before groups meet by tokens.
 STARS = 3
+#: Most tokens of a group whose pairs are compared as arrays, a row a pair.
+PLAIN = 1024
 #: Words that a worker remembers with their hashes.
 MEMORY = 1 << 20
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -159,9 +162,9 @@ def compared(pairs: DataFrame, full: DataFrame, share: int) -> DataFrame:
 
 
 def prefixes(full: DataFrame, share: int) -> DataFrame:
-    """(set, n, rare, w) of the prefix tokens, in the order of their numbers of sets, that other sets have; sets without enough of them are left out.
+    """(set, n, rare, w, left, prev) of the prefix tokens, in the order of their numbers of sets, that other sets have; sets without enough of them are left out.
 
-    ``rare``: share of the set's tokens that no other set has.
+    ``rare``: share of the set's tokens that no other set has.  ``left``: tokens of the set from this one on.  ``prev``: the token before, null for the first.
     """
     tokens = full.select("set", "n", F.explode("hs").alias("w"))
     counts = tokens.groupBy("w").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
@@ -171,7 +174,9 @@ def prefixes(full: DataFrame, share: int) -> DataFrame:
     rare = n - F.size("cw")
     length = F.greatest(F.lit(0), n - _need_column(n, share) + _spare_column(n) - F.col("rare"))
     cut = listed.withColumn("rare", rare).withColumn("cw", F.slice("cw", 1, length)).filter(F.size("cw") >= _spare_column(_need_column(n, share)))
-    return materialise(cut.select("set", "n", (F.col("rare") / n).alias("rare"), F.explode("cw.w").alias("w")))
+    placed = cut.select("set", "n", "rare", F.col("cw.w").alias("ws"), F.posexplode("cw.w").alias("i", "w"))
+    left, prev = n - F.col("rare") - F.col("i"), F.when(F.col("i") > 0, F.get("ws", F.col("i") - 1))
+    return materialise(placed.select("set", "n", (F.col("rare") / n).alias("rare"), "w", left.alias("left"), prev.alias("prev")))
 
 
 def partition(full: DataFrame, rare: DataFrame, share: int) -> tuple[DataFrame, DataFrame]:
@@ -219,10 +224,24 @@ def _may(x: str, y: str, share: int) -> Column:
     return fits & _not_too_rare(F.col(f"{x}.rare"), F.col(f"{y}.rare"), share)
 
 
+def _met(now: DataFrame, share: int) -> DataFrame:
+    """(comp_x, comp_y): components that may have similar sets, by the first prefix token that two of their sets have in common.  ``now``: a matrix with ``comp``.
+
+    What is left of a set from that token on holds the whole intersection.  Where two single sets have the token before in common as well, that one has had the pair.
+    """
+    extent = now.groupBy("comp").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.min("rare").alias("rare"), ((F.max("g") == F.min("g")) & (F.max("ball") == 0)).alias("single"))
+    whole = now.filter("first").groupBy("comp", "w").agg(F.max("left").alias("left"), F.max("prev").alias("prev")).join(extent, "comp").withColumn("prev", F.when(F.col("single"), F.col("prev")))
+    x, y = whole.alias("x"), whole.alias("y")
+    both = F.floor(((F.col("x.low") + F.col("y.low")) * share + 99 + share) / (100 + share))
+    first = (F.least("x.left", "y.left") >= both) & ~F.coalesce(F.col("x.prev") == F.col("y.prev"), F.lit(False))
+    met = x.join(y, (F.col("x.w") == F.col("y.w")) & (F.col("x.comp") < F.col("y.comp")) & _may("x", "y", share) & first)
+    return met.select(F.col("x.comp").alias("comp_x"), F.col("y.comp").alias("comp_y")).distinct()
+
+
 def opened_groups(matrix: DataFrame, links: DataFrame, full: DataFrame, share: int) -> tuple[DataFrame, DataFrame]:
     """Pairs of groups (a, b, ball_a, rare_a, ball_b, rare_b), of two components, whose unions of tokens allow a similar pair; and the links with those found on the way.
 
-    ``matrix``: (g, w, low, high, ball, rare).  First every group is compared with one leader, the one that is the first
+    ``matrix``: (g, w, left, first, prev, low, high, ball, rare).  First every group is compared with one leader, the one that is the first
     group of most of its tokens, ``STARS`` times by another order, and components that come together are taken
     as one row of the matrix.
     """
@@ -237,17 +256,28 @@ def opened_groups(matrix: DataFrame, links: DataFrame, full: DataFrame, share: i
         links = materialise(links.unionByName(compared(best, full, share).filter("linked").select("a", "b")))
         discard(now)
     now = materialise(_component(matrix, links, "g"))
-    extent = now.groupBy("comp").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.min("rare").alias("rare"))
-    whole = now.select("comp", "w").distinct().join(extent, "comp")
-    x, y = whole.alias("x"), whole.alias("y")
-    met = x.join(y, (F.col("x.w") == F.col("y.w")) & (F.col("x.comp") < F.col("y.comp")) & _may("x", "y", share))
-    met = met.groupBy(F.col("x.comp").alias("comp_x"), F.col("y.comp").alias("comp_y")).agg(F.count(F.lit(1)).alias("shared"), F.max(F.least("x.low", "y.low")).alias("low"))
-    apart = materialise(met.filter(F.col("shared") >= _spare_column(F.col("low"))).select("comp_x", "comp_y"))
-    x = now.withColumnRenamed("comp", "comp_x").join(apart, "comp_x").alias("x")
-    y = now.withColumnRenamed("comp", "comp_y").alias("y")
+    apart = _met(now, share)
+    sizes = now.groupBy("comp").agg(F.count(F.lit(1)).alias("tokens"), (F.max("g") != F.min("g")).alias("several"))
+    for k in "xy":
+        apart = apart.join(sizes.select(F.col("comp").alias(f"comp_{k}"), F.col("tokens").alias(f"tokens_{k}"), (F.col("several") | (F.col("tokens") > PLAIN)).alias(f"wide_{k}")), f"comp_{k}")
+    apart = materialise(apart)
+
+    # Components of one group each: one row a pair.
+    plain = sizes.filter(~F.col("several") & (F.col("tokens") <= PLAIN)).select("comp")
+    lists = now.join(plain, "comp").groupBy("comp", "g", "low", "high", "ball", "rare").agg(F.collect_list("w").alias("ws"))
+    alone = apart.filter("not wide_x and not wide_y").select("comp_x", "comp_y")
+    for k in "xy":
+        alone = alone.join(lists.select(F.col("comp").alias(f"comp_{k}"), F.struct("g", "low", "high", "ball", "rare", "ws").alias(k)), f"comp_{k}")
+    alone = alone.filter(_may("x", "y", share)).filter(F.size(F.array_intersect("x.ws", "y.ws")) >= _spare_column(F.least("x.low", "y.low")))
+    alone = alone.select(*[F.col(f"{x}.{c}").alias(n) for x, k in (("x", "a"), ("y", "b")) for c, n in (("g", k), ("ball", f"ball_{k}"), ("rare", f"rare_{k}"))])
+
+    # Of the others, the one with fewer tokens is sent to the other one.
+    small = F.col("tokens_x") <= F.col("tokens_y")
+    sent = apart.filter("wide_x or wide_y").select(F.when(small, F.col("comp_x")).otherwise(F.col("comp_y")).alias("comp"), F.when(small, F.col("comp_y")).otherwise(F.col("comp_x")).alias("comp_y"))
+    x, y = now.join(sent, "comp").alias("x"), now.withColumnRenamed("comp", "comp_y").alias("y")
     met = x.join(y, (F.col("x.w") == F.col("y.w")) & (F.col("x.comp_y") == F.col("y.comp_y")) & _may("x", "y", share))
     out = met.groupBy(F.col("x.g").alias("a"), F.col("y.g").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.max(F.least("x.low", "y.low")).alias("low"), *[F.max(f"{s}.{c}").alias(f"{c}_{k}") for s, k in (("x", "a"), ("y", "b")) for c in ("ball", "rare")])
-    return materialise(out.filter(F.col("shared") >= _spare_column(F.col("low"))).drop("shared", "low")), links
+    return materialise(out.filter(F.col("shared") >= _spare_column(F.col("low"))).drop("shared", "low").unionByName(alone)), links
 
 
 def links_of(full: DataFrame, share: int = SHARE) -> DataFrame:
@@ -258,7 +288,8 @@ def links_of(full: DataFrame, share: int = SHARE) -> DataFrame:
 
     member = materialise(tokens.join(groups, "set"))
     extent = member.groupBy("g").agg(F.min("n").alias("low"), F.max("n").alias("high"), (F.max("set") != F.min("set")).cast("int").alias("ball"), F.min("rare").alias("rare"))
-    matrix = materialise(member.select("g", "w").distinct().join(extent, "g"))
+    cells = member.groupBy("g", "w").agg(F.max("left").alias("left"), F.max(F.col("left") >= _need_column(F.col("n"), share)).alias("first"), F.max("prev").alias("prev"))
+    matrix = materialise(cells.join(extent, "g"))
     opened, links = opened_groups(matrix, links, full, share)
 
     # Leaders.
@@ -303,6 +334,8 @@ def components(docs: DataFrame, width: int = WIDTH, share: int = SHARE) -> DataF
 
     tokens = table.join(sets.select("row_", "set"), "row_").select("set", "n", F.explode("head").alias("w"))
     tokens = materialise(tokens)
+    headed, table = table, materialise(table.drop("head"))
+    discard(headed)
     shared = tokens.groupBy("w").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("w")
     alive = tokens.join(shared, "w", "left_semi").groupBy("set", "n").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= _spare_column(_need_column(F.col("n"), share)))
     alive = materialise(sets.join(alive.select("set"), "set", "left_semi").select("set", "row_"))

@@ -108,3 +108,18 @@ def test_groups_lie_within_balls(spark):
     # The large group of near copies comes into few groups.
     assert len({r["g"] for r in found}) < 0.75 * len(sets)
     assert full.select(F.max(F.size("hs"))).first()[0] == max(map(len, sets.values()))
+
+
+def test_components_meet_by_few_rows(spark, monkeypatch):
+    """Texts that share much, but too little, are not opened; similar ones in either form are."""
+    met, real = [], jaccardjoin._met
+    monkeypatch.setattr(jaccardjoin, "_met", lambda now, share: met.append(real(now, share).count()) or real(now, share))
+    common = [f"c{k}" for k in range(100)]
+    unlike = [(d, " ".join([*common[: 7 * d], f"x{d // 2}", *common[7 * d :], f"y{d // 2}", *(f"u{d // 2}_{k}" for k in range(12))])) for d in range(12)]
+    got = {r["doc_id"]: r["component_id"] for r in jaccardjoin.components(spark.createDataFrame(unlike, "doc_id long, text string")).collect()}
+    wanted = {}
+    shingles = {d: {tuple(t.split()[i : i + 3]) for i in range(len(t.split()) - 2)} for d, t in unlike}
+    for d in shingles:
+        wanted[d] = min(wanted.get(o, o) for o in shingles if o <= d and 10 * len(shingles[o] & shingles[d]) >= 9 * len(shingles[o] | shingles[d]))
+    assert got == wanted
+    assert sum(met) <= 12
