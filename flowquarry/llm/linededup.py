@@ -129,7 +129,7 @@ def line_sets(rows: DataFrame, classes: Column, slots: int, least: int, threshol
     alone = (F.floor(n / threshold + 1e-9) == n) & (_needed(n, threshold) == n)
     start = F.slice("ws", 1, F.when(alone, 0).otherwise(n - _needed(n, threshold) + 1))
     named = ordered.select("doc_id", "hash_", *PLACE, F.xxhash64("ws").alias("k1"), F.hash("ws").alias("k2"), n.alias("n"), parity.alias("parity"), parity2.alias("parity2"), start.alias("start"))
-    low, high = F.lit(1 << 59), F.lit(least << 59)
+    low, high = F.lit(1 << 59), F.lit(min(least << 59, (1 << 63) - 1))
     rare = F.transform(F.filter("start", lambda w: (w >= low) & (w < high)), lambda w: w.bitwiseAND(F.lit((1 << 31) - 1).cast("long")).cast("int"))
     split = named.withColumn("rare", rare).withColumn("often", F.filter("start", lambda w: w >= high))
     skip = F.size("start") - F.size("rare") - F.size("often")
