@@ -8,6 +8,8 @@ fixed number of packets: a flood from 270 sources, 40 log-ins at one server, a m
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,8 +26,12 @@ def packet_sql(dialect: str, events: str = "events") -> str:
     def div(a: str, b: int) -> str:
         return f"({a} div {b})" if spark else f"({a} // {b})"
 
-    def hx(x: str) -> str:
-        return f"'' || lower(hex(CAST({x} AS BIGINT)))"
+    def hx(first: str, *factors: int) -> str:
+        """Hex of a product: in Spark of the whole one, which is beyond 64 bits from event 7,342,443 on, where the other SQL raises an error."""
+        if not spark:
+            return f"'' || lower(hex(CAST({' * '.join([first, *map(str, factors)])} AS BIGINT)))"
+        product, part = f"CAST({first} AS DECIMAL(19, 0)) * {math.prod(factors)}BD", f"{1 << 60}BD"
+        return f"lower(trim(LEADING '0' FROM concat(hex({product} div {part}), lpad(hex(CAST({product} % {part} AS BIGINT)), 15, '0'))))"
 
     def cat(*parts: str) -> str:
         return "concat(" + ", ".join(p if p.startswith("'") else f"CAST({p} AS {text})" for p in parts) + ")"
@@ -64,8 +70,8 @@ SELECT e AS idx,
   CASE WHEN c = 2 AND j % 10 < 3 THEN {cat("'ja3-'", 'j % 6')} END AS ja3,
   CASE WHEN c = 2 AND j % 10 < 3 THEN {cat("'ja4-'", 'j % 5')} END AS ja4,
   CASE WHEN c = 3 AND j % 10 < 3 THEN {cat("'ja3s-'", 'j % 4')} END AS ja3s,
-  CASE WHEN c = 11 THEN {cat(hx('(j + 1) * 7919 * 104729 * 3571'), hx('(j + 7) * 15485863 * 6151 * 211'), hx('(j + 3) * 32452843 * 9973 * 17'), "'.t.tunnel.example'")}
-       WHEN c = 12 THEN {cat(hx('(j + 11) * 7919 * 104729 * 3571'), "'.net'")} WHEN c = 0 AND j % 10 = 4 THEN {cat("'host'", 'j % 17', "'.example.org'")} END AS dns_qname,
+  CASE WHEN c = 11 THEN {cat(hx('(j + 1)', 7919, 104729, 3571), hx('(j + 7)', 15485863, 6151, 211), hx('(j + 3)', 32452843, 9973, 17), "'.t.tunnel.example'")}
+       WHEN c = 12 THEN {cat(hx('(j + 11)', 7919, 104729, 3571), "'.net'")} WHEN c = 0 AND j % 10 = 4 THEN {cat("'host'", 'j % 17', "'.example.org'")} END AS dns_qname,
   CASE WHEN c = 1 AND j % 10 = 4 THEN {cat("'93.184.216.'", 'j % 20')} END AS dns_answer,
   CASE WHEN c = 2 AND j % 10 = 5 THEN {cat("'www'", 'j % 5', "'.example.com'")} WHEN c = 14 AND j % 11 > 2 THEN 'intranet.local' END AS http_host,
   CASE WHEN c = 2 AND j % 10 = 5 THEN 'Mozilla/5.0' WHEN c = 14 AND j % 11 = 3 THEN 'sqlmap/1.7 (https://sqlmap.org)' WHEN c = 14 AND j % 11 = 4 THEN 'Nikto/2.5' WHEN c = 14 AND j % 11 > 4 THEN 'curl/8.0' END AS http_ua,
