@@ -27,11 +27,14 @@ def packet_sql(dialect: str, events: str = "events") -> str:
         return f"({a} div {b})" if spark else f"({a} // {b})"
 
     def hx(first: str, *factors: int) -> str:
-        """Hex of a product: in Spark of the whole one, which is beyond 64 bits from event 7,342,443 on, where the other SQL raises an error."""
+        """Hex of a product: in Spark of the whole one, which is beyond 64 bits from event 7,342,443 on, where the other SQL raises an error.
+
+        The last 16 bits of ``first`` are multiplied apart.  ``ts_ns`` is beyond a long sooner than these steps are.
+        """
         if not spark:
             return f"'' || lower(hex(CAST({' * '.join([first, *map(str, factors)])} AS BIGINT)))"
-        product, part = f"CAST({first} AS DECIMAL(19, 0)) * {math.prod(factors)}BD", f"{1 << 60}BD"
-        return f"lower(trim(LEADING '0' FROM concat(hex({product} div {part}), lpad(hex(CAST({product} % {part} AS BIGINT)), 15, '0'))))"
+        p, low = math.prod(factors), f"({first} & 65535)"
+        return f"'' || lower(hex(shiftright({first}, 16) * {p} + shiftright({low} * {p}, 16))) || lpad(lower(hex({low} * {p % 65536} & 65535)), 4, '0')"
 
     def cat(*parts: str) -> str:
         return "concat(" + ", ".join(p if p.startswith("'") else f"CAST({p} AS {text})" for p in parts) + ")"
